@@ -60,8 +60,12 @@ def release_scratch(spark: SparkSession) -> None:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df``; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the size of ``df``, without a job; counted where there is none, as for rows made in memory."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    return df.agg(F.sum(sum(texts, F.lit(16)).cast("long")).alias("b")).first()["b"] or 0
 
 
 def block_count(df: DataFrame, block_bytes: int, least: int = 1) -> int:
