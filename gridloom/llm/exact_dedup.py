@@ -33,6 +33,7 @@ from .common import WHITE, block_count, scratch, slices
 
 FLUSH_BYTES = 24 << 20
 BUCKET_BYTES = 32 << 20
+EXCHANGE_BYTES = 8 << 20
 FANOUT = 16
 
 
@@ -181,10 +182,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(classes, pa.binary())], names=["rep", "class"])
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exchange_bytes: int = EXCHANGE_BYTES) -> DataFrame:
     """Every row as doc_id, keep_id, group_size, kept, text_sha256."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = block_count(slim, bucket_bytes, least=4)
+    buckets = block_count(slim, exchange_bytes, least=4)
     rows = scratch(slim.mapInArrow(_representatives, "doc_id long, sha binary, rep binary, content binary"), "exact")
     classes = rows.filter("content is not null").select("rep", "sha", "content").repartition(buckets, "sha").mapInArrow(_resolve, "rep binary, class binary")
 
@@ -268,13 +269,13 @@ def _winners(id_at: int, text_at: int, names: list[str]) -> Callable[[Iterator[p
     return run
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exchange_bytes: int = EXCHANGE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, whole: of equal texts the row with the smallest id; of rows equal in both, one."""
     names = docs.columns
     at = names.index(doc_id), names.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     local = docs.mapInArrow(_local_winners(*at), schema + ", `__sha` binary")
-    return local.repartition(block_count(docs, bucket_bytes, least=4), "__sha").mapInArrow(_winners(*at, names), schema)
+    return local.repartition(block_count(docs, exchange_bytes, least=4), "__sha").mapInArrow(_winners(*at, names), schema)
 
 
 ORACLE = r"""

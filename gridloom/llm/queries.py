@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, histogram_sort, url_reputation
-from .common import documents
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import exact_dedup, histogram_sort, language, packing, quality, simhash, url_reputation
+from .common import crc_remainder, documents
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +26,51 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), shards=16)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Learned from labels of the rows whose crc32(doc_id) mod 5 is not 0."""
+    labels = documents(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    return quality.fit(docs, labels.filter(crc_remainder("doc_id", 5) != 0))
+
+
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = quality.scored(docs, quality_model(spark, docs, sf_dir))
+    held_out = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Learned from the rows whose crc32(doc_id) mod 3 is not 1."""
+    return language.fit(docs.filter(crc_remainder("doc_id", 3) != 1))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language.predicted(docs, language_model(docs))
+    held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path() -> str:
+    return public_tokenizers.path(packing.TOKENIZER)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op3_grace_dedup": op3_grace_dedup,
     "op5_histogram_sort": op5_histogram_sort,
+    "op7_subword_quality": op7_subword_quality,
+    "op8_language_id": op8_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_simhash_pivots": op10_simhash_pivots,
 }
 
 ORACLES: dict[str, str] = {"op1_url_reputation": url_reputation.oracle(), "op3_grace_dedup": exact_dedup.ORACLE}
