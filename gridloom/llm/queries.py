@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, histogram_sort, language, packing, quality, simhash, url_reputation
+from . import exact_dedup, histogram_sort, language, packing, quality, simhash, suffix_tree, url_reputation
 from .common import crc_remainder, documents
 
 
@@ -18,6 +18,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, url_reputation.labelled(pages, documents(spark, sf_dir, "labels")))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(documents(spark, sf_dir))
+
+
 def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_grace_dedup": op3_grace_dedup,
     "op5_histogram_sort": op5_histogram_sort,
     "op7_subword_quality": op7_subword_quality,
