@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, histogram_sort, language, packing, quality, simhash, suffix_tree, url_reputation
+from . import exact_dedup, histogram_sort, language, packing, quality, simhash, suffix_tree, unigram, url_reputation
 from .common import crc_remainder, documents
 
 
@@ -26,6 +26,10 @@ def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded(documents(spark, sf_dir), public_tokenizers.path(unigram.MODEL))
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), shards=16)
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_grace_dedup": op3_grace_dedup,
+    "op4_unigram_pieces": op4_unigram_pieces,
     "op5_histogram_sort": op5_histogram_sort,
     "op7_subword_quality": op7_subword_quality,
     "op8_language_id": op8_language_id,
