@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,10 +53,18 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far. Only safe once every result that reads them is stored."""
-    while _written:
-        p, fs = _hadoop_path(spark, _written.pop())
+@contextmanager
+def recorded(into: list[str]) -> Iterator[None]:
+    """Add the scratch tables that are written meanwhile to ``into``."""
+    start = len(_written)
+    yield
+    into += _written[start:]
+
+
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Delete scratch tables. Only safe once every result that reads them is stored."""
+    while tables:
+        p, fs = _hadoop_path(spark, tables.pop())
         fs.delete(p, True)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, histogram_sort, language, packing, quality, simhash, suffix_tree, unigram, url_reputation
+from . import canonical, exact_dedup, histogram_sort, language, packing, quality, simhash, suffix_tree, unigram, url_reputation
 from .common import crc_remainder, documents
 
 
@@ -34,6 +34,10 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), shards=16)
 
 
+def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.fingerprints(documents(spark, sf_dir))
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """Learned from labels of the rows whose crc32(doc_id) mod 5 is not 0."""
     labels = documents(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_grace_dedup": op3_grace_dedup,
     "op4_unigram_pieces": op4_unigram_pieces,
     "op5_histogram_sort": op5_histogram_sort,
+    "op6_canonical_digest": op6_canonical_digest,
     "op7_subword_quality": op7_subword_quality,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
