@@ -20,73 +20,140 @@ Extra columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import scratch
 
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-MEMO_CHUNKS = 300_000
+BATCH_BYTES = 8 << 20
+MEMO_WORDS = 300_000
 
 #: (lengths with their numbers in a bin, bins of this kind)
 Pattern = tuple[dict[int, int], int]
 
 
-#: Unicode white space. ``str.split()`` cuts at just these and at the four separators U+001C to U+001F.
-_CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Chunks of these characters are cut into words by _WORD; they are composed already and each has one lower-case character.
+_SIMPLE = re.compile("[!-~\xc0-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: The tokenizer's own cut, for such characters, and the line ends that separate chunks.
+_WORD = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
-class Chunks(dict):
-    """Ids of white-space separated chunks as bytes; the tokenizer never joins over white space."""
+class Chunks:
+    """Token ids of texts. A batch's distinct white-space separated chunks are encoded once; the tokenizer never joins over white space.
 
-    def __init__(self, path: str):
+    Chunks are cut into words as the tokenizer cuts them, and words not yet met go to it many at a time; the
+    token that ends a word tells where the next begins. Other chunks go to it whole."""
+
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [_CHUNK.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self) > MEMO_CHUNKS:
-            self.clear()
-        self.learn(set().union(*split) if split else set())
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
-
-
-_chunks: dict[str, Chunks] = {}
-
-
-def _pieces(path: str, capacity: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    closing = np.array([end], "<u4").tobytes()
+        model = json.loads(definition)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(1 + max(model["vocab"].values(), default=0), bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
+        self.by_word = bool(suffix)
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        groups = [words[k : k + 64] for k in range(0, len(words), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(group):
+                raw = ids.tobytes()
+                self.words.update(zip(group, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+            else:
+                self.words.update(zip(group, self._whole(group), strict=True))
+
+    def _by_words(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of all chunks in one row, and the bytes of each chunk's."""
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        cut = _WORD.findall("\n".join([*chunks, ""]).lower())
+        words = set(cut)
+        words.discard("\n")
+        self._learn_words([w for w in words if w not in self.words])
+        self.words["\n"] = b""
+        ids = list(map(self.words.__getitem__, cut))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        stops = np.cumsum(size)[size == 0]
+        return b"".join(ids), np.diff(stops, prepend=0)
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
+        if self.by_word and _SIMPLE.fullmatch("".join(chunks)):
+            return self._by_words(chunks)
+        simple = [bool(self.by_word and _SIMPLE.fullmatch(c)) for c in chunks]
+        parts = self._whole([c for c, s in zip(chunks, simple, strict=True) if not s])
+        raw, size = self._by_words([c for c, s in zip(chunks, simple, strict=True) if s]) if any(simple) else (b"", np.zeros(0, np.int64))
+        stops = np.cumsum(size).tolist()
+        own, other = map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), iter(parts)
+        ids = [next(own) if s else next(other) for s in simple]
+        return b"".join(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit numbers; null counts as empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        chunks = split.flatten().dictionary_encode()
+        raw, size = self.encode_chunks(chunks.dictionary.to_pylist())
+        ids, size = np.frombuffer(raw, "<u4"), (size // 4).astype(np.int32)
+        at = chunks.indices.to_numpy()
+        start = np.cumsum(size, dtype=np.int32) - size
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            own = size[at[a:b]]
+            stop = np.cumsum(own, dtype=np.int32)
+            out.append(ids[np.repeat(start[at[a:b]] - stop + own, own) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)])
+        return out
+
+
+_chunks: dict[int, Chunks] = {}
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of ``column``, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _pieces(definition: str, capacity: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    closing, name = np.array([end], "<u4"), zlib.crc32(definition.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks.setdefault(path, Chunks(path)) if path not in _chunks else _chunks[path]
-        for batch in slices(batches, 256):
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+        if name not in _chunks:
+            _chunks[name] = Chunks(definition)
+        _chunks[name].words.clear()  # what a task remembers goes with it
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
             out: list[tuple] = []
-            for doc, block, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), chunks.encode(texts), strict=True):
-                ids += closing
-                out += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part), block) for k, at in enumerate(range(0, len(ids), 4 * capacity)) for part in [ids[at : at + 4 * capacity]]]
+            for doc, block, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _chunks[name].encode(batch.column(1)), strict=True):
+                raw = np.concatenate([ids, closing]).tobytes()
+                out += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part), block) for k, at in enumerate(range(0, len(raw), 4 * capacity)) for part in [raw[at : at + 4 * capacity]]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)], names=_PIECE_NAMES)
+        _chunks[name].words.clear()
 
     return run
 
@@ -96,9 +163,10 @@ _PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.i
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and the block (scan task) of every piece."""
+    """doc_id, piece, start, length, ids_crc32 and the block (scan task) of every piece. The driver reads the tokenizer's file."""
+    definition = Path(tokenizer).read_text(encoding="utf-8")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
-    return slim.mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
+    return slim.mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
