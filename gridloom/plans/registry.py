@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import learning_queries, matrix_queries
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**matrix_queries.QUERIES, **learning_queries.QUERIES}
+ORACLES: dict[str, str] = {**matrix_queries.ORACLES, **learning_queries.ORACLES}
+FLAGSHIP = matrix_queries.recommend_two_hop
