@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 
@@ -32,7 +33,7 @@ def quarter_form(x: Column) -> tuple[Column, Column]:
     return m, x / F.pow(F.lit(4.0), m)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def normal_cdf(x, mean, sd):  # noqa: ANN001
     import numpy as np
 

@@ -69,7 +69,7 @@ def variable_information(spark, sf_dir):
     return information.mutual_information(I.samples(spark, sf_dir)).select("a", "b", _r("mi", 9))
 
 
-@query(f"WITH {I.SAMPLES}, o AS (SELECT sample, node FROM samples WHERE state = 1 AND node IN (1, 3)) SELECT a.node AS a, b.node AS b, round(count(*) / (SELECT count(*) FROM lineitem)::DOUBLE, 9) AS p FROM o a JOIN o b ON a.sample = b.sample AND a.node <= b.node GROUP BY 1, 2")
+@query(f"WITH {I.SAMPLES}, o AS (SELECT sample, node FROM samples WHERE state = 1 AND node IN (1, 3)) SELECT a.node AS a, b.node AS b, round(count(*) / (SELECT count(DISTINCT sample) FROM samples)::DOUBLE, 9) AS p FROM o a JOIN o b ON a.sample = b.sample AND a.node <= b.node GROUP BY 1, 2")
 def variable_co_occurrence(spark, sf_dir):
     s = I.samples(spark, sf_dir).filter("node in (1, 3)")
     return information.co_occurrence(s).select("a", "b", _r("p", 9))
@@ -117,7 +117,7 @@ def single_link_clusters(spark, sf_dir):
 
 @query()
 def group_clusters(spark, sf_dir):
-    return kmeans.group_clusters(I.user_group(spark, sf_dir))
+    return kmeans.group_clusters(I.user_group(spark, sf_dir), least=0.05)
 
 
 # Co-clustering of nations and part sizes
@@ -339,17 +339,17 @@ def gibbs_samples(spark, sf_dir):
 
 @query()
 def rosenbrock_minimum(spark, sf_dir):
-    x, f, why = optimise.lbfgs(optimise.rosenbrock, np.zeros(100), o=optimise.Options(rounds=400, progress=1e-14))
+    x, f, why = optimise.lbfgs(optimise.rosenbrock, np.zeros(100), o=optimise.Options(rounds=3000, progress=1e-15))
     return spark.createDataFrame([(round(float(np.abs(x - 1).max()), 3), why)], "gap double, why string")
 
 
 # Functions
 
 
-@query("SELECT event_id, list_filter(regexp_split_to_array(props, '[,:{}\" ]'), lambda x: x <> '') AS words, contains(lower(props), lower(event_type)) OR contains(lower(event_type), lower(props)) AS inside, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
+@query("SELECT event_id, array_to_string(list_filter(regexp_split_to_array(props, '[,:{}\" ]'), lambda x: x <> ''), '|') AS words, contains(lower(props), lower(event_type)) OR contains(lower(event_type), lower(props)) AS inside, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
 def text_functions(spark, sf_dir):
     e = I.table(spark, sf_dir, "events")
-    return e.select("event_id", scalar.words(F.col("props"), ',:{}" ').alias("words"), scalar.is_substring(F.col("props"), F.col("event_type")).alias("inside"), scalar.time_stamp(F.col("ts")).alias("stamp"))
+    return e.select("event_id", F.array_join(scalar.words(F.col("props"), ',:{}" '), "|").alias("words"), scalar.is_substring(F.col("props"), F.col("event_type")).alias("inside"), scalar.time_stamp(F.col("ts")).alias("stamp"))
 
 
 @query("WITH d(lo, hi) AS (VALUES (1000.0, 50000.0), (60000.0, 120000.0), (150000.0, 150000.0)), x AS (SELECT DISTINCT round(o_totalprice, 0)::DOUBLE AS x FROM orders) SELECT x, coalesce(max(CASE WHEN lo <= x AND x <= hi THEN x END), max(CASE WHEN hi <= x THEN hi END), '-infinity'::DOUBLE)::DOUBLE AS floor, coalesce(max(CASE WHEN lo <= x AND x <= hi THEN x END), min(CASE WHEN lo >= x THEN lo END), 'infinity'::DOUBLE)::DOUBLE AS ceiling FROM x, d GROUP BY 1")
