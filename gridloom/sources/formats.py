@@ -35,14 +35,14 @@ def read_network(spark: SparkSession, users: str, user_user: str, user_group: st
 
 def read_dense(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(row, col, value) of numbers in lines; with ``header`` the first line gives the shape. One file, in its own order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     lines = lines.filter("n > 0").withColumn("n", F.col("n") - 1) if header else lines
     return lines.filter(F.trim("line") != "").select(F.col("n").cast("bigint").alias("row"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).select("row", F.col("col").cast("bigint").alias("col"), F.col("v").cast("double").alias("value")).filter("value <> 0")
 
 
 def read_labels(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
     """(id, cluster) from a count and then one label a line; raises if the count is wrong."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\s+")).alias("n", "v"))
+    lines = _numbers(spark, path)
     count = lines.filter("n = 0").select(F.col("v").cast("bigint")).first()[0]
     labels = lines.filter("n > 0").select((F.col("n") - 1).cast("bigint").alias("id"), (F.col("v").cast("int") - offset).alias("cluster"))
     if (found := labels.count()) != count:
