@@ -6,7 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -26,20 +25,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import SF
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
-
-
-def normal(df):
-    """Rows of a pandas frame as sorted tuples, columns by name, floats to ten digits."""
-
-    def cell(v):
-        if v is None or v != v:
-            return None
-        return f"{v:.10g}" if isinstance(v, float) else str(v)
-
-    df = df[sorted(df.columns)]
-    return sorted((tuple(cell(v) for v in row) for row in df.astype(object).itertuples(index=False)), key=str)

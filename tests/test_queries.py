@@ -1,7 +1,7 @@
 """Each query with SQL gives what DuckDB gives on the smallest tables; the others run and have rows."""
 
 import pytest
-from conftest import SF, normal
+from helpers import SF, normal
 
 from gridloom.plans import registry
 
