@@ -28,8 +28,8 @@ def time_stamp(ts: Column) -> Column:
 
 
 def quarter_form(x: Column) -> tuple[Column, Column]:
-    """(m, r) with x = 4^m * r and 1/4 < r <= 1, for x > 0."""
-    m = F.ceil(F.round(F.log(x) / math.log(4), 12))
+    """(m, r) with x = 4^m * r and 1/4 <= r < 1, for x > 0."""
+    m = F.floor(F.round(F.log(x) / math.log(4), 12)) + 1
     return m, x / F.pow(F.lit(4.0), m)
 
 

@@ -257,3 +257,97 @@ def power_weights(powers: list[CoordMatrix], target: CoordMatrix, ridge: float =
 
         return nnls_gram(g + ridge * np.eye(k), y)
     return np.linalg.solve(g + ridge * np.eye(k), y)
+
+
+def symmetric_trifactor(slices: list[CoordMatrix], k: int, rounds: int = 10, pad: float = 1e-9) -> tuple[DataFrame, list[np.ndarray], list[float]]:
+    """A_i ~ P L_i P' with non-negative P and L_i for symmetric slices, by multiplicative updates; P, the L_i, and the squared error by round."""
+    slices = [CoordMatrix(cut(m.cells), m.n_rows, m.n_cols) for m in slices]
+    p = cut(nonnegative_start(slices[0], k, "row"))
+    ls = [np.eye(k) + 0.1 for _ in slices]
+    squares = [m.cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0 for m in slices]
+    zero, history = F.array(*[F.lit(0.0)] * k), []
+    for _ in range(rounds):
+        g = gram(p, k)
+        top = None
+        below = np.zeros((k, k))
+        for m, mid in zip(slices, ls, strict=True):
+            own = rotate(times_factors(m, p, k), mid)
+            top = own if top is None else top.unionByName(own)
+            below += mid @ g @ mid
+        top = top.groupBy("id").agg(*[F.sum(F.get("vec", F.lit(c))).alias(f"v{c}") for c in range(k)]).select("id", F.array(*[F.col(f"v{c}") for c in range(k)]).alias("vec"))
+        bottom = rotate(p, below)
+        p = cut(_elementwise(p, lambda v, a, b: F.transform(F.arrays_zip(F.col(v).alias("a"), F.coalesce(F.col(a), zero).alias("b"), F.col(b).alias("c")), lambda s: s["a"] * F.sqrt(F.sqrt(s["b"] / (s["c"] + pad)))), top, bottom))
+        g, error = gram(p, k), 0.0
+        for i, m in enumerate(slices):
+            pap = gram(p, k, times_factors(m, p, k))
+            ls[i] = ls[i] * np.sqrt(pap / (g @ ls[i] @ g + pad))
+            error += squares[i] - 2 * float((pap * ls[i]).sum()) + float(np.trace(ls[i] @ g @ ls[i].T @ g))
+        history.append(error)
+    return p, ls, history
+
+
+def tucker(cells: DataFrame, shape: tuple[int, int, int], ranks: tuple[int, int, int], rounds: int = 5, pad: float = 1e-9) -> tuple[dict[str, DataFrame], np.ndarray, list[float]]:
+    """Non-negative Tucker of (i, j, k, value): factors by mode, the core, and the squared error by round, by multiplicative updates."""
+    cells, spark = cut(cells), cells.sparkSession
+    empty = spark.createDataFrame([], "row bigint, col bigint, value double")
+    size = dict(zip("ijk", ranks, strict=True))
+    factors = {x: cut(nonnegative_start(CoordMatrix(empty, n, n), size[x], "row")) for x, n in zip("ijk", shape, strict=True)}
+    core = np.full(ranks, 1.0) + 0.1 * np.arange(int(np.prod(ranks))).reshape(ranks) / max(1, int(np.prod(ranks)))
+    square, history = cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0, []
+
+    def projected(skip: str) -> DataFrame:
+        """(id of ``skip``, vec) of the tensor times the other two factors, flattened."""
+        a, b = [x for x in "ijk" if x != skip]
+        j = cells.join(factors[a].select(F.col("id").alias(a), F.col("vec").alias("__a")), a).join(factors[b].select(F.col("id").alias(b), F.col("vec").alias("__b")), b)
+        names = [(p, q) for p in range(size[a]) for q in range(size[b])]
+        sums = j.groupBy(F.col(skip).alias("id")).agg(*[F.sum(F.col("value") * F.get("__a", F.lit(p)) * F.get("__b", F.lit(q))).alias(f"v{p}_{q}") for p, q in names])
+        return sums.select("id", F.array(*[F.col(f"v{p}_{q}") for p, q in names]).alias("vec"))
+
+    def unfolded(t: np.ndarray, mode: str) -> np.ndarray:
+        return np.moveaxis(t, "ijk".index(mode), 0).reshape(size[mode], -1)
+
+    for _ in range(rounds):
+        for mode in "ijk":
+            a, b = [x for x in "ijk" if x != mode]
+            g = np.kron(gram(factors[a], size[a]), gram(factors[b], size[b]))
+            flat = unfolded(core, mode)
+            top, below = rotate(projected(mode), flat.T), rotate(factors[mode], flat @ g @ flat.T)
+            zero = F.array(*[F.lit(0.0)] * size[mode])
+            factors[mode] = cut(_elementwise(factors[mode], lambda v, p, q, zero=zero: F.transform(F.arrays_zip(F.col(v).alias("a"), F.coalesce(F.col(p), zero).alias("b"), F.col(q).alias("c")), lambda s: s["a"] * s["b"] / (s["c"] + pad)), top, below))
+        grams = [gram(factors[x], size[x]) for x in "ijk"]
+        joined = factors["i"].join(projected("i").select("id", F.col("vec").alias("__p")), "id")
+        m = size["j"] * size["k"]
+        r = joined.agg(*[F.sum(F.get("vec", F.lit(p)) * F.get("__p", F.lit(q))).alias(f"c{p}_{q}") for p in range(size["i"]) for q in range(m)]).first()
+        inner = np.array([[r[f"c{p}_{q}"] or 0.0 for q in range(m)] for p in range(size["i"])]).reshape(ranks)
+        whole = np.einsum("abc,ax,by,cz->xyz", core, *grams)
+        core = core * inner / (whole + pad)
+        whole = np.einsum("abc,ax,by,cz->xyz", core, *grams)
+        history.append(float(square - 2 * (core * inner).sum() + (core * whole).sum()))
+    return factors, core, history
+
+
+def nuclear_completion(m: CoordMatrix, k: int, tau: float, rounds: int = 5) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Rank-k completion of the cells present with a penalty on the sum of singular values: gradient steps on those cells, then soft thresholds."""
+    m = CoordMatrix(cut(m.cells), m.n_rows, m.n_cols)
+    u, s, v = soft_threshold(m, k, tau)
+    for _ in range(rounds):
+        fit = factor_scores(m.cells, u, v, s).withColumnRenamed("value", "__f")
+        gap = CoordMatrix(cut(m.cells.join(fit, ["row", "col"]).select("row", "col", (F.col("value") - F.col("__f")).alias("value"))), m.n_rows, m.n_cols)
+        # the sum of a low-rank part and a sparse part times factors needs only products with each
+        t, w = gap.transpose(), orthonormal(v, k)
+        for _ in range(2):
+            left = _both(times_factors(gap, w, k), rotate(u, np.diag(s) @ gram(v, k, w)), k)
+            w = orthonormal(_both(times_factors(t, left, k), rotate(v, np.diag(s) @ gram(u, k, left)), k), k)
+        left = cut(_both(times_factors(gap, w, k), rotate(u, np.diag(s) @ gram(v, k, w)), k))
+        e, x = np.linalg.eigh(gram(left, k))
+        order = np.argsort(-e)
+        size = np.sqrt(np.maximum(e[order], 0))
+        scale = np.where(size > 0, 1 / np.where(size > 0, size, 1), 0.0)
+        u, s, v = cut(rotate(left, x[:, order] * scale)), np.maximum(size - tau, 0), cut(rotate(w, x[:, order]))
+    return u, s, v
+
+
+def _both(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    j = a.select("id", F.col("vec").alias("__x")).join(b.select("id", F.col("vec").alias("__y")), "id", "full_outer")
+    zero = F.array(*[F.lit(0.0)] * k)
+    return cut(j.select("id", F.zip_with(F.coalesce("__x", zero), F.coalesce("__y", zero), lambda x, y: x + y).alias("vec")))

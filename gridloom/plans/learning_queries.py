@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import divergence, scalar
 from ..matrix import CoordMatrix
-from ..operators import bregman, cocluster, factor, information, kmeans, learn, optimise, validity
+from ..operators import bregman, cocluster, experiments, factor, information, kmeans, learn, optimise, validity
 from . import inputs as I  # noqa: E741, N812
 
 QUERIES, ORACLES = {}, {}
@@ -359,7 +359,75 @@ def interval_lookup(spark, sf_dir):
     return scalar.interval_lookup(points, domain)
 
 
-@query("SELECT p_partkey, ceil(round(ln(p_retailprice) / ln(4), 12))::BIGINT AS m, round(p_retailprice / pow(4.0, ceil(round(ln(p_retailprice) / ln(4), 12))), 9) AS r FROM part")
+@query("SELECT p_partkey, (floor(round(ln(p_retailprice) / ln(4), 12)) + 1)::BIGINT AS m, round(p_retailprice / pow(4.0, (floor(round(ln(p_retailprice) / ln(4), 12)) + 1)), 9) AS r FROM part")
 def quarter_form(spark, sf_dir):
     m, r = scalar.quarter_form(F.col("p_retailprice"))
     return I.table(spark, sf_dir, "part").select("p_partkey", m.cast("bigint").alias("m"), F.round(r, 9).alias("r"))
+
+
+# Experiments
+
+
+_HARNESS = f"""{I.USER_GROUP}, s AS (SELECT row, col, row_number() OVER (PARTITION BY row ORDER BY (row * 7919 + col * 104729) % 1000003, row, col) <= floor(0.7 * count(*) OVER (PARTITION BY row)) AS kept FROM ug),
+tr AS (SELECT row, col FROM s WHERE kept), ta AS (SELECT row, col FROM s WHERE NOT kept),
+aa AS (SELECT a.col AS c1, b.col AS c2, count(*)::DOUBLE AS v FROM tr a JOIN tr b ON a.row = b.row GROUP BY 1, 2),
+hop AS (SELECT tr.row, aa.c2 AS col, sum(aa.v) AS score FROM tr JOIN aa ON tr.col = aa.c1 GROUP BY 1, 2),
+grid AS (SELECT u.row, g.col FROM (SELECT DISTINCT row FROM ta) u, (SELECT i AS col FROM range((SELECT max(s_suppkey) + 1 FROM supplier)) t(i)) g),
+x AS (SELECT grid.row, coalesce(score, 0) AS score, CASE WHEN ta.row IS NULL THEN 0 ELSE 1 END AS target FROM grid ANTI JOIN tr USING (row, col) LEFT JOIN hop USING (row, col) LEFT JOIN ta USING (row, col)),
+b AS (SELECT row, score, count(*) AS n, sum(target) AS t FROM x GROUP BY 1, 2),
+c AS (SELECT *, coalesce(sum(n) OVER w, 0) AS above, coalesce(sum(t) OVER w, 0) AS t_above, sum(n) OVER (PARTITION BY row) AS all_n, sum(t) OVER (PARTITION BY row) AS all_t FROM b WINDOW w AS (PARTITION BY row ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT n_top, t_above + t * (n_top - above)::DOUBLE / n AS hits, all_n, all_t FROM c JOIN (VALUES (5), (10), (20)) k(n_top) ON above < n_top AND n_top <= above + n)"""
+
+
+@query(f"WITH {_HARNESS} SELECT n_top, round(avg(hits / n_top), 9) AS precision, round(avg(hits / all_t), 9) AS sensitivity, round(avg(1 - (n_top - hits) / (all_n - all_t)), 9) AS specificity, count(*) AS users FROM e GROUP BY 1")
+def recommendation_harness(spark, sf_dir):
+    splits = experiments.split_memberships(I.user_group(spark, sf_dir), 0.3, 0.1)
+    out = experiments.evaluate_predictor(I.user_user(spark, sf_dir), splits, experiments.PREDICTORS["two_hop"], [5, 10, 20])
+    return out.select("n_top", _r("precision", 9), _r("sensitivity", 9), _r("specificity", 9), "users")
+
+
+@query()
+def recommendation_by_svd(spark, sf_dir):
+    splits = experiments.split_memberships(I.user_group(spark, sf_dir), 0.3, 0.1)
+    out = experiments.evaluate_predictor(I.user_user(spark, sf_dir), splits, experiments.svd_predictor(4), [5, 10])
+    return out.select("n_top", _r("precision", 4), _r("sensitivity", 4), "users")
+
+
+@query()
+def recommendation_by_clusters(spark, sf_dir):
+    ug = I.user_group(spark, sf_dir)
+    part = lambda n: spark.range(n).select("id", (F.col("id") % 4).cast("int").alias("cluster"))
+    return experiments.clustered_svd_scores(ug, part(ug.n_rows), part(ug.n_cols), 3).cells.filter("value > 0.5").select("row", "col", _r("value", 4))
+
+
+@query()
+def artificial_network(spark, sf_dir):
+    uu, ug = experiments.artificial_network(spark, 4, 60, 40, 0.12)
+    return uu.cells.select(F.lit("friends").alias("kind"), "row", "col").unionByName(ug.cells.select(F.lit("members").alias("kind"), "row", "col"))
+
+
+@query()
+def structure_recovery(spark, sf_dir):
+    res = experiments.structure_recovery(spark, "chain", 4, [400], trials=1)
+    return spark.createDataFrame(res.curve, "n int, success double, differing double")
+
+
+@query()
+def trifactor_roles(spark, sf_dir):
+    p, _, _ = factor.symmetric_trifactor([I.nation_net(spark, sf_dir, sparse=True)], 2, rounds=3)
+    return p.select("id", F.transform("vec", lambda v: F.round(v, 5)).alias("vec"))
+
+
+@query()
+def tucker_factors(spark, sf_dir):
+    lines = I.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 6).alias("i"), F.col("l_linenumber").cast("bigint").alias("j"), (F.col("l_quantity") % 5).cast("bigint").alias("k"))
+    cells = lines.groupBy("i", "j", "k").agg(F.count("*").cast("double").alias("value"))
+    factors, _, _ = factor.tucker(cells, (6, 8, 5), (2, 2, 2), rounds=2)
+    return factors["i"].select("id", F.transform("vec", lambda v: F.round(v, 5)).alias("vec"))
+
+
+@query()
+def nuclear_completion(spark, sf_dir):
+    m = I.user_part(spark, sf_dir)
+    u, s, v = factor.nuclear_completion(m, 2, 1.0, rounds=2)
+    return factor.factor_scores(m.cells.filter("row < 5"), u, v, s).select("row", "col", _r("value", 3))
