@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,39 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def in_batches(df: DataFrame, most: int = 4 << 20, rows: int = 4096) -> DataFrame:
+    """``df``, with its session told to hand Python batches of at most so many bytes and rows, however long its texts are."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of ``column``, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of texts, A-Z lower-cased, cut at white space: the distinct words, each token's place among them, each text's number of tokens."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    tokens = split.flatten().dictionary_encode()
+    words, at = tokens.dictionary.cast(pa.binary()), tokens.indices.to_numpy()
+    n = np.diff(split.offsets.to_numpy())
+    empty = pc.index(tokens.dictionary, "").as_py()
+    if empty >= 0:  # white space at the ends leaves empty parts
+        full = at != empty
+        n = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(n)])])
+        at = at[full]
+    return words, at, n
+
+
 def crc_remainder(doc_id: str, modulus: int):
     """crc32 of ``doc_id`` as text, modulo ``modulus``; null where the id is null."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus

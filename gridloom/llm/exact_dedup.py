@@ -28,8 +28,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WHITE, block_count, scratch, slices
+from .common import WHITE, block_count, in_batches, scratch, slices
 
 FLUSH_BYTES = 24 << 20
 BUCKET_BYTES = 32 << 20
@@ -186,7 +187,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ex
     """Every row as doc_id, keep_id, group_size, kept, text_sha256."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = block_count(slim, exchange_bytes, least=4)
-    rows = scratch(slim.mapInArrow(_representatives, "doc_id long, sha binary, rep binary, content binary"), "exact")
+    rows = scratch(in_batches(slim).mapInArrow(_representatives, "doc_id long, sha binary, rep binary, content binary"), "exact")
     classes = rows.filter("content is not null").select("rep", "sha", "content").repartition(buckets, "sha").mapInArrow(_resolve, "rep binary, class binary")
 
     own = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
@@ -203,7 +204,7 @@ def _columns(batch: pa.RecordBatch) -> list[list]:
     return [c.to_pylist() for c in batch.columns]
 
 
-def _local_winners(id_at: int, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _local_winners(id_at: int, text_at: int, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each content in a flush the whole row with the smallest id, and the content's sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,7 @@ def _local_winners(id_at: int, text_at: int) -> Callable[[Iterator[pa.RecordBatc
             if held:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 out = rows.take(pa.array([at for _, at, _ in best], pa.int64()))
-                out = out.append_column("__sha", pa.array([sha for _, _, sha in best], pa.binary()))
+                out = out.append_column(key, pa.array([sha for _, _, sha in best], pa.binary()))
                 yield from out.to_batches(max_chunksize=512)
 
         at = size = 0
@@ -273,9 +274,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exch
     """The rows of ``docs`` that stay, whole: of equal texts the row with the smallest id; of rows equal in both, one."""
     names = docs.columns
     at = names.index(doc_id), names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    local = docs.mapInArrow(_local_winners(*at), schema + ", `__sha` binary")
-    return local.repartition(block_count(docs, exchange_bytes, least=4), "__sha").mapInArrow(_winners(*at, names), schema)
+    key = "sha"
+    while key.lower() in (n.lower() for n in names):
+        key += "_"
+    local = in_batches(docs).mapInArrow(_local_winners(*at, key), StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    return local.repartition(block_count(docs, exchange_bytes, least=4), key).mapInArrow(_winners(*at, names), docs.schema)
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import in_batches, slices, text_bytes
 from .subwords import WordSums, word_features
 
 #: Families of languages, by language code.
@@ -181,7 +181,7 @@ def _predicted(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    return in_batches(slim).mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
 
 
 def _identified(model: Model, at: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -196,4 +196,4 @@ def _identified(model: Model, at: int, least: float) -> Callable[[Iterator[pa.Re
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, whole, that have a language with at least this score."""
-    return docs.mapInArrow(_identified(model, docs.columns.index("text"), least), docs.schema)
+    return in_batches(docs).mapInArrow(_identified(model, docs.columns.index("text"), least), docs.schema)

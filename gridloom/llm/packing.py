@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import by_bytes, in_batches, scratch
 
 CAPACITY = 4096
 END = 1
@@ -129,17 +129,6 @@ class Chunks:
 _chunks: dict[int, Chunks] = {}
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes of ``column``, or one row."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
-            yield batch.slice(at, stop - at)
-            at = stop
-
-
 def _pieces(definition: str, capacity: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     closing, name = np.array([end], "<u4"), zlib.crc32(definition.encode())
 
@@ -166,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """doc_id, piece, start, length, ids_crc32 and the block (scan task) of every piece. The driver reads the tokenizer's file."""
     definition = Path(tokenizer).read_text(encoding="utf-8")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
-    return slim.mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
+    return in_batches(slim, BATCH_BYTES).mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:

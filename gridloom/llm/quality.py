@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import in_batches, slices, text_bytes
 from .subwords import WordSums, word_features
 
 
@@ -143,7 +143,7 @@ def _scored(model: Model, at: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_scored(model, 1), "doc_id long, score double")
+    return in_batches(slim).mapInArrow(_scored(model, 1), "doc_id long, score double")
 
 
 def _passing(model: Model, at: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,4 +157,4 @@ def _passing(model: Model, at: int, least: float) -> Callable[[Iterator[pa.Recor
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, whole, whose score is at least ``least``."""
-    return docs.mapInArrow(_passing(model, docs.columns.index("text"), least), docs.schema)
+    return in_batches(docs).mapInArrow(_passing(model, docs.columns.index("text"), least), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import scratch, slices, text_bytes
+from .common import in_batches, scratch, slices, text_bytes
 from .links import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) and h (a hash of the text) of every row."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long, h long")
+    return in_batches(slim).mapInArrow(_fingerprints, "doc_id long, fp long, h long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:

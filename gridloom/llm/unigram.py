@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import in_batches, slices, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁".encode()
@@ -292,7 +292,7 @@ def _round_trip(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and round_trip of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_round_trip(Pieces.read(model)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return in_batches(slim).mapInArrow(_round_trip(Pieces.read(model)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def _ids(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -309,7 +309,7 @@ def _ids(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and the array of ids of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_ids(Pieces.read(model)), "doc_id long, ids array<int>")
+    return in_batches(slim).mapInArrow(_ids(Pieces.read(model)), "doc_id long, ids array<int>")
 
 
 def _texts(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

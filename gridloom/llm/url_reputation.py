@@ -55,13 +55,13 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest fitting rule as ``host/path`` and its verdict; null if none fits."""
-    fits = None
-    verdict = None
+    fits = verdict = None
     for said, name, start in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2])):
         test = ((host == name) | host.endswith("." + name)) & path.startswith(start)
         fits = F.when(test, name + start) if fits is None else fits.when(test, name + start)
         verdict = F.when(test, said) if verdict is None else verdict.when(test, said)
-    return fits, verdict
+    none = F.lit(None).cast("string")
+    return (none, none) if fits is None else (fits, verdict)
 
 
 def suffix_of(host: Column, suffixes: tuple[str, ...]) -> Column:
