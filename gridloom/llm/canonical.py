@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import block_count, scratch, slices
+from .common import block_count, in_batches, scratch, slices
 from .exact_dedup import grace
 from .histogram_sort import LOW
 
@@ -127,10 +127,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     cut = slim.agg(F.min("i").alias("low"), marks.alias("marks")).first()
     cuts = np.array(sorted({cut["low"], *cut["marks"]}) if cut["low"] is not None else [LOW], np.int64)
 
-    digests = scratch(slim.select("i", "text").mapInArrow(_digests, "i long, digest binary"), "digests")
-    several = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = digests.join(several, "digest").select("i").distinct().mapInArrow(_blocked(cuts), "block int, i long")
-    dealt = slim.mapInArrow(_dealt(cuts), "block int, role int, i long, doc_id long, text string")
+    digests = scratch(in_batches(slim).select("i", "text").mapInArrow(_digests, "i long, digest binary"), "digests")
+    several = scratch(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "shared-digests")  # stored, so Spark can split a digest of many rows in the join
+    shared = digests.join(several, "digest").select("i").mapInArrow(_blocked(cuts), "block int, i long")
+    dealt = in_batches(slim).mapInArrow(_dealt(cuts), "block int, role int, i long, doc_id long, text string")
     schema = "doc_id long, n_chars long, edited_sha256 string, digest binary, edited_digest binary, like_next boolean, rep binary, form binary"
     rows = scratch(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_block, schema), "canonical")
 
