@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import divergence, scalar
 from ..matrix import CoordMatrix
 from ..operators import bregman, cocluster, experiments, factor, information, kmeans, learn, optimise, validity
+from ..session import cut
 from . import inputs as I  # noqa: E741, N812
 
 QUERIES, ORACLES = {}, {}
@@ -144,6 +145,7 @@ _OBJ = " UNION ALL ".join(f"SELECT {b} AS basis, '{k}' AS divergence, round(sum(
 @query(f"WITH {_Z} {_OBJ}")
 def bregman_objectives(spark, sf_dir):
     m, (rows, cols), out = I.user_part(spark, sf_dir), _labels(spark), None
+    m = CoordMatrix(cut(m.cells), m.n_rows, m.n_cols)  # read twelve times
     for basis in bregman.BASES:
         for kind in ("i", "e"):
             own = bregman.objective(m, rows, cols, basis, kind).select(F.lit(basis).alias("basis"), F.lit(kind).alias("divergence"), _r("objective"))
