@@ -38,7 +38,7 @@ from .common import by_bytes, in_batches, scratch
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 MEMO_WORDS = 300_000
 
 #: (lengths with their numbers in a bin, bins of this kind)
@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """doc_id, piece, start, length, ids_crc32 and the block (scan task) of every piece. The driver reads the tokenizer's file."""
     definition = Path(tokenizer).read_text(encoding="utf-8")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
-    return in_batches(slim, BATCH_BYTES).mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
+    return in_batches(slim, BATCH_BYTES, 8192).mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
