@@ -123,8 +123,8 @@ def histogram_sort(keys: DataFrame, shards: int = 16, tolerance: float = 0.002,
     keys = scratch(keys, "shard-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     sub = max(4, math.ceil(total["n"] / shards / part_rows))
-    cuts = sorted(splitters(keys, total["b"], shards, tolerance))
-    inner = sorted({*cuts, *splitters(keys, total["b"], shards * sub, 0.25)}) if total["n"] else cuts
+    cuts = sorted(splitters(keys, total["b"], shards, tolerance)) if total["n"] else []
+    inner = sorted({*cuts, *splitters(keys, total["b"], shards * sub, 0.25)}) if total["n"] else []
     shard_of = np.searchsorted(np.array([(c[0] - LOW << 64) + c[1] - LOW for c in cuts], dtype=object), np.array([(c[0] - LOW << 64) + c[1] - LOW for c in inner], dtype=object), side="right")
     _, rows = counted(keys, inner) if inner else ([], [])
     starts, before = [0, *rows], {}
