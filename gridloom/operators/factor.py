@@ -351,3 +351,47 @@ def _both(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     j = a.select("id", F.col("vec").alias("__x")).join(b.select("id", F.col("vec").alias("__y")), "id", "full_outer")
     zero = F.array(*[F.lit(0.0)] * k)
     return cut(j.select("id", F.zip_with(F.coalesce("__x", zero), F.coalesce("__y", zero), lambda x, y: x + y).alias("vec")))
+
+
+def _towards(step: float):
+    """The point a share of the way from a to b."""
+    return lambda a, b: a + (b - a) * step
+
+
+def linked_factors(user_group: CoordMatrix, user_user: CoordMatrix, k: int, weight: float = 1.0, reg: float = 0.1, rounds: int = 5) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, list[float]]:
+    """Users U, groups G, L1, L2 and the objective by round of :func:`linked_objective`.
+
+    Each part in turn takes its regularised least-squares solution with the others fixed. U also stands on the right of
+    U L2 U', so its step is shortened until the objective does not rise."""
+    ug, uu = CoordMatrix(cut(user_group.cells), user_group.n_rows, user_group.n_cols), CoordMatrix(cut(user_user.cells), user_user.n_rows, user_user.n_cols)
+    u, g = cut(start_factors(ug, k, "row")), cut(start_factors(ug, k, "col"))
+    l1, l2, eye, t = np.eye(k), np.eye(k), np.eye(k), ug.transpose()
+    zero = F.array(*[F.lit(0.0)] * k)
+
+    def mixed(a: np.ndarray, b: np.ndarray, target: np.ndarray, penalty: float) -> np.ndarray:
+        """L with A L B + penalty L = target."""
+        return np.linalg.solve(np.kron(a, b.T) + penalty * np.eye(k * k), target.ravel()).reshape(k, k)
+
+    history = [linked_objective(ug, uu, u, g, l1, l2, weight, reg)]
+    for _ in range(rounds):
+        uu_gram = gram(u, k)
+        solved = rotate(times_factors(t, rotate(u, l1), k), np.linalg.inv(l1.T @ uu_gram @ l1 + reg * eye))
+        g = cut(g.select("id").join(solved, "id", "left").select("id", F.coalesce("vec", zero).alias("vec")))
+        g_gram = gram(g, k)
+        l1 = mixed(uu_gram, g_gram, gram(u, k, times_factors(ug, g, k)), reg)
+        l2 = mixed(uu_gram, uu_gram, gram(u, k, times_factors(uu, u, k)), reg / weight if weight else 1.0)
+        now = linked_objective(ug, uu, u, g, l1, l2, weight, reg)
+        left = times_factors(ug, rotate(g, l1.T), k).unionByName(times_factors(uu, rotate(u, weight * l2.T), k))
+        top = left.groupBy("id").agg(*[F.sum(F.get("vec", F.lit(c))).alias(f"v{c}") for c in range(k)]).select("id", F.array(*[F.col(f"v{c}") for c in range(k)]).alias("vec"))
+        best = rotate(top, np.linalg.inv(l1 @ g_gram @ l1.T + weight * l2 @ uu_gram @ l2.T + reg * eye)).select("id", F.col("vec").alias("__b"))
+        goal = cut(u.join(best, "id", "left").select("id", "vec", F.coalesce("__b", zero).alias("__b")))
+        step = 1.0
+        while step > 1e-3:
+            moved = goal.select("id", F.zip_with("vec", "__b", _towards(step)).alias("vec"))
+            value = linked_objective(ug, uu, moved, g, l1, l2, weight, reg)
+            if value <= now:
+                u, now = cut(moved), value
+                break
+            step /= 2
+        history.append(now)
+    return u, g, l1, l2, history

@@ -140,3 +140,12 @@ def test_windowed_counts_wait_for_late_rows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["kind"], r["n"]) for r in spark.sql("SELECT * FROM windows").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_linked_factors_never_rise(network):
+    a, b, ug, uu = network
+    u, g, l1, l2, history = factor.linked_factors(ug, uu, 2, weight=0.5, reg=0.1, rounds=3)
+    assert all(y <= x + 1e-9 for x, y in zip(history, history[1:], strict=False)) and history[-1] < history[0]
+    x, y = (np.array([r["vec"] for r in f.orderBy("id").collect()]) for f in (u, g))
+    want = ((a - x @ l1 @ y.T) ** 2).sum() + 0.5 * ((b - x @ l2 @ x.T) ** 2).sum() + 0.1 * sum((m**2).sum() for m in (x, y, l1, l2))
+    assert np.isclose(want, history[-1])
