@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import shingle_join
 from .common import in_batches, scratch, slices, text_bytes
 from .links import components
 
@@ -176,12 +177,20 @@ def fingerprint_components(fps: DataFrame, n: int) -> DataFrame:
     return components(scratch(links.distinct(), "links"))
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row as doc_id, fp, h, component_id (the smallest doc_id reachable by links) and keep_h (that row's h, the smallest of several)."""
-    rows = scratch(fingerprinted(docs, doc_id, text), "fingerprints")
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", likeness: float | None = 0.8) -> DataFrame:
+    """Every row as doc_id, fp, h, component_id (the smallest doc_id reachable by links) and keep_h (that row's h, the smallest of several).
+
+    Links are those of texts whose sets of five-word shingles have a Jaccard similarity of at least ``likeness``, as in the pipeline; fp then names the set.
+    With None they are those of fingerprints, op10's rule."""
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
-    by_fp = scratch(rows.groupBy("fp").agg(F.min(own).alias("low")), "distinct-fingerprints")
-    roots = fingerprint_components(by_fp.select("fp"), by_fp.count())
+    if likeness is None:
+        rows = scratch(fingerprinted(docs, doc_id, text), "fingerprints")
+        by_fp = scratch(rows.groupBy("fp").agg(F.min(own).alias("low")), "distinct-fingerprints")
+        roots = fingerprint_components(by_fp.select("fp"), by_fp.count())
+    else:
+        rows = scratch(shingle_join.sketched(docs, doc_id, text), "sketches")
+        by_fp = scratch(rows.groupBy("fp").agg(F.min(own).alias("low"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "distinct-sketches")
+        roots = scratch(shingle_join.roots(by_fp, by_fp.count(), docs, likeness, doc_id, text), "roots")
     known = by_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = known.groupBy("root").agg(F.min("low").alias("low"))
     named = known.select("fp", "root").join(lows, "root").select("fp", F.col("low.doc_id").alias("component_id"), F.col("low.h").alias("keep_h"))
@@ -189,12 +198,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
-    out = near_groups(docs)
+    out = near_groups(docs, likeness=None)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", likeness: float | None = None) -> DataFrame:
     """The rows of ``docs``, whole, of which each group of near copies keeps its smallest doc_id; rows equal in id and text stay together."""
-    kept = near_groups(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("keep_h")))
+    kept = near_groups(docs, doc_id, text, likeness).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("keep_h")))
     kept = kept.select(F.col("doc_id").alias("__kept"), F.col("h").alias("__h")).distinct()
     return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["__kept"]) & (F.xxhash64(docs[text]) == kept["__h"]), "left_semi")

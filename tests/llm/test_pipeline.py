@@ -1,5 +1,6 @@
 import hashlib
 import os
+from collections import Counter
 
 import corpus_pipeline
 from gridloom.llm import queries
@@ -57,3 +58,47 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name, query in queries.QUERIES.items():
         if name != "op1_url_reputation":
             assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def brute_jaccard_groups(rows, likeness=0.8):
+    """The smallest id of each row's component, from all pairs of sets of five-word shingles."""
+    ids = sorted(rows)
+    sets = []
+    for i in ids:
+        words = (rows[i] or "").encode().lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for k, s in enumerate(sets):
+        for m, both in Counter(m for x in s for m in holders[x] if m < k).items():
+            if both >= likeness * (len(s) + len(sets[m]) - both):
+                links += 1
+                a, b = find(k), find(m)
+                root[max(a, b)] = min(a, b)
+    return {i: ids[find(k)] for k, i in enumerate(ids)}, links
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Copies with a few words changed, at similarities on both sides of 0.8, among the documents and short texts."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for k, i in enumerate(sorted(i for i, t in rows.items() if len((t or "").split()) > 60)[:150]):
+        words = rows[i].split()
+        for n in range(k % 6):
+            words[(n * 37 + k) % len(words)] = f"changed{n}"
+        rows[1_000_000 + i] = " ".join(words)
+    rows |= {2_000_000 + k: t for k, t in enumerate(["", " ", None, "a b c", "A  b c", "a b d", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h j"])}
+    want, links = brute_jaccard_groups(rows)
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(docs, likeness=0.8).collect()}
+    assert links > 50 and got == want
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == set(want.values())
