@@ -149,3 +149,13 @@ def test_linked_factors_never_rise(network):
     x, y = (np.array([r["vec"] for r in f.orderBy("id").collect()]) for f in (u, g))
     want = ((a - x @ l1 @ y.T) ** 2).sum() + 0.5 * ((b - x @ l2 @ x.T) ** 2).sum() + 0.1 * sum((m**2).sum() for m in (x, y, l1, l2))
     assert np.isclose(want, history[-1])
+
+
+def test_nuclear_completion_scores_every_cell(spark):
+    from helpers import SF
+
+    from gridloom.plans import inputs, registry
+
+    want = {(r["row"], r["col"]) for r in inputs.user_part(spark, SF).cells.collect()}
+    got = registry.QUERIES["nuclear_completion"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["row"], r["col"]) for r in got} == want
