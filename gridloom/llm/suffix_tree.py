@@ -1,367 +1,601 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Tokens are words, A-Z lower-cased, and one end for each text. The tree's symbols are the frequent words
-(at least ``least_share`` of the tokens), the end, and for the other words classes by their last two
-bytes; a word of a class is drawn by its own count, a word never seen by the class's number of
-words seen once. So the alphabet, and with it the tree, has a proven bound, while every word
-of the corpus is counted.
-
-A context is one or two symbols. It is a candidate if it makes up ``context_share`` of the tokens; it is
-retained, together with its suffix, if its next-symbol distribution diverges from its suffix's
-by more than its description costs: n * KL >= k/2 * ln(n) for k stored next symbols. Distributions
-are smoothed by absolute discounting towards the suffix's. A token is scored in the longest
-retained suffix of what precedes it; a text starts in the context ``end``.
-
-Steps: word counts (a count per task and word is exchanged); counts of next symbols, one pass a depth;
-scoring by blocks of texts: a block's distinct rare words are joined with the counts and
-brought to the block's texts, so tokens themselves are never exchanged.
+Tokens are words, A-Z lower-cased, and one end for each text; a text starts in the context ``end``.
+
+The tree. Without context a known word has the share (c - d) / N of its count; the mass d V / N of the V known
+words goes to spelled words: any word's probability under a chain of bytes learned from the known words.
+So unseen words have a proper probability too, and all words' probabilities sum to at most one. A
+context is the last one, two, three or more tokens. Its next-token counts n(c, w) of ``least`` or more are stored;
+what they leave over goes to the suffix: p(w | c) = max(n(c, w) - d, 0) / n(c) + back(c) p(w | suffix).
+A context is tried if its suffix is retained and it occurs ``least`` times, and retained if its stored distribution
+diverges from its suffix's by more than it costs to describe:
+sum over stored w of n log(share / p(w | suffix)) + (n(c) - stored) log back >= K / 2 log n(c), K stored words.
+The depth has no bound: levels are added until no context of any text is left to try. A token is
+scored in the longest retained suffix of what precedes it.
+
+The model lies in tables that grow with the corpus; nobody holds it whole. Texts are cut into blocks of token
+numbers, written once. For each level a block sends its distinct contexts and next words, packed by the
+hash of the context, and is sent back their totals and each context's verdict; from those it makes the
+probabilities of its own tokens and the next level's contexts. A context that makes up more than a part's
+share of the tokens is dealt to several parts by its next words, its sums are added up on the driver: at most
+two a part. A part too large for memory is worked off by ranges of hashes from a file of its task.
+
+Contexts are told apart by 64-bit hashes and next words of one context by 40 bits; counts of words are exact.
+The suffix's probability in the divergence test is rounded to an eighth of an octave.
 
 Defined results: a null text is empty and has the end alone. A null doc_id belongs to the training rows.
-Without training rows the model spreads evenly over the end and a word. Repeated rows count and
+Without training rows the end has one half, and spelled words the other. Repeated rows count and
 are returned as often as given. No rows: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import gc
+import tempfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_count, by_bytes, crc_remainder, in_batches, scratch, tokenised
+from .common import by_bytes, crc_remainder, in_batches, recorded, release, scratch, tokenised
 
 END_WORD = b"\n"  # no word holds white space
-BATCH_BYTES = 4 << 20
-MEMO_WORDS = 200_000
+LETTERS = 257  # bytes, and 256 for the start as what precedes and the end as what follows
+WORD_BITS = 40
 
 
 @dataclass(frozen=True)
 class Settings:
-    least_share: float = 1e-4
-    context_share: float = 1e-4
-    pair_share: float = 2e-6
     discount: float = 0.5
-    block_bytes: int = 3 << 20
+    least: int = 2
+    block_bytes: int = 6 << 20
+    part_tokens: int = 1 << 20
+    most_parts: int = 4096
+    part_bytes: int = 96 << 20
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts in pieces of at most BATCH_BYTES of text, and the end once for each text."""
-    for batch in by_bytes(batches, 0, BATCH_BYTES):
-        words, at, _ = tokenised(batch.column(0))
-        n = np.bincount(at, minlength=len(words))
-        words, n = pa.concat_arrays([words, pa.array([END_WORD], pa.binary())]), np.append(n, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], names=["word", "n"]).filter(pa.array(n > 0))
+# Packed arrays and hashes
 
 
-@dataclass
-class Alphabet:
-    """Symbol 0 is the end; then frequent words, then classes; the last symbol is the class of all else."""
-
-    words: dict[bytes, int]
-    classes: dict[bytes, int]
-    size: int
-    zero: np.ndarray  # distribution without context
-    class_total: np.ndarray
-    class_once: np.ndarray
-    word_count: np.ndarray = field(repr=False)
-
-    def symbol(self, word: bytes) -> int:
-        s = self.words.get(word)
-        return self.classes.get(word[-2:], self.size - 1) if s is None else s
-
-
-def alphabet(totals: DataFrame, s: Settings) -> tuple[Alphabet, int, int]:
-    """The alphabet, the tokens and the distinct tokens of the training rows."""
-    all_ = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(2, s.least_share * all_["n"])
-    top = totals.filter((F.col("n") >= least) | (F.col("word") == F.lit(END_WORD))).collect()  # at most 1 / least_share rows and one
-    frequent = sorted(((r["word"], r["n"]) for r in top if bytes(r["word"]) != END_WORD), key=lambda x: (-x[1], bytes(x[0])))
-    ends = sum(r["n"] for r in top if bytes(r["word"]) == END_WORD)
-    words = {END_WORD: 0} | {bytes(w): k for k, (w, _) in enumerate(frequent, 1)}
-    rest = totals.filter((F.col("n") < least) & (F.col("word") != F.lit(END_WORD)))
-    kinds = rest.groupBy(F.expr("substring(word, -2, 2)").alias("tail")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect()  # at most 2**16 + 2**8 tails
-    own = sorted((bytes(r["tail"]), r["n"], r["once"]) for r in kinds if r["n"] >= least)
-    other = [(r["n"], r["once"]) for r in kinds if r["n"] < least]
-    classes = {t: len(words) + k for k, (t, _, _) in enumerate(own)}
-    size = len(words) + len(classes) + 1
-    total, once = np.zeros(size), np.zeros(size)
-    for t, n, o in own:
-        total[classes[t]], once[classes[t]] = n, o
-    total[-1], once[-1] = sum(n for n, _ in other), sum(o for _, o in other)
-    count = np.zeros(size)
-    count[0] = ends
-    count[1 : len(words)] = [n for _, n in frequent]
-    zero = count + total + 0.5
-    return Alphabet(words, classes, size, zero / zero.sum(), total, once, count), all_["n"], all_["v"]
-
-
-class _Ids(dict):
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
-class Sequencer:
-    """Turns texts into symbols; remembers the words it has met."""
-
-    def __init__(self, letters: Alphabet):
-        self.letters = letters
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids, self.symbols = _Ids(), np.zeros(0, np.int64)
-        self.ids[END_WORD]  # number 0
-        self.grow()
-
-    def grow(self) -> list[bytes]:
-        new, self.ids.new = self.ids.new, []
-        self.symbols = np.concatenate([self.symbols, np.fromiter(map(self.letters.symbol, new), np.int64, len(new))])
-        return new
-
-    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all tokens, an end (0) after each text, and where each text starts."""
-        words, at, n = tokenised(texts)
-        numbers = np.fromiter(map(self.ids.__getitem__, words.to_pylist()), np.int64, len(words))
-        starts = np.cumsum(n + 1) - (n + 1)
-        ids = np.zeros(int(n.sum()) + len(n), np.int64)
-        ids[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = numbers[at]
-        return ids, starts
-
-
-#: Tables of up to so many entries are addressed directly; larger ones are searched. The results are the same.
-DIRECT = 4 << 20
-
-
-class Places:
-    """The place of a key among sorted keys, or -1."""
-
-    def __init__(self, keys: np.ndarray, span: int):
-        self.keys, self.table = keys, None
-        if 0 < span <= DIRECT:
-            self.table = np.full(span, -1, np.int32)
-            self.table[keys] = np.arange(len(keys), dtype=np.int32)
-
-    def of(self, key: np.ndarray) -> np.ndarray:
-        if self.table is not None:
-            return self.table[key]
-        if not len(self.keys):
-            return np.full(len(key), -1, np.int32)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, at, -1)
-
-
-def before(symbols: np.ndarray, starts: np.ndarray, contexts: Places | None, size: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """For each token the symbol before it (0 at a start) and the place of its two-symbol context, or -1."""
-    one = np.zeros_like(symbols)
-    one[1:] = symbols[:-1]
-    one[starts] = 0
-    if contexts is None:
-        return one, None
-    two = np.zeros_like(symbols)
-    two[1:] = one[:-1]
-    found = contexts.of(two * size + one)
-    found[starts] = -1
-    return one, found
-
-
-def _count_next(letters: Alphabet, contexts: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of (context * size + next symbol): one-symbol contexts, or the given two-symbol ones."""
+def _packed(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def _unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
+    buffer = zstandard.ZstdDecompressor().decompress(raw)
+    at, out = 8 * len(types), []
+    for n, t in zip(np.frombuffer(buffer, np.int64, len(types)).tolist(), types, strict=True):
+        out.append(np.frombuffer(buffer, t, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary ``words`` in one row, and where each ends, from 0."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+def _words_of(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    raw, ends = _flat(words)
+    size = np.diff(ends)
+    place = np.arange(len(raw)) - np.repeat(ends[:-1], size)
+    drawn = _mix(np.arange(1, int(size.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * drawn[place], dtype=np.uint64)])
+    return _mix(sums[ends[1:]] - sums[ends[:-1]] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _letter_pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(before * LETTERS + next) along all words, each with its start and end, and where each word begins."""
+    raw, ends = _flat(words)
+    number = np.arange(len(words))
+    at = np.arange(len(raw)) + np.repeat(number, np.diff(ends))
+    before, after = np.full(len(raw) + len(words), 256), np.full(len(raw) + len(words), 256)
+    after[at] = raw
+    before[at + 1] = raw
+    return before * LETTERS + after, ends[:-1] + number
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending; the place of each row's key among them; a row of each."""
+    order = np.argsort(key)
+    own = key[order]
+    new = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return own[new], place, order[new]
+
+
+# The model
+
+
+@dataclass(frozen=True)
+class Model:
+    """What all tasks share; of bounded size. ``hot``: for each level the hashes, sums and numbers of stored words of split contexts."""
+
+    settings: Settings
+    word_parts: int
+    parts: int = 1
+    tokens: int = 0
+    distinct: int = 0
+    letters: np.ndarray = field(default_factory=lambda: np.full(LETTERS**2, -np.log(LETTERS)), repr=False)
+    hot: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...] = ()
+
+    def spelled(self, words: pa.Array) -> np.ndarray:
+        """Natural log of each word's probability under the chain of bytes."""
+        pairs, begins = _letter_pairs(words)
+        return np.add.reduceat(self.letters[pairs], begins) if len(words) else np.zeros(0)
+
+    def splits(self, total: np.ndarray) -> np.ndarray:
+        """Over how many parts a context of so many occurrences is dealt."""
+        return np.clip(-(-total * self.parts // max(self.tokens, 1)), 1, self.parts)
+
+    def retained(self, total: np.ndarray, stored: np.ndarray, kinds: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """``gain``: sum of n (log(n - d) - log p(w | suffix)) over stored next words."""
+        total = np.maximum(total, 1).astype(float)
+        back = 1 - (stored - self.settings.discount * kinds) / total
+        whole = gain - stored * np.log(total) + (total - stored) * np.log(np.maximum(back, 1e-300))
+        return (kinds > 0) & (whole >= 0.5 * kinds * np.log(total))
+
+
+def letter_model(counts: dict[int, int]) -> np.ndarray:
+    n = np.full(LETTERS**2, 0.1)
+    for pair, k in counts.items():
+        n[pair] += k
+    n = n.reshape(LETTERS, LETTERS)
+    return np.log(n / n.sum(axis=1, keepdims=True)).ravel()
+
+
+# Blocks of texts
+
+_BLOCK = "block long, docs binary, ids binary, words binary"
+
+
+def _ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, held_out, text -> blocks of about ``block_bytes`` of text: rows, numbers of all tokens, distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, size = Sequencer(letters), letters.size
-        places = None if contexts is None else Places(contexts, size * size)
-        span = size * (size if contexts is None else len(contexts))
-        table = np.zeros(span, np.int64) if span <= DIRECT else None
-        keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def merged():
-            nonlocal keys, counts
-            own, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            waiting.clear()
-            keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-
-        for batch in by_bytes(batches, 0, BATCH_BYTES):
-            if len(seq.ids) > MEMO_WORDS:
-                seq.reset()
-            ids, starts = seq.ids_of(batch.column(0))
-            seq.grow()
-            symbols = seq.symbols[ids]
-            one, two = before(symbols, starts, places, size)
-            key = one * size + symbols if two is None else (two * np.int64(size) + symbols)[two >= 0]
-            if table is not None:
-                np.add.at(table, key, 1)
-                continue
-            waiting.append(key)
-            if sum(map(len, waiting)) > 1 << 21:
-                merged()
-            if len(keys) > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if table is not None:
-            keys = np.flatnonzero(table)
-            counts = table[keys]
-        else:
-            merged()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            words, at, n = tokenised(t.column("text").combine_chunks())
+            stops = np.cumsum(n + 1)
+            ids = np.zeros(int(stops[-1]), np.int32)
+            ids[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = at + 1
+            raw, ends = _flat(pa.concat_arrays([pa.array([END_WORD], pa.binary()), words]))
+            docs = t.drop_columns("text").append_column("n", pa.array(n + 1))
+            row = [block, _ipc(docs), _packed(ids), _packed(np.diff(ends).astype(np.int32), raw)]
+            return pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "docs", "ids", "words"])
+
+        for batch in by_bytes(batches, 2, block_bytes):
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+            if size >= block_bytes or sum(b.num_rows for b in held) >= block_bytes // 16:
+                yield flush()
+                block, held, size = block + 1, [], 0
+        if any(b.num_rows for b in held):
+            yield flush()
 
     return run
 
 
 @dataclass
-class Level:
-    """Retained contexts of one depth: weight of the suffix for each, and stored (context, next) probabilities."""
-
-    back: np.ndarray  # by context; 1 where not retained
-    keys: np.ndarray
-    values: np.ndarray
-
-    def blend(self, lower: np.ndarray, at: np.ndarray, symbols: np.ndarray, size: int, places: Places | None = None) -> np.ndarray:
-        """``lower`` mixed with the stored probabilities where a context (``at`` >= 0) is there."""
-        out = lower.copy()
-        rows = np.flatnonzero(at >= 0)
-        if len(rows) and len(self.back):
-            out[rows] *= self.back[at[rows]]
-            hit = (places or self.places(size)).of(at[rows] * np.int64(size) + symbols[rows])
-            known = hit >= 0
-            out[rows[known]] += self.values[hit[known]]
-        return out
-
-    def places(self, size: int) -> Places:
-        return Places(self.keys, size * len(self.back))
-
-
-def _level(keys: np.ndarray, n: np.ndarray, total: np.ndarray, lower: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, s: Settings, must: np.ndarray | None = None) -> tuple[Level, np.ndarray]:
-    """Smooth, test and keep contexts. ``total``: tokens after each context; ``must``: contexts kept whatever the test says."""
-    context, symbol = keys // size, keys % size
-    share = (n - s.discount) / total[context]
-    back = 1 - np.bincount(context, weights=share, minlength=len(total)).astype(float)
-    prob = share + back[context] * lower(context, symbol)
-    gain = np.bincount(context, weights=n * np.log(prob / lower(context, symbol)), minlength=len(total)).astype(float)
-    stored = np.bincount(context, minlength=len(total))
-    unseen = total - np.bincount(context, weights=n, minlength=len(total))
-    gain += unseen * np.log(np.maximum(back, 1e-12))  # tokens after it that are not stored
-    kept = (stored > 0) & (gain >= 0.5 * stored * np.log(np.maximum(total, 2)))
-    if must is not None:
-        kept[must] |= stored[must] > 0
-    rows = kept[context]
-    return Level(np.where(kept, back, 1.0), keys[rows], share[rows]), kept
+class Block:
+    docs: pa.Table
+    ids: np.ndarray
+    words: pa.Array
+    hashes: np.ndarray
+    starts: np.ndarray
+    train: np.ndarray  # by token
 
+    @classmethod
+    def of(cls, docs: bytes, ids: bytes, words: bytes) -> Block:
+        table = pa.ipc.open_stream(docs).read_all()
+        n = table["n"].to_numpy()
+        own = _words_of(*_unpacked(words, "i4", "u1"))
+        return cls(table, _unpacked(ids, "i4")[0], own, word_hashes(own), np.cumsum(n) - n, np.repeat(~np.asarray(table["held_out"]), n))
+
+    def word_order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        part = (self.hashes % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((self.hashes, part))
+        return order, part[order]
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, start, stop) of ascending ``part``."""
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    yield from zip(part[edges].tolist(), edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True)
 
-@dataclass
-class Model:
-    letters: Alphabet
-    tokens: int
-    distinct: int
-    first: Level
-    contexts: np.ndarray
-    second: Level
-
-    def symbol_probability(self, symbols: np.ndarray, starts: np.ndarray, places: tuple[Places, Places, Places] | None = None) -> np.ndarray:
-        size = self.letters.size
-        contexts, first, second = places or self.places()
-        one, two = before(symbols, starts, contexts, size)
-        return self.second.blend(self.first.blend(self.letters.zero[symbols], one, symbols, size, first), two, symbols, size, second)
-
-    def places(self) -> tuple[Places, Places, Places]:
-        size = self.letters.size
-        return Places(self.contexts, size * size), self.first.places(size), self.second.places(size)
-
-
-def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = counts.toArrow().combine_chunks()
-    keys, n = (t.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(keys)
-    return keys[order], n[order].astype(float)
-
-
-def fit(texts: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """``texts``: the training texts. Returns the model and the table of all words with their counts."""
-    totals = scratch(in_batches(texts).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
-    letters, tokens, distinct = alphabet(totals, s)
-    size, least = letters.size, max(2, s.pair_share * tokens)
-    counted = lambda contexts: in_batches(texts).mapInArrow(_count_next(letters, contexts), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    keys, n = _collected(counted(None))  # at most 1 / pair_share rows
-    total = letters.word_count + letters.class_total
-    total = np.maximum(total, np.bincount(keys // size, weights=n, minlength=size)) if len(keys) else np.maximum(total, 1)
-    first, kept = _level(keys, n, np.maximum(total, 1), lambda c, x: letters.zero[x], size, s)
-    contexts, own = keys[(n >= max(2, s.context_share * tokens)) & (keys % size > 0)], n[(n >= max(2, s.context_share * tokens)) & (keys % size > 0)]
-    if not len(contexts):
-        return Model(letters, tokens, distinct, first, contexts, Level(np.zeros(0), contexts, np.zeros(0))), totals
-    keys2, n2 = _collected(counted(contexts))
-    below = lambda c, x: first.blend(letters.zero[x], contexts[c] % size, x, size)
-    second, kept2 = _level(keys2, n2, np.maximum(own, np.bincount(keys2 // size, weights=n2, minlength=len(own)) if len(keys2) else own), below, size, s)
-    suffixes = np.unique(contexts[kept2] % size)
-    if (~kept[suffixes]).any():  # a retained context's suffix is retained too
-        first, _ = _level(keys, n, np.maximum(total, 1), lambda c, x: letters.zero[x], size, s, suffixes)
-        second, kept2 = _level(keys2, n2, np.maximum(own, np.bincount(keys2 // size, weights=n2, minlength=len(own)) if len(keys2) else own), below, size, s)
-    return Model(letters, tokens, distinct, first, contexts, second), totals
-
-
-def _rare_words(letters: Alphabet) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        words: set[bytes] = set()
-        for batch in by_bytes(iter(table.to_batches()), table.schema.get_field_index("text"), BATCH_BYTES):
-            words.update(tokenised(batch.column("text"))[0].to_pylist())
-        words -= letters.words.keys() | {b""}
-        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary())})
+
+_PACKET = "part int, block long, payload binary"
+
+
+def _packets(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, block, payload = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(payload, pa.binary())], names=["part", "block", "payload"])
+
+
+def _send_words(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = Block.of(*row)
+                n = np.bincount(own.ids, weights=own.train, minlength=len(own.words)).astype(np.int64)
+                order, part = own.word_order(parts)
+                raw, ends = _flat(own.words.take(pa.array(order)))
+                yield _packets([(p, block, _packed(np.diff(ends[i : j + 1]).astype(np.int32), n[order[i:j]], raw[ends[i] : ends[j]])) for p, i, j in _runs(part)])
 
     return run
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+# Parts
+
+_RETURN = "level int, block long, part int, seq int, payload binary"
+SCORES = -3
+HOT = -2
+SUMS = -1
+
+
+class _Spool:
+    """The packets of a part, in memory up to ``most`` bytes unpacked, beyond that in a file of the task."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.bytes, self.file, self.sizes = most, [], 0, None, []
+
+    def add(self, block: int, payload: bytes, size: int) -> None:
+        self.bytes += size
+        if self.file is None and self.bytes > self.most:
+            self.file = tempfile.TemporaryFile()  # noqa: SIM115
+            for x in self.held:
+                self._write(*x)
+            self.held.clear()
+        if self.file is None:
+            self.held.append((block, payload))
+        else:
+            self._write(block, payload)
+
+    def _write(self, block: int, payload: bytes) -> None:
+        self.file.write(payload)
+        self.sizes.append((block, len(payload)))
+
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        if self.file is None:
+            yield from self.held
+            return
+        self.file.seek(0)
+        for block, n in self.sizes:
+            yield block, self.file.read(n)
+
+    def ranges(self) -> list[tuple[int, int]]:
+        """Ranges of hashes that split the packets to pieces of about ``most`` bytes."""
+        k = max(1, -(-self.bytes // self.most))
+        edges = [(r << 64) // k for r in range(k)] + [1 << 64]
+        return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, _Spool]]:
+    """Rows sorted by part -> the packets of each part."""
+    part, spool = None, None
+    for b in batches:
+        for p, block, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if p != part:
+                if spool is not None:
+                    yield part, spool
+                part, spool = p, _Spool(most)
+            spool.add(block, payload, zstandard.frame_content_size(payload) if p >= 0 else len(payload))
+    if spool is not None:
+        yield part, spool
+
+
+def _within(hashes: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    return int(np.searchsorted(hashes, np.uint64(low))), len(hashes) if high >= 1 << 64 else int(np.searchsorted(hashes, np.uint64(high)))
+
 
+def _returned(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["level", "block", "part", "seq", "payload"])
 
-def _score(model: Model) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    letters, held = model.letters, []
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not held:
-            held.append(model.places())
-        seq, rare = Sequencer(letters), dict(zip(right["word"].to_pylist(), right["n"].to_pylist(), strict=True))
-        count = np.array([letters.word_count[0]])
-        inner = np.zeros(1)
-        out = []
-        for batch in by_bytes(iter(left.to_batches()), left.schema.get_field_index("text"), BATCH_BYTES):
-            ids, starts = seq.ids_of(batch.column("text"))
-            if not len(starts):
+def _total_words(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Totals of all words for the blocks that sent them; tokens, distinct words and pairs of letters of the distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, spool in _by_part(batches, most):
+            for seq, (low, high) in enumerate(spool.ranges()):
+                blocks, words, counts = [], [], []
+                for block, payload in spool:
+                    lengths, n, raw = _unpacked(payload, "i4", "i8", "u1")
+                    own = _words_of(lengths, raw)
+                    i, j = _within(word_hashes(own), low, high)
+                    blocks.append(block)
+                    words.append(own.slice(i, j - i))
+                    counts.append(n[i:j])
+                met = pa.concat_arrays(words).dictionary_encode()
+                at, n = met.indices.to_numpy(), np.concatenate(counts)
+                total = np.bincount(at, weights=n, minlength=len(met.dictionary)).astype(np.int64)
+                stops = np.cumsum([len(c) for c in counts]).tolist()
+                rows = [(0, block, part, seq, _packed(total[at[i:j]])) for block, i, j in zip(blocks, [0, *stops[:-1]], stops, strict=True)]
+                known = total > 0
+                ends = int(total[pc.index(met.dictionary, pa.scalar(END_WORD, pa.binary())).as_py()]) if pc.index(met.dictionary, pa.scalar(END_WORD, pa.binary())).as_py() >= 0 else 0
+                spelled = met.dictionary.filter(pa.array(known & ~np.asarray(pc.equal(met.dictionary, pa.scalar(END_WORD, pa.binary())))))
+                pairs = np.bincount(_letter_pairs(spelled)[0], minlength=LETTERS**2) if len(spelled) else np.zeros(LETTERS**2, np.int64)
+                pairs = np.append(pairs, [total.sum(), known.sum(), ends])
+                kinds = np.flatnonzero(pairs)
+                yield _returned([*rows, (0, SUMS, part, seq, _packed(kinds, pairs[kinds].astype(np.int64)))])
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for payload in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(payload, "i8", "i8")], names=["pair", "n"])
+
+
+_CONTEXTS = ("u8", "i8", "i4", "u4", "u1", "i4", "u1")  # of a packet: context, its occurrences, its entries; an entry's word (low, high bits), count, rounded probability
+
+
+def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Totals of all (context, next word), and which contexts are retained, for the blocks that asked."""
+    d, least = m.settings.discount, m.settings.least
+
+    def judged(part: int, seq: int, blocks: list[int], packets: list[list[np.ndarray]]) -> list[tuple]:
+        context, total, entries, low, high, n, rounded = (np.concatenate(x) for x in zip(*packets, strict=True))
+        kinds, at, sample = _groups(context)
+        occur = total[sample]
+        key = (np.repeat(at, entries) << WORD_BITS) | (high.astype(np.int64) << 32) | low
+        own, place, one = _groups(key)
+        sums = np.bincount(place, weights=n, minlength=len(own)).astype(np.int64)
+        kept = np.flatnonzero(sums >= least)
+        of = own[kept] >> WORD_BITS
+        stored = np.bincount(of, weights=sums[kept], minlength=len(kinds)).astype(np.int64)
+        words = np.bincount(of, minlength=len(kinds))
+        gain = np.bincount(of, weights=sums[kept] * (np.log(sums[kept] - d) + rounded[one[kept]] * (np.log(2) / 8)), minlength=len(kinds))
+        split = m.splits(occur) > 1
+        fine = m.retained(occur, stored, words, gain) & ~split
+        sums[sums < least] = 0
+        back, stored_out, words_out = sums[place], np.where(fine, stored, 0)[at], np.where(fine, words, 0)[at]
+        rows, i, j = [], 0, 0
+        for block, p in zip(blocks, packets, strict=True):
+            rows.append((level, block, part, seq, _packed(stored_out[i : i + len(p[0])], words_out[i : i + len(p[0])], back[j : j + len(p[3])])))
+            i, j = i + len(p[0]), j + len(p[3])
+        if split.any():
+            rows.append((level, HOT, part, seq, _packed(kinds[split], occur[split], stored[split], words[split], gain[split])))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, spool in _by_part(batches, m.settings.part_bytes):
+            if part < 0:  # finished blocks' scores pass through
+                yield _returned([(level, SCORES, part, 0, payload) for _, payload in spool])
                 continue
-            if new := seq.grow():
-                symbols = seq.symbols[-len(new) :]
-                frequent = symbols < len(letters.words)
-                own = np.where(frequent, letters.word_count[symbols], np.fromiter((rare.get(w, 0) for w in new), float, len(new)))
-                whole = letters.class_total[symbols] + letters.class_once[symbols] + 1
-                chance = np.where(own > 0, own, letters.class_once[symbols] + 1) / whole
-                count = np.concatenate([count, own])
-                inner = np.concatenate([inner, np.where(frequent, 0.0, np.log10(chance))])
-            c = count[ids]
-            base = np.log10((c + 1) / (model.tokens + model.distinct + 1))
-            own = np.log10(model.symbol_probability(seq.symbols[ids], starts, held[0])) + inner[ids]
-            n = np.diff(np.append(starts, len(ids)))
-            known = np.add.reduceat((c > 0).astype(np.int64), starts)
-            out.append(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(n), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(n), model.tokens, np.int64)), "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(own, starts))}))
-        if not out:
-            return pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        return pa.concat_tables(out)
+            for seq, (low, high) in enumerate(spool.ranges()):
+                blocks, packets = [], []
+                for block, payload in spool:
+                    p = _unpacked(payload, *_CONTEXTS)
+                    i, j = _within(p[0], low, high)
+                    ends = np.concatenate([[0], np.cumsum(p[2])])
+                    blocks.append(block)
+                    packets.append([*(x[i:j] for x in p[:3]), *(x[ends[i] : ends[j]] for x in p[3:])])
+                yield _returned(judged(part, seq, blocks, packets))
 
     return run
 
 
+# Levels
+
+
+@dataclass
+class Plan:
+    """A block's contexts and entries of a level, in the order in which they are sent and come back."""
+
+    rows: np.ndarray  # tokens that have a context
+    contexts: np.ndarray
+    occur: np.ndarray
+    at: np.ndarray  # each row's context
+    slots: np.ndarray  # context of each slot, in order of part
+    parts: np.ndarray  # part of each slot
+    with_entry: np.ndarray  # tokens that have an entry
+    place: np.ndarray  # each such token's entry
+    keys: np.ndarray  # (slot, word) of each entry
+    sample: np.ndarray  # a token of each entry
+
+
+def _plan(context: np.ndarray, occur: np.ndarray, rows: np.ndarray, has: np.ndarray, word: np.ndarray, m: Model) -> Plan:
+    contexts, at, sample = _groups(context[rows])
+    total = occur[rows][sample]
+    n = m.splits(total)
+    first = np.cumsum(n) - n
+    slots = np.repeat(np.arange(len(contexts)), n)
+    part = ((contexts[slots] + (np.arange(len(slots)) - first[slots]).astype(np.uint64)) % np.uint64(m.parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(slots), np.int64)
+    rank[order] = np.arange(len(slots))
+    some = has[rows]
+    tokens, own = rows[some], at[some]
+    keys, place, one = _groups((rank[first[own] + word[tokens] % n[own]] << WORD_BITS) | word[tokens])
+    return Plan(rows, contexts, total, at, slots[order], part[order], tokens, place, keys, tokens[one])
+
+
+def _sent(p: Plan, block: int, train: np.ndarray, prob: np.ndarray) -> pa.RecordBatch:
+    n = np.bincount(p.place, weights=train[p.with_entry], minlength=len(p.keys)).astype(np.int32)
+    rounded = np.clip(np.rint(-8 * np.log2(prob[p.sample])), 0, 255).astype(np.uint8)
+    word = p.keys & ((1 << WORD_BITS) - 1)
+    entries = np.bincount(p.keys >> WORD_BITS, minlength=len(p.slots)).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(entries)])
+    out = []
+    for part, i, j in _runs(p.parts):
+        a, b = ends[i], ends[j]
+        out.append((part, block, _packed(p.contexts[p.slots[i:j]], p.occur[p.slots[i:j]], entries[i:j], (word[a:b] & 0xFFFFFFFF).astype(np.uint32), (word[a:b] >> 32).astype(np.uint8), n[a:b], rounded[a:b])))
+    return _packets(out)
+
+
+def _verdicts(p: Plan, payloads: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stored occurrences and stored words of each context (0 where it is not retained), and the total of each entry."""
+    stored, words, total = (np.concatenate(x) for x in zip(*(_unpacked(x, "i8", "i8", "i8") for x in payloads), strict=True))
+    s, k = np.zeros(len(p.contexts), np.int64), np.zeros(len(p.contexts), np.int64)
+    s[p.slots], k[p.slots] = stored, words
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], p.contexts), len(hot[0]) - 1)
+        met = hot[0][at] == p.contexts
+        s[met], k[met] = hot[1][at[met]], hot[2][at[met]]
+    return s, k, total
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(own: Block, count: np.ndarray, log_prob: np.ndarray, m: Model) -> bytes:
+    c, n = count[own.ids], own.docs["n"].to_numpy()
+    sums = lambda x: pa.array(np.add.reduceat(x, own.starts))
+    base = np.log10((c + 1) / (m.tokens + m.distinct + 1))
+    cols = [own.docs["doc_id"], own.docs["held_out"], pa.array(n.astype(np.int64)), sums((c > 0).astype(np.int64)), pa.array(np.full(len(n), m.tokens, np.int64)), sums(base), sums(log_prob)]
+    return _ipc(pa.table(cols, names=[x.split()[0] for x in _SCORES.split(", ")]))
+
+
+def _advance(m: Model, level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block with what came back for the levels before -> its packets of this level, or its scores if no context is left to try."""
+    d, least = m.settings.discount, m.settings.least
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def packets(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
+        back: dict[int, list[tuple[int, int, bytes]]] = {}
+        for lev, part, seq, payload in zip(*(right[c].to_pylist() for c in ("level", "part", "seq", "payload")), strict=True):
+            back.setdefault(lev, []).append((part, seq, payload))
+        if not left.num_rows or level - 1 not in back:  # its scores are there already
+            return _packets([])
+        of = lambda lev: [x[2] for x in sorted(back[lev])]
+        own = Block.of(*(left[c][0].as_py() for c in ("docs", "ids", "words")))
+        block = left["block"][0].as_py()
+
+        order, _ = own.word_order(m.word_parts)
+        count = np.zeros(len(own.words), np.int64)
+        count[order] = np.concatenate([_unpacked(x, "i8")[0] for x in of(0)])
+        spelled = m.spelled(own.words)
+        if m.tokens:
+            known = np.maximum(count - d, 0) / m.tokens
+            mass = d * m.distinct / m.tokens
+            spell = np.where(np.arange(len(count)) > 0, mass * np.exp(spelled), 0.0)
+        else:
+            known, mass, spell = np.zeros(len(count)), 0.5, np.zeros(len(count))
+        rest = np.where(count > 0, 0.0, np.log(mass) + np.where(np.arange(len(count)) > 0, spelled, 0.0))  # unseen words: a factor that no count is added to
+        word_prob = np.where(count > 0, known + spell, 1.0)
+
+        token = own.hashes[own.ids]
+        word = (token >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        n, prob = count[own.ids], word_prob[own.ids]
+        context, occur = np.roll(token, 1), np.roll(n, 1)
+        context[own.starts], occur[own.starts] = own.hashes[0], count[0]
+        start = np.zeros(len(token), bool)
+        start[own.starts] = True
+        rows = np.flatnonzero(occur >= least)
+        for lev in range(1, level + 1):
+            if not len(rows):
+                break
+            p = _plan(context, occur, rows, n >= least, word, m)
+            if lev == level:
+                return _sent(p, block, own.train, prob)
+            stored, words, total = _verdicts(p, of(lev), m.hot[lev])
+            n = np.zeros(len(token), np.int64)
+            n[p.with_entry] = total[p.place]
+            kept = (words > 0)[p.at]
+            hit = rows[kept]
+            s, k, all_ = (x[p.at[kept]] for x in (stored, words, p.occur))
+            prob[hit] = np.maximum(n[hit] - d, 0) / all_ + (1 - (s - d * k) / all_) * prob[hit]
+            context = _mix(np.roll(context, 1) * step + np.roll(token, 1))
+            occur = np.roll(n, 1)
+            rows = hit[(occur[hit] >= least) & ~start[hit]]
+        score = _scored(own, count, (np.log(prob) + rest[own.ids]) / np.log(10), m)
+        return _packets([(-1 - block % max(1, m.parts), block, score)])
+
+    return lambda left, right: pa.Table.from_batches([packets(left, right)])
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for payload in b.column(0).to_pylist():
+            yield from pa.ipc.open_stream(payload).read_all().to_batches()
+
+
+def _hot(rows: list, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds up the sums of split contexts, at most two a part, and keeps those that pass."""
+    parts = [_unpacked(r["payload"], "u8", "i8", "i8", "i8", "f8") for r in rows]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    context, occur, stored, words, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
+    kinds, at, sample = _groups(context)
+    s, k, g = (np.bincount(at, weights=x, minlength=len(kinds)) for x in (stored, words, gain))
+    fine = m.retained(occur[sample], s, k, g)
+    return kinds, np.where(fine, s, 0).astype(np.int64), np.where(fine, k, 0).astype(np.int64)
+
+
+def _forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished levels go when the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Learn from the rows whose crc32(doc_id) mod 7 is not 2 and score all rows."""
+    spark = docs.sparkSession
     held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    model, totals = fit(slim.filter(~F.col("held_out")).select("text"), s)
-    blocks = block_count(slim, s.block_bytes)
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    rare = dealt.groupBy("block").applyInArrow(_rare_words(model.letters), "block int, word binary")
-    known = rare.join(totals, "word").select("block", "word", "n")
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(model), _SCORES)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    used: list[str] = []
+    with recorded(used):
+        blocks = scratch(in_batches(slim).mapInArrow(_blocks(s.block_bytes), _BLOCK), "blocks")
+        m = Model(s, min(s.most_parts, max(1, blocks.count())))
+
+        def totals(packets: DataFrame, parts: int, reduce: Callable, name: str) -> DataFrame:
+            return scratch(packets.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(reduce, _RETURN), name)
+
+        back = [totals(blocks.mapInArrow(_send_words(m.word_parts), _PACKET), m.word_parts, _total_words(s.part_bytes), "word-totals")]
+        sums = back[0].filter(F.col("block") == SUMS).select("payload").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        found = {r["pair"]: r["n"] for r in sums.collect()}  # at most LETTERS ** 2 + 3 rows
+        tokens, distinct, _ = (found.pop(LETTERS**2 + k, 0) for k in range(3))
+        m = replace(m, parts=min(s.most_parts, max(1, -(-tokens // s.part_tokens))), tokens=tokens, distinct=distinct, letters=letter_model(found), hot=((np.zeros(0, np.uint64),) * 3,))
+        level = 0
+        while not back[-1].filter("block >= 0").isEmpty():
+            level += 1
+            known = back[0]
+            for b in back[1:]:
+                known = known.unionByName(b)
+            sent = blocks.groupBy("block").cogroup(known.filter("block >= 0").groupBy("block")).applyInArrow(_advance(m, level), _PACKET)
+            back.append(totals(sent, m.parts, _judge(m, level), "suffix-level"))
+            m = replace(m, hot=(*m.hot, _hot(back[-1].filter(F.col("block") == HOT).select("payload").collect(), m)))
+            _forget_shuffles(spark)
+        scores = back[0].limit(0)
+        for b in back[1:]:
+            scores = scores.unionByName(b.filter(F.col("block") == SCORES))
+        last: list[str] = []
+        with recorded(last):
+            out = scratch(scores.select("payload").mapInArrow(_rows_of, _SCORES), "suffix-scores")
+    release(spark, [x for x in used if x not in last])
+    return out
