@@ -6,18 +6,20 @@ of a pair votes; most votes win, equal votes go to the larger sum of margins, th
 that sorts first. The score is the product of the two winners' logistic weakest margins.
 
 Training takes about ``rows_per_language`` rows of each language, those whose id hashes below the
-share needed, of texts of at most ``longest`` bytes. Every text is classified whole.
+share needed, with their whole texts. Every text is classified whole.
 
 Defined results: ``und`` with score 0 where a text is null or has no letter. A language without
 relatives in FAMILIES is a family of its own. With one language in training, every text with a
-letter is that language, score 1; with none, every text is ``und``. Repeated rows are classified
-alike. Extra columns are not read.
+letter is that language, score 1; with none, every text is ``und``. Several texts of one id and language: the one
+with the smallest hash is learned from. Repeated rows are classified alike. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, slices, text_bytes
-from .subwords import WordSums, word_features
+from .subwords import WordSums, bag_of, collected_bags
 
 #: Families of languages, by language code.
 FAMILIES = {
@@ -41,7 +43,6 @@ class Settings:
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     rows_per_language: int = 400
-    longest: int = 40_000
     epochs: int = 12
     penalty: float = 1e-4
     seed: int = 11
@@ -52,10 +53,7 @@ def _has_no_letter(word: bytes) -> bool:
 
 
 def _bag(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    words = [w for w in text.split() if not _has_no_letter(w)]
-    owner, bucket = word_features(words, s.sizes, s.bits, whole=False, fold=True)
-    ids, n = np.unique(bucket, return_counts=True)
-    return ids, n / max(n.sum(), 1)
+    return bag_of(Counter({w: n for w, n in Counter(text.split()).items() if not _has_no_letter(w)}), s.sizes, s.bits, whole=False, fold=True)
 
 
 SCALE = 12.0  # brings shares of n-grams to vectors of about unit length
@@ -134,8 +132,7 @@ class Model:
         return predict
 
 
-def train(texts: list[bytes], langs: list[str], s: Settings = Settings(), families: dict[str, str] = FAMILIES) -> Model:
-    bags = [_bag(t, s) for t in texts]
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], s: Settings = Settings(), families: dict[str, str] = FAMILIES) -> Model:
     used = [k for k, (ids, _) in enumerate(bags) if len(ids)]
     languages = tuple(sorted({langs[k] for k in used}))
     family = {x: families.get(x, x) for x in languages}
@@ -154,18 +151,17 @@ def train(texts: list[bytes], langs: list[str], s: Settings = Settings(), famili
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Learn from the rows of ``docs`` with a language, a bounded sample of each."""
-    known = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], [], s)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     wanted = None
     for lang, n in sorted(counts.items()):
-        test = (F.col("lang") == lang) & (place < min(1.0, s.rows_per_language / n))
+        test = (F.col("label") == lang) & (place < min(1.0, s.rows_per_language / n))
         wanted = test if wanted is None else wanted | test
-    rows = known.filter(wanted & (F.octet_length("text") <= s.longest)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows], s)
+    bags, langs = collected_bags(known.filter(wanted & F.col("text").isNotNull()), partial(_bag, s=s))
+    return train(bags, langs, s)
 
 
 def _predicted(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

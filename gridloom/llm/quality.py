@@ -6,11 +6,11 @@ shrinks with its past gradients. As both layers are linear up to the softmax, sc
 one number for each feature: its vector's product with the difference of the output rows.
 
 Training takes at most ``rows_per_label`` labelled rows of each label, those with the smallest
-hash of their id, of texts of at most ``longest`` bytes; the output bias is then shifted to the
+hash of their id, of which it learns whole texts; the output bias is then shifted to the
 labels' true shares. Every text is scored whole.
 
 Defined results: null and empty texts have no features and get the bias alone. Several label rows
-of one id: the smallest label counts. Null ids or labels are not learned from. Where only
+of one id: the smallest label counts. Several texts of one id: the one with the smallest hash is learned from. Null ids or labels are not learned from. Where only
 one label or none occurs, all scores are the labels' share (0.5 without labels). Ties in a score
 need no rule. Repeated rows are scored alike. Extra columns are not read.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from operator import eq
 
 import numpy as np
@@ -28,11 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, slices, text_bytes
-from .subwords import WordSums, word_features
-
-
-#: The bucket of a word that repeats the one before it.
-SAME = 0
+from .subwords import WordSums, bag_of, collected_bags
 
 
 @dataclass(frozen=True)
@@ -43,7 +40,6 @@ class Settings:
     epochs: int = 8
     rate: float = 0.25
     rows_per_label: int = 1200
-    longest: int = 40_000
     seed: int = 7
 
 
@@ -55,7 +51,7 @@ class Model:
 
     def scorer(self) -> Callable[[list[bytes]], np.ndarray]:
         s = self.settings
-        words = WordSums(self.weights[None, :], s.sizes, s.bits, whole=True, fold=False, same=SAME)
+        words = WordSums(self.weights[None, :], s.sizes, s.bits, whole=True, fold=False, same=1 << s.bits)
 
         def score(texts: list[bytes]) -> np.ndarray:
             sums, count = words.score(texts)
@@ -67,26 +63,19 @@ class Model:
 def _bag(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     tokens = text.split()
-    counts = Counter(tokens)
-    owner, bucket = word_features(list(counts), s.sizes, s.bits, whole=True, fold=False)
-    n = np.array(list(counts.values()), float)[owner]
-    if repeats := sum(map(eq, tokens, tokens[1:])):
-        bucket, n = np.append(bucket, SAME), np.append(n, repeats)
-    ids, at = np.unique(bucket, return_inverse=True)
-    share = np.bincount(at, weights=n, minlength=len(ids)) if len(ids) else np.zeros(0)
-    return ids, share / max(share.sum(), 1)
-
-
-def train(texts: list[bytes], labels: list[int], share: float, s: Settings = Settings()) -> Model:
-    """``share``: true share of label 1, which the score's bias is set to."""
+    repeats = sum(map(eq, tokens, tokens[1:]))
+    return bag_of(Counter(tokens), s.sizes, s.bits, whole=True, fold=False, extra={1 << s.bits: repeats} if repeats else None)  # words that repeat the one before have a bucket of their own
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], share: float, s: Settings = Settings()) -> Model:
+    """``bags``: distinct buckets of each text and their shares; ``share``: true share of label 1, which the score's bias is set to."""
     if len(set(labels)) < 2:
         p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(1 << s.bits, np.float32), float(np.log(p / (1 - p))), s)
+        return Model(np.zeros((1 << s.bits) + 1, np.float32), float(np.log(p / (1 - p))), s)
     rng = np.random.default_rng(s.seed)
-    bags = [_bag(t, s) for t in texts]
-    vectors = rng.uniform(-1 / s.dims, 1 / s.dims, (1 << s.bits, s.dims)).astype(np.float32)
+    vectors = rng.uniform(-1 / s.dims, 1 / s.dims, ((1 << s.bits) + 1, s.dims)).astype(np.float32)
     out, bias = np.zeros((2, s.dims), np.float32), np.zeros(2, np.float32)
-    seen, seen_out, seen_bias = np.full(1 << s.bits, 1e-8, np.float32), np.full(2, 1e-4, np.float32), np.full(2, 1e-2, np.float32)
+    seen, seen_out, seen_bias = np.full((1 << s.bits) + 1, 1e-8, np.float32), np.full(2, 1e-4, np.float32), np.full(2, 1e-2, np.float32)
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
         for k in rng.permutation(len(bags)):
@@ -112,17 +101,16 @@ def train(texts: list[bytes], labels: list[int], share: float, s: Settings = Set
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0] + shift), s)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[bytes], list[int], float]:
-    """A bounded sample of labelled texts, and the share of label 1 among all labelled ids given."""
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg("quality").alias("p")).first()["p"]
+def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int], float]:
+    """A bounded sample of labelled texts as bags, and the share of label 1 among all labelled ids given."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    share = known.agg(F.avg("label").alias("p")).first()["p"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.xxhash64("doc_id")
-    parts = [known.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(s.rows_per_label) for q in (0, 1)]
+    parts = [known.filter(F.col("label") == q).orderBy(order, "doc_id").limit(s.rows_per_label) for q in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * rows_per_label ids
-    rows = texts.filter(F.octet_length("text") <= s.longest).join(sample, "doc_id").select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"].encode() for r in rows], [r["quality"] for r in rows], 0.5 if share is None else float(share)
+    bags, found = collected_bags(texts.filter("text is not null").join(sample, "doc_id"), partial(_bag, s=s))
+    return bags, [int(x) for x in found], 0.5 if share is None else float(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:

@@ -9,15 +9,23 @@ those sums once for a distinct word and then looks them up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import in_batches, slices, text_bytes
 
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-#: Distinct words that a task remembers before it starts afresh.
-MEMO_WORDS = 250_000
+#: Distinct words, and their bytes, that a task remembers before it starts afresh.
+MEMO_WORDS, MEMO_BYTES = 250_000, 8 << 20
+#: Words of a text that are added up at a time.
+PIECE = 1 << 18
 
 
 def word_features(words: list[bytes], sizes: tuple[int, ...], bits: int, whole: bool, fold: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +68,54 @@ def word_features(words: list[bytes], sizes: tuple[int, ...], bits: int, whole:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def bag_of(counts: Counter, sizes: tuple[int, ...], bits: int, whole: bool, fold: bool, extra: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, given by the counts of its words, and their shares. ``extra``: counts of buckets besides."""
+    owner, bucket = word_features(list(counts), sizes, bits, whole, fold)
+    n = np.array(list(counts.values()), float)[owner] if len(owner) else np.zeros(0)
+    for k, v in (extra or {}).items():
+        bucket, n = np.append(bucket, k), np.append(n, v)
+    ids, at = np.unique(bucket, return_inverse=True)
+    share = np.bincount(at, weights=n, minlength=len(ids)) if len(ids) else np.zeros(0)
+    return ids, share / max(share.sum(), 1)
+
+
+def _bags(make: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[int, bytes]] = {}
+        for batch in slices(batches, 64):
+            for i, label, h, text in zip(*(c.to_pylist() for c in batch.columns[:3]), text_bytes(batch.column(3)), strict=True):
+                if (i, label) not in best or h < best[i, label][0]:
+                    ids, share = make(text)
+                    best[i, label] = h, ids.astype("<i4").tobytes() + share.astype("<f4").tobytes()
+        rows = [(*k, *v) for k, v in best.items()]
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "label", "h", "bag"])
+
+    return run
+
+
+def collected_bags(rows: DataFrame, make: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Bags and labels of a bounded sample of doc_id, label and text, whole texts. The bags are made in the tasks, so the driver gets at most
+    2**bits numbers a row, however long texts are; of several texts of one id and label it gets the one with the smallest hash."""
+    slim = in_batches(rows.select("doc_id", F.col("label").cast("string").alias("label"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text"))
+    bags = slim.mapInArrow(_bags(make), "doc_id long, label string, h long, bag binary")
+    found = bags.groupBy("doc_id", "label").agg(F.min_by("bag", "h").alias("bag")).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["label"]))
+    split = lambda raw: (np.frombuffer(raw, "<i4", len(raw) // 8).astype(np.int64), np.frombuffer(raw, "<f4", len(raw) // 8, len(raw) // 2).astype(float))
+    return [split(r["bag"]) for r in found], [r["label"] for r in found]
+
+
 class _Ids(dict):
     """Gives each new word the next number and keeps it for the next computation."""
 
     def __init__(self):
         self.new: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.bytes += len(word)
         return n
 
 
@@ -95,20 +142,23 @@ class WordSums:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the summed weights (a row for each score) and the number of features."""
-        if len(self.ids) > MEMO_WORDS:
+        if len(self.ids) > MEMO_WORDS or self.ids.bytes > MEMO_BYTES:
             self._reset()
-        sums, count = np.zeros((len(self.weights), len(texts))), np.zeros(len(texts))
-        for i, text in enumerate(texts):
+        number = self.ids.__getitem__
+        numbers = []
+        for text in texts:
             words = text.split()
-            if not words:
-                continue
-            at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-            if self.ids.new:
-                self._learn()
-            sums[:, i] = self.sums[:, at].sum(axis=1)
-            count[i] = self.count[at].sum()
+            numbers.append(np.fromiter(map(number, words), np.int32, len(words)))
+        if self.ids.new:
+            self._learn()
+        sums, count = np.zeros((len(self.weights), len(texts))), np.zeros(len(texts))
+        for i, own in enumerate(numbers):
+            for k in range(0, len(own), PIECE):
+                at = own[k : k + PIECE]
+                sums[:, i] += self.sums[:, at].sum(axis=1)
+                count[i] += self.count[at].sum()
             if self.same is not None:
-                repeats = np.count_nonzero(at[1:] == at[:-1])
+                repeats = np.count_nonzero(own[1:] == own[:-1])
                 sums[:, i] += repeats * self.weights[:, self.same]
                 count[i] += repeats
         return sums, count

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from helpers import SF, normal
+from pyspark.sql import functions as F
 
 from gridloom.llm import canonical, exact_dedup, histogram_sort, language, packing, quality, queries, simhash, suffix_tree, unigram, url_reputation
 from gridloom.llm.common import tokenised
@@ -287,17 +288,41 @@ def test_fingerprints_of_awkward_rows(edge):
     assert alone["near_next"] == 1.0
 
 
-def test_equal_digests_are_told_apart(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "one"), (2, "two"), (3, "ONE"), (4, "six")], "doc_id long, text string")
-
-    def all_alike(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"0" * 16] * b.num_rows, pa.binary())], names=["i", "digest"])
-
-    monkeypatch.setattr(canonical, "_digests", all_alike)
-    rows = {r["doc_id"]: r for r in canonical.fingerprints(df).collect()}
-    assert rows[1]["group_id"] == rows[3]["group_id"] == 1
-    assert {rows[2]["group_id"], rows[4]["group_id"]} == {2, 4}
+def test_equal_digests_are_told_apart(spark):
+    """With digests that are all alike, forms decide: groups, likeness, and the names of texts and edited texts."""
+    texts = ["one", "two", "ONE", "six", "tw\u212ao", "a b c d", "a b c o", "\u212a\x1cb", "k b", "xone", "onex"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in canonical.fingerprints(df, hashed=lambda form: b"0" * 16).collect()}
+    plain = {r["doc_id"]: r for r in canonical.fingerprints(df).collect()}
+    forms, edited = [brute_canonical(t) for t in texts], [brute_canonical(t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][: len(t) // 4]) for k, t in enumerate(texts)]
+    named = {}
+    for k, r in rows.items():
+        assert (r["near_edited"], r["near_next"], r["group_id"]) == (plain[k]["near_edited"], plain[k]["near_next"], plain[k]["group_id"])
+        assert r["near_next"] == float(forms[k] == forms[(k + 1) % len(forms)])
+        for form, name in ((forms[k], r["fingerprint"]), (edited[k], r["edited_fingerprint"])):
+            assert named.setdefault(form, name) == name
+    assert len(set(named.values())) == len(named)
+
+
+def test_white_space_has_one_rule():
+    for text in ("k\x1cb", "\u212a\x1cb", " K\x85\xa0b\u3000 ", "k\tb\r\n", "k  b"):
+        assert canonical.canonical(text) == brute_canonical(text) == b"k b"
+
+
+def test_fingerprints_of_one_id_over_several_blocks(spark):
+    """Rows without an id, and of one id, are split by their texts' hashes; each meets its successor."""
+    rows = [(None, f"text {k} of no id " + "z" * (k % 50)) for k in range(300)] + [(5, f"five {k} and more words") for k in range(200)] + [(5, "again")] * 30 + [(9, "nine"), (1, "one")] + [((1 << 62) + k, f"far {k} " + "y" * 40) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["near_next"]) for r in canonical.fingerprints(df, block_bytes=1500).collect())
+    ordered = [r["text"] for r in df.withColumn("h", F.shiftright(F.xxhash64("text"), 11)).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    ids = sorted((i is not None, i or 0) for i, _ in rows)
+    want = []
+    for k, (t, i) in enumerate(zip(ordered, ids, strict=True)):
+        after = ordered[(k + 1) % len(ordered)]
+        want.append((*i, hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest(), float(brute_canonical(t) == brute_canonical(after))))
+    assert got == sorted(want)
+    cuts = canonical.cuts_of(df.select(F.coalesce("doc_id", F.lit(canonical.LOW)).alias("i"), F.shiftright(F.xxhash64("text"), 11).alias("h")), 12)
+    assert len(cuts.ids) > len(set(cuts.ids.tolist()))
 
 
 # 7 Quality
@@ -323,6 +348,26 @@ def test_quality_on_awkward_rows(spark, edge):
     assert {r["score"] for r in quality.scored(edge, nothing).collect()} == {0.5}
 
 
+def test_quality_learns_from_long_texts_alone(spark):
+    """Texts of over 40,000 bytes are learned from whole; repeated rows and ids are learned once."""
+    rows = [(k, " ".join([("good fine neat" if k % 2 else "spam junk dirt"), *(f"w{(k * j) % 89}" for j in range(15_000)), ("good fine neat" if k % 2 else "spam junk dirt")] * 1)) for k in range(40)]
+    rows = [(i, t + (" good" if i % 2 else " spam") * 4000) for i, t in rows]
+    assert min(len(t) for _, t in rows) > 40_000
+    docs = spark.createDataFrame(rows + rows[:1] * 20, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    bags, found, share = quality.training_rows(docs, labels, quality.Settings())
+    assert (len(bags), sorted(found), share) == (40, [0] * 20 + [1] * 20, 0.5)
+    score = {r["doc_id"]: r["score"] for r in quality.scored(docs, quality.fit(docs, labels)).collect()}
+    assert min(score[i] for i in score if i % 2) > 0.5 > max(score[i] for i in score if i % 2 == 0)
+
+
+def test_language_learns_from_long_texts_alone(spark):
+    rows = [(k, ("the and of with from " if k % 2 else "der und von mit aus ") * 3000, "en" if k % 2 else "de") for k in range(20)]
+    docs = spark.createDataFrame(rows + rows[:1] * 20, "doc_id long, text string, lang string")
+    said = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs, language.fit(docs)).collect()}
+    assert said == {i: lang for i, _, lang in rows}
+
+
 # 8 Language
 
 
@@ -337,7 +382,7 @@ def test_language_on_held_out_rows(spark):
 
 def test_language_on_awkward_rows(spark, edge):
     texts = [b"the cat and the dog", b"der hund und die katze", b"le chat et le chien", b"el gato y el perro"] * 3
-    model = language.train(texts, ["en", "de", "fr", "es"] * 3)
+    model = language.train([language._bag(t, language.Settings()) for t in texts], ["en", "de", "fr", "es"] * 3)
     assert {p[0] for p in model.pairs} == {"", "germanic", "romance"}
     rows = language.predicted(edge, model).collect()
     assert len(rows) == edge.count()
@@ -346,7 +391,7 @@ def test_language_on_awkward_rows(spark, edge):
     assert language.keep_identified(edge, model).columns == edge.columns
     assert language.keep_identified(edge, model).filter("doc_id in (3, 4, 5, 9)").count() == 0
     assert {r["lang_pred"] for r in language.predicted(edge, language.train([], [])).collect()} == {"und"}
-    assert {r["lang_pred"] for r in language.predicted(edge, language.train([b"abc"], ["xx"])).collect()} == {"xx", "und"}
+    assert {r["lang_pred"] for r in language.predicted(edge, language.train([language._bag(b"abc", language.Settings())], ["xx"])).collect()} == {"xx", "und"}
     assert language.predicted(edge.limit(0), model).count() == 0
 
 
