@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import block_count, in_batches, scratch, slices
+from .common import block_count, scratch, slices
 from .exact_dedup import grace
 from .histogram_sort import LOW
 
@@ -191,10 +191,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     slim = docs.select(F.coalesce(own, F.lit(LOW)).alias("i"), F.shiftright(F.xxhash64(words), 11).alias("h"), own.alias("doc_id"), words.alias("text"))
     cuts = cuts_of(slim, block_count(slim, block_bytes))
 
-    digests = scratch(in_batches(slim).select("i", "h", "text").mapInArrow(_digests(hashed), "i long, h long, digest binary"), "digests")
+    digests = scratch(slim.select("i", "h", "text").mapInArrow(_digests(hashed), "i long, h long, digest binary"), "digests")
     several = scratch(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "shared-digests")  # stored, so Spark can split a digest of many rows in the join
     shared = digests.join(several, "digest").select("i", "h").mapInArrow(_blocked(cuts), "block int, i long, h long").distinct()
-    dealt = in_batches(slim).mapInArrow(_dealt(cuts), "block int, role int, i long, h long, doc_id long, text string")
+    dealt = slim.mapInArrow(_dealt(cuts), "block int, role int, i long, h long, doc_id long, text string")
     schema = "doc_id long, n_chars long, edited_sha256 string, digest binary, check binary, edited_digest binary, edited_check binary, like_next boolean, like_edited boolean, rep binary, form binary"
     rows = scratch(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(partial(_block, hashed=hashed), schema), "canonical")
 

@@ -69,18 +69,15 @@ def release(spark: SparkSession, tables: list[str]) -> None:
         fs.delete(p, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df``, without a job; counted where there is none, as for rows made in memory."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
+def content_bytes(df: DataFrame) -> int:
+    """The bytes of all texts and binaries of ``df`` as they are in memory, and 16 for each row; a file's size says little of a corpus of copies."""
     texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     return df.agg(F.sum(sum(texts, F.lit(16)).cast("long")).alias("b")).first()["b"] or 0
 
 
 def block_count(df: DataFrame, block_bytes: int, least: int = 1) -> int:
     """So many blocks that each holds about ``block_bytes`` of ``df``."""
-    return max(least, math.ceil(estimated_bytes(df) / block_bytes))
+    return max(least, math.ceil(content_bytes(df) / block_bytes))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -98,14 +95,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def in_batches(df: DataFrame, most: int = 4 << 20, rows: int = 4096) -> DataFrame:
-    """``df``, with its session told to hand Python batches of at most so many bytes and rows, however long its texts are."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of ``column``, or one row."""
     for batch in batches:

@@ -11,7 +11,7 @@
 3. Every row takes its group from its representative.
 
 Defined results: null text counts as empty, and all empty texts are equal. Of rows with equal
-text and equal doc_id each is returned; one of them is kept: the rows are alike, so which
+text and equal doc_id each is returned and one is kept: the rows are alike, so which
 one does not show. A null doc_id is the smallest. No rows: no rows. Extra columns are not read.
 """
 
@@ -26,11 +26,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WHITE, block_count, in_batches, scratch, slices
+from .common import WHITE, block_count, scratch, slices
 
 FLUSH_BYTES = 24 << 20
 BUCKET_BYTES = 32 << 20
@@ -80,8 +81,8 @@ def normalised(texts: pa.Array) -> list[bytes]:
 
 
 def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, sha, rep (a uuid shared by the copies of a flush), content (the first copy's, else null)."""
-    table, reps = ContentTable(), []
+    """doc_id, text -> row (a number of its own), doc_id, sha, rep (a uuid shared by the copies of a flush), content (the first copy's, else null)."""
+    table, reps, number = ContentTable(), [], TaskContext.get().partitionId() << 40
     for batch in slices(batches):
         ids = batch.column(0)
         shas, own, contents = [], [], []
@@ -93,7 +94,9 @@ def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             shas.append(sha)
             own.append(reps[entry])
             contents.append(content if new else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(shas, pa.binary()), pa.array(own, pa.binary()), pa.array(contents, pa.binary())], names=["doc_id", "sha", "rep", "content"])
+        row = pa.array(range(number, number + len(shas)), pa.int64())
+        number += len(shas)
+        yield pa.RecordBatch.from_arrays([row, ids, pa.array(shas, pa.binary()), pa.array(own, pa.binary()), pa.array(contents, pa.binary())], names=["row", "doc_id", "sha", "rep", "content"])
         if table.bytes > FLUSH_BYTES:
             table, reps = ContentTable(), []
 
@@ -187,17 +190,16 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ex
     """Every row as doc_id, keep_id, group_size, kept, text_sha256."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = block_count(slim, exchange_bytes, least=4)
-    rows = scratch(in_batches(slim).mapInArrow(_representatives, "doc_id long, sha binary, rep binary, content binary"), "exact")
+    rows = scratch(slim.mapInArrow(_representatives, "row long, doc_id long, sha binary, rep binary, content binary"), "exact")
     classes = rows.filter("content is not null").select("rep", "sha", "content").repartition(buckets, "sha").mapInArrow(_resolve, "rep binary, class binary")
 
-    own = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    own = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")
     flushed = rows.groupBy("rep").agg(F.min(own).alias("low"), F.count("*").alias("n"))
     reps = scratch(flushed.join(classes, "rep"), "exact-reps")
     groups = reps.groupBy("class").agg(F.min("low").alias("low"), F.sum("n").alias("group_size"))
-    placed = reps.select("rep", "class").join(groups, "class").select("rep", F.col("low.doc_id").alias("keep_id"), "group_size")
-    out = rows.select("doc_id", "sha", "rep").join(placed, "rep")
-    kept = out["doc_id"].eqNullSafe(out["keep_id"])
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    placed = reps.select("rep", "class").join(groups, "class").select("rep", F.col("low.doc_id").alias("keep_id"), F.col("low.row").alias("keep_row"), "group_size")
+    out = rows.select("row", "doc_id", "sha", "rep").join(placed, "rep")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _columns(batch: pa.RecordBatch) -> list[list]:
@@ -277,11 +279,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exch
     key = "sha"
     while key.lower() in (n.lower() for n in names):
         key += "_"
-    local = in_batches(docs).mapInArrow(_local_winners(*at, key), StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    local = docs.mapInArrow(_local_winners(*at, key), StructType([*docs.schema.fields, StructField(key, BinaryType())]))
     return local.repartition(block_count(docs, exchange_bytes, least=4), key).mapInArrow(_winners(*at, names), docs.schema)
 
 
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AND row_number() OVER (PARTITION BY n.t, doc_id) = 1 AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""

@@ -33,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, in_batches, scratch
+from .common import by_bytes, scratch
 
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 BATCH_BYTES = 16 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS, MEMO_BYTES = 300_000, 16 << 20
 
 #: (lengths with their numbers in a bin, bins of this kind)
 Pattern = tuple[dict[int, int], int]
@@ -55,20 +55,28 @@ class Chunks:
     """Token ids of texts. A batch's distinct white-space separated chunks are encoded once; the tokenizer never joins over white space.
 
     Chunks are cut into words as the tokenizer cuts them, and words not yet met go to it many at a time; the
-    token that ends a word tells where the next begins. Other chunks go to it whole."""
+    token that ends a word tells where the next begins. Other chunks, those with one of its added tokens too, go to it whole."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        model = json.loads(definition)["model"]
+        parsed = json.loads(definition)
+        model, added = parsed["model"], parsed.get("added_tokens") or []
+        if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("an added token of this tokenizer reaches over white space")
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)", re.IGNORECASE)
         suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(1 + max(model["vocab"].values(), default=0), bool)
         self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
         self.by_word = bool(suffix)
         self.words: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.bytes = 0
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -86,12 +94,14 @@ class Chunks:
 
     def _by_words(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
         """Ids of all chunks in one row, and the bytes of each chunk's."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
+        if len(self.words) > MEMO_WORDS or self.bytes > MEMO_BYTES:
+            self.forget()
         cut = _WORD.findall("\n".join([*chunks, ""]).lower())
         words = set(cut)
         words.discard("\n")
-        self._learn_words([w for w in words if w not in self.words])
+        new = [w for w in words if w not in self.words]
+        self.bytes += sum(map(len, new))
+        self._learn_words(new)
         self.words["\n"] = b""
         ids = list(map(self.words.__getitem__, cut))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -99,9 +109,10 @@ class Chunks:
         return b"".join(ids), np.diff(stops, prepend=0)
 
     def encode_chunks(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
-        if self.by_word and _SIMPLE.fullmatch("".join(chunks)):
+        joined = "".join(chunks)
+        if self.by_word and _SIMPLE.fullmatch(joined) and not self.added.search(joined):
             return self._by_words(chunks)
-        simple = [bool(self.by_word and _SIMPLE.fullmatch(c)) for c in chunks]
+        simple = [bool(self.by_word and _SIMPLE.fullmatch(c)) and not self.added.search(c) for c in chunks]
         parts = self._whole([c for c, s in zip(chunks, simple, strict=True) if not s])
         raw, size = self._by_words([c for c, s in zip(chunks, simple, strict=True) if s]) if any(simple) else (b"", np.zeros(0, np.int64))
         stops = np.cumsum(size).tolist()
@@ -135,14 +146,14 @@ def _pieces(definition: str, capacity: int, end: int) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _chunks:
             _chunks[name] = Chunks(definition)
-        _chunks[name].words.clear()  # what a task remembers goes with it
+        _chunks[name].forget()  # what a task remembers goes with it
         for batch in by_bytes(batches, 1, BATCH_BYTES):
             out: list[tuple] = []
             for doc, block, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _chunks[name].encode(batch.column(1)), strict=True):
                 raw = np.concatenate([ids, closing]).tobytes()
                 out += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part), block) for k, at in enumerate(range(0, len(raw), 4 * capacity)) for part in [raw[at : at + 4 * capacity]]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)], names=_PIECE_NAMES)
-        _chunks[name].words.clear()
+        _chunks[name].forget()
 
     return run
 
@@ -155,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """doc_id, piece, start, length, ids_crc32 and the block (scan task) of every piece. The driver reads the tokenizer's file."""
     definition = Path(tokenizer).read_text(encoding="utf-8")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
-    return in_batches(slim, BATCH_BYTES, 8192).mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
+    return slim.mapInArrow(_pieces(definition, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, block int")
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:

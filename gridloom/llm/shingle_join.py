@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import in_batches, scratch, slices, text_bytes
+from .common import scratch, slices, text_bytes
 from .links import components
 
 SEED = 42
@@ -154,7 +154,7 @@ def _verified(likeness: float) -> Callable[[pa.Table], pa.Table]:
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (the digest of the set), h (a hash of the text), wide and bands of every row."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
-    return in_batches(slim).mapInArrow(_sketched, _ROW)
+    return slim.mapInArrow(_sketched, _ROW)
 
 
 def roots(nodes: DataFrame, n: int, docs: DataFrame, likeness: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,4 +166,4 @@ def roots(nodes: DataFrame, n: int, docs: DataFrame, likeness: float, doc_id: st
     lows = coarse.join(nodes.select("fp", "low"), "fp").select("fp", "root", F.col("low.doc_id").alias("__low"), F.col("low.h").alias("__h"))
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("__own"))
     met = texts.join(lows, texts["__id"].eqNullSafe(lows["__low"]) & (texts["__own"] == lows["__h"])).select("root", "fp", "text")
-    return in_batches(met).groupBy("root").applyInArrow(_verified(likeness), "fp long, root long")
+    return met.groupBy("root").applyInArrow(_verified(likeness), "fp long, root long")

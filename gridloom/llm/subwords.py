@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, slices, text_bytes
+from .common import slices, text_bytes
 
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +97,7 @@ def _bags(make: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> Callable[[I
 def collected_bags(rows: DataFrame, make: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
     """Bags and labels of a bounded sample of doc_id, label and text, whole texts. The bags are made in the tasks, so the driver gets at most
     2**bits numbers a row, however long texts are; of several texts of one id and label it gets the one with the smallest hash."""
-    slim = in_batches(rows.select("doc_id", F.col("label").cast("string").alias("label"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text"))
+    slim = rows.select("doc_id", F.col("label").cast("string").alias("label"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text")
     bags = slim.mapInArrow(_bags(make), "doc_id long, label string, h long, bag binary")
     found = bags.groupBy("doc_id", "label").agg(F.min_by("bag", "h").alias("bag")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["label"]))

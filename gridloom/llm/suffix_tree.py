@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, crc_remainder, estimated_bytes, in_batches, recorded, release, scratch, tokenised
+from .common import by_bytes, crc_remainder, content_bytes, recorded, release, scratch, tokenised
 
 END_WORD = b"\n"  # no word holds white space
 LETTERS = 257  # bytes, and 256 for the start as what precedes and the end as what follows
@@ -569,9 +569,9 @@ def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     used: list[str] = []
-    size = min(s.block_bytes, max(1 << 19, estimated_bytes(slim) // (2 * spark.sparkContext.defaultParallelism)))  # a small table still makes work for all tasks
+    size = min(s.block_bytes, max(1 << 19, content_bytes(slim) // (2 * spark.sparkContext.defaultParallelism)))  # a small table still makes work for all tasks
     with recorded(used):
-        blocks = scratch(in_batches(slim).mapInArrow(_blocks(size), _BLOCK), "blocks")
+        blocks = scratch(slim.mapInArrow(_blocks(size), _BLOCK), "blocks")
         m = Model(s, min(s.most_parts, max(1, blocks.count())))
 
         def totals(packets: DataFrame, parts: int, reduce: Callable, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ A model file's pieces and log scores are read from its fields; nothing is traine
 the marker, one marker is put in front of a text, and the segmentation with the largest sum of
 scores is taken; of equal sums the one whose last piece starts first. A character without a
 piece costs the smallest score less ten and is given as its UTF-8 bytes. No piece has
-a marker after another character, so texts fall apart at their markers: each task segments a
+a marker after another character (a model with such a piece is refused), so texts fall apart at their markers: each task segments a
 distinct chunk once, many chunks of a length at a time.
 
 Sums are kept in double precision for each chunk. Decoding joins pieces and bytes, turns markers into
@@ -21,6 +21,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, slices, text_bytes
+from .common import slices, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁".encode()
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS, MEMO_BYTES = 300_000, 16 << 20
+#: Chunks from so many bytes on are segmented one by one.
+LONG = 64 << 10
 UNKNOWN_COST = 10.0
 
 #: Kinds of pieces in the model format.
@@ -145,6 +148,8 @@ class DoubleArray:
 
 class Unigram:
     def __init__(self, pieces: Pieces):
+        if any(b" " in n.lstrip(b" ") for n, k in zip(pieces.names, pieces.kinds, strict=True) if k in (NORMAL, USER_DEFINED)):
+            raise ValueError("a piece has a marker after another character, so texts don't fall apart at their markers")
         normal = [s for s, k in zip(pieces.scores, pieces.kinds, strict=True) if k == NORMAL]
         low, high = min(normal, default=0.0), max(normal, default=0.0)
         self.pieces = pieces
@@ -166,7 +171,7 @@ class Unigram:
 
     def segment(self, data: bytes) -> bytes:
         """Ids of one chunk."""
-        best, back, piece = [-np.inf] * (len(data) + 1), [0] * (len(data) + 1), [-1] * (len(data) + 1)
+        best, back, piece = array("d", [-np.inf]) * (len(data) + 1), array("i", [0]) * (len(data) + 1), array("i", [-1]) * (len(data) + 1)
         best[0], at = 0.0, 0
         while at < len(data):
             b = data[at]
@@ -250,14 +255,16 @@ class Encoder(dict):
 
     def __init__(self, model: Unigram):
         self.model = model
+        self.bytes = 0
 
     def learn(self, chunks: set[bytes]) -> None:
         by_length: dict[int, list[bytes]] = {}
         for c in chunks:
             if c not in self:
+                self.bytes += len(c)
                 by_length.setdefault(len(c), []).append(c)
         for same in by_length.values():
-            if len(same) < 6:
+            if len(same) < 6 or len(same[0]) >= LONG:
                 for c in same:
                     self[c] = self.model.segment(c)
             else:
@@ -267,8 +274,9 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [_CHUNK.findall(b" " + t.replace(MARKER, b" ")) if t else [] for t in texts]
-        if len(self) > MEMO_CHUNKS:
+        if len(self) > MEMO_CHUNKS or self.bytes > MEMO_BYTES:
             self.clear()
+            self.bytes = 0
         self.learn(set().union(*split) if split else set())
         return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
 
@@ -292,7 +300,7 @@ def _round_trip(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and round_trip of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_batches(slim).mapInArrow(_round_trip(Pieces.read(model)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return slim.mapInArrow(_round_trip(Pieces.read(model)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def _ids(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -309,7 +317,7 @@ def _ids(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and the array of ids of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_batches(slim).mapInArrow(_ids(Pieces.read(model)), "doc_id long, ids array<int>")
+    return slim.mapInArrow(_ids(Pieces.read(model)), "doc_id long, ids array<int>")
 
 
 def _texts(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -110,7 +110,8 @@ def brute_groups(rows):
     for i, t in rows:
         groups[WHITE.sub(b" ", (t or "").encode())].append(i)
     low = lambda g: None if None in g else min(g)
-    return Counter((i, low(g), len(g), i == low(g), hashlib.sha256(t).hexdigest()) for t, g in groups.items() for i in g)
+    kept = lambda g: [k == g.index(low(g)) for k in range(len(g))]  # one of them, also of rows equal in both
+    return Counter((i, low(g), len(g), k, hashlib.sha256(t).hexdigest()) for t, g in groups.items() for i, k in zip(g, kept(g), strict=True))
 
 
 @pytest.mark.parametrize("table", ["docs", "edge"])
@@ -218,6 +219,21 @@ def test_many_at_once_is_one_by_one(unigram_model):
     assert unigram_model.segment_many(chunks) == [unigram_model.segment(c) for c in chunks]
 
 
+def test_pieces_with_an_inner_marker_are_refused():
+    with pytest.raises(ValueError, match="marker"):
+        unigram.Unigram(unigram.Pieces([b"<unk>", b" a", b" a b"], [0.0, -1.0, -2.0], [unigram.UNKNOWN, unigram.NORMAL, unigram.NORMAL]))
+
+
+def test_long_chunks_are_segmented_alike(unigram_model, monkeypatch):
+    """Chunks that are segmented one by one, and a memory of few bytes, give the same ids."""
+    texts = [b"ab cd " * 30 + bytes(97 + (k * j) % 26 for j in range(300)) for k in range(9)]
+    want = unigram.Encoder(unigram_model).encode(texts)
+    monkeypatch.setattr(unigram, "LONG", 100)
+    monkeypatch.setattr(unigram, "MEMO_BYTES", 50)
+    encoder = unigram.Encoder(unigram_model)
+    assert [encoder.encode([t])[0] for t in texts] == want
+
+
 # 5 Sharding
 
 
@@ -444,7 +460,6 @@ def check_packing(df, rows, capacity=4096):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     want = Counter()
     for r in df.collect():
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [1]
@@ -475,6 +490,12 @@ def test_packing_of_awkward_rows(edge):
     assert packing.pack(edge.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_added_tokens_in_texts(spark):
+    """The tokenizer's own special strings in a text are its added tokens, alone, inside words, cut in two and in capitals."""
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y<|startoftext|>", "<|endof text|>", "<|ENDOFTEXT|> z", "é<|endoftext|>ﬁ", "<|endoftext|", "|><|endoftext|>"]
+    check_packing(df := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.pack(df, queries.tokenizer_path()).collect())
+
+
 # 10 SimHash
 
 
