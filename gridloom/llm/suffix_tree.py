@@ -16,7 +16,8 @@ scored in the longest retained suffix of what precedes it.
 The model lies in tables that grow with the corpus; nobody holds it whole. Texts are cut into blocks of token
 numbers, written once. For each level a block sends its distinct contexts and next words, packed by the
 hash of the context, and is sent back their totals and each context's verdict; from those it makes the
-probabilities of its own tokens and the next level's contexts. A context that makes up more than a part's
+probabilities of its own tokens and the next level's contexts. What a block holds of the tokens still in play is
+kept from level to level once it is small. A context that makes up more than a part's
 share of the tokens is dealt to several parts by its next words, its sums are added up on the driver: at most
 two a part. A part too large for memory is worked off by ranges of hashes from a file of its task.
 
@@ -54,7 +55,7 @@ WORD_BITS = 40
 class Settings:
     discount: float = 0.5
     least: int = 2
-    block_bytes: int = 6 << 20
+    block_bytes: int = 5 << 20
     part_tokens: int = 1 << 20
     most_parts: int = 4096
     part_bytes: int = 96 << 20
@@ -259,9 +260,8 @@ def _send_words(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 # Parts
 
 _RETURN = "level int, block long, part int, seq int, payload binary"
-SCORES = -3
-HOT = -2
-SUMS = -1
+#: What else than a block's returns stands in ``block``: sums of the corpus, of split contexts, scores, and from STATE downwards a block's kept state.
+SUMS, HOT, SCORES, STATE = -1, -2, -3, -4
 
 
 class _Spool:
@@ -394,8 +394,9 @@ def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, spool in _by_part(batches, m.settings.part_bytes):
-            if part < 0:  # finished blocks' scores pass through
-                yield _returned([(level, SCORES, part, 0, payload) for _, payload in spool])
+            if part < 0:  # scores and states pass through
+                for block, payload in spool:
+                    yield _returned([(level, block, part, 0, payload)])
                 continue
             for seq, (low, high) in enumerate(spool.ranges()):
                 blocks, packets = [], []
@@ -412,131 +413,196 @@ def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 # Levels
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class State:
+    """The tokens of a block that have a context of the next level to try; all others are added up in ``done``."""
+
+    docs: pa.Table  # doc_id, held_out, n_tokens, n_known, base_score
+    done: np.ndarray  # natural log of the probability of finished tokens, by document
+    at: np.ndarray  # place of a token in the block
+    doc: np.ndarray
+    word: np.ndarray  # number among ``words``
+    context: np.ndarray  # number among ``contexts``
+    has: np.ndarray  # whether its entry may be stored
+    prob: np.ndarray  # probability so far; for unseen words without their spelling, which is in ``done``
+    words: np.ndarray  # hashes
+    contexts: np.ndarray  # hashes
+    occur: np.ndarray  # of each context
+
+    def packed(self) -> bytes:
+        used = np.zeros(len(self.words), bool)
+        used[self.word] = True
+        word = (np.cumsum(used) - 1)[self.word].astype(np.int32)
+        raw = np.frombuffer(_ipc(self.docs), np.uint8)
+        return _packed(raw, self.done, self.at.astype(np.int32), self.doc.astype(np.int32), word, self.context.astype(np.int32), self.has.astype(np.uint8), self.prob, self.words[used], self.contexts, self.occur)
+
+    @classmethod
+    def unpacked(cls, payload: bytes) -> State:
+        raw, done, at, doc, word, context, has, prob, words, contexts, occur = _unpacked(payload, "u1", "f8", "i4", "i4", "i4", "i4", "u1", "f8", "u8", "u8", "i8")
+        return cls(pa.ipc.open_stream(raw.tobytes()).read_all(), done, at, doc, word, context, has.astype(bool), prob, words, contexts, occur)
+
+    def carried(self, rows: np.ndarray, context: np.ndarray, has: np.ndarray, prob: np.ndarray, contexts: np.ndarray, occur: np.ndarray) -> State:
+        """The state of the ``rows`` that stay, with their contexts' numbers among the given ones; the rest is done."""
+        rest = np.ones(len(self.at), bool)
+        rest[rows] = False
+        done = self.done + np.bincount(self.doc[rest], weights=np.log(prob[rest]), minlength=len(self.done))
+        used = np.zeros(len(contexts), bool)
+        used[context] = True
+        return State(self.docs, done, self.at[rows], self.doc[rows], self.word[rows], (np.cumsum(used) - 1)[context], has[rows], prob[rows], self.words, contexts[used], occur[used])
+
+
+def _first_state(own: Block, count: np.ndarray, m: Model) -> State:
+    """All tokens without context; ``count``: of each word."""
+    d, n = m.settings.discount, own.docs["n"].to_numpy()
+    spelled = m.spelled(own.words)
+    spelled[0] = -np.inf  # the end is not spelled
+    if m.tokens:
+        mass = d * m.distinct / m.tokens
+        known = (count - d) / m.tokens + mass * np.exp(spelled)
+    else:
+        mass, known, spelled[0] = 0.5, np.ones(len(count)), 0.0
+    known[count == 0] = 1.0
+    unseen = np.where(count > 0, 0.0, np.log(mass) + np.where(count > 0, 0.0, spelled))
+    base = np.log10((count + 1) / (m.tokens + m.distinct + 1))
+    sums = lambda of_word: np.add.reduceat(of_word[own.ids], own.starts)
+    docs = pa.table({"doc_id": own.docs["doc_id"], "held_out": own.docs["held_out"], "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(sums((count > 0).astype(np.int64))), "base_score": pa.array(sums(base))})
+    before = np.roll(own.ids, 1)
+    before[own.starts] = 0
+    everything = np.arange(len(own.ids))
+    state = State(docs, sums(unseen), everything, np.repeat(np.arange(len(n)), n), own.ids, before, count[own.ids] >= m.settings.least, known[own.ids], own.hashes, own.hashes, count)
+    rows = np.flatnonzero(count[before] >= m.settings.least)
+    return state.carried(rows, before[rows], state.has, state.prob, own.hashes, count)
+
 
 @dataclass
 class Plan:
-    """A block's contexts and entries of a level, in the order in which they are sent and come back."""
+    """A state's contexts and entries, in the order in which they are sent and come back."""
 
-    rows: np.ndarray  # tokens that have a context
-    contexts: np.ndarray
-    occur: np.ndarray
-    at: np.ndarray  # each row's context
-    slots: np.ndarray  # context of each slot, in order of part
+    slots: np.ndarray  # context of each slot, in order of part and hash
     parts: np.ndarray  # part of each slot
-    with_entry: np.ndarray  # tokens that have an entry
+    rows: np.ndarray  # tokens with an entry
     place: np.ndarray  # each such token's entry
-    keys: np.ndarray  # (slot, word) of each entry
+    slot: np.ndarray  # of each entry
+    word: np.ndarray  # of each entry
     sample: np.ndarray  # a token of each entry
 
 
-def _plan(context: np.ndarray, occur: np.ndarray, rows: np.ndarray, has: np.ndarray, word: np.ndarray, m: Model) -> Plan:
-    contexts, at, sample = _groups(context[rows])
-    total = occur[rows][sample]
-    n = m.splits(total)
+def _bits(n: int) -> int:
+    return max(1, int(n).bit_length())
+
+
+def _plan(state: State, m: Model) -> Plan:
+    n = m.splits(state.occur)
     first = np.cumsum(n) - n
-    slots = np.repeat(np.arange(len(contexts)), n)
-    part = ((contexts[slots] + (np.arange(len(slots)) - first[slots]).astype(np.uint64)) % np.uint64(m.parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    slots = np.repeat(np.arange(len(n)), n)
+    part = ((state.contexts[slots] + (np.arange(len(slots)) - first[slots]).astype(np.uint64)) % np.uint64(m.parts)).astype(np.int64)
+    order = np.lexsort((state.contexts[slots], part))
     rank = np.empty(len(slots), np.int64)
     rank[order] = np.arange(len(slots))
-    some = has[rows]
-    tokens, own = rows[some], at[some]
-    keys, place, one = _groups((rank[first[own] + word[tokens] % n[own]] << WORD_BITS) | word[tokens])
-    return Plan(rows, contexts, total, at, slots[order], part[order], tokens, place, keys, tokens[one])
-
-
-def _sent(p: Plan, block: int, train: np.ndarray, prob: np.ndarray) -> pa.RecordBatch:
-    n = np.bincount(p.place, weights=train[p.with_entry], minlength=len(p.keys)).astype(np.int32)
-    rounded = np.clip(np.rint(-8 * np.log2(prob[p.sample])), 0, 255).astype(np.uint8)
-    word = p.keys & ((1 << WORD_BITS) - 1)
-    entries = np.bincount(p.keys >> WORD_BITS, minlength=len(p.slots)).astype(np.int32)
+    rows = np.flatnonzero(state.has)
+    context, word = state.context[rows], state.word[rows].astype(np.int64)
+    slot = first[context]
+    if (n > 1).any():
+        slot = slot + (state.words[word] >> np.uint64(64 - WORD_BITS)).astype(np.int64) % n[context]
+    low, index = _bits(len(state.words)), _bits(len(rows))
+    key = (rank[slot] << low) | word
+    if _bits(len(slots)) + low + index < 64:  # sorted together with the rows' numbers
+        both = np.sort((key << index) | np.arange(len(rows)))
+        by, key = both & ((1 << index) - 1), both >> index
+    else:
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    place = np.empty(len(rows), np.int64)
+    place[by] = np.cumsum(new) - 1
+    key = key[new]
+    return Plan(slots[order], part[order], rows, place, key >> low, key & ((1 << low) - 1), rows[by[new]])
+
+
+def _sent(state: State, p: Plan, block: int) -> list[tuple[int, int, bytes]]:
+    train = ~np.asarray(state.docs["held_out"])
+    n = np.bincount(p.place, weights=train[state.doc[p.rows]], minlength=len(p.word)).astype(np.int32)
+    rounded = np.clip(np.rint(-8 * np.log2(state.prob[p.sample])), 0, 255).astype(np.uint8)
+    word = state.words[p.word] >> np.uint64(64 - WORD_BITS)
+    entries = np.bincount(p.slot, minlength=len(p.slots)).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(entries)])
     out = []
     for part, i, j in _runs(p.parts):
         a, b = ends[i], ends[j]
-        out.append((part, block, _packed(p.contexts[p.slots[i:j]], p.occur[p.slots[i:j]], entries[i:j], (word[a:b] & 0xFFFFFFFF).astype(np.uint32), (word[a:b] >> 32).astype(np.uint8), n[a:b], rounded[a:b])))
-    return _packets(out)
+        out.append((part, block, _packed(state.contexts[p.slots[i:j]], state.occur[p.slots[i:j]], entries[i:j], word[a:b].astype(np.uint32), (word[a:b] >> np.uint64(32)).astype(np.uint8), n[a:b], rounded[a:b])))
+    return out
 
 
-def _verdicts(p: Plan, payloads: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stored occurrences and stored words of each context (0 where it is not retained), and the total of each entry."""
+def _next_state(state: State, p: Plan, payloads: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray], m: Model) -> State:
+    """The state of the next level, from the totals and verdicts that came back."""
+    d, least = m.settings.discount, m.settings.least
     stored, words, total = (np.concatenate(x) for x in zip(*(_unpacked(x, "i8", "i8", "i8") for x in payloads), strict=True))
-    s, k = np.zeros(len(p.contexts), np.int64), np.zeros(len(p.contexts), np.int64)
+    s, k = np.zeros(len(state.contexts), np.int64), np.zeros(len(state.contexts), np.int64)
     s[p.slots], k[p.slots] = stored, words
     if len(hot[0]):
-        at = np.minimum(np.searchsorted(hot[0], p.contexts), len(hot[0]) - 1)
-        met = hot[0][at] == p.contexts
+        at = np.minimum(np.searchsorted(hot[0], state.contexts), len(hot[0]) - 1)
+        met = hot[0][at] == state.contexts
         s[met], k[met] = hot[1][at[met]], hot[2][at[met]]
-    return s, k, total
+    n = np.zeros(len(state.at), np.int64)
+    n[p.rows] = total[p.place]
+    entry = np.full(len(state.at), -1, np.int64)
+    entry[p.rows] = p.place
+    back = np.where(k > 0, 1 - (s - d * k) / np.maximum(state.occur, 1), 1.0)
+    kept = (k > 0)[state.context]
+    prob = back[state.context] * state.prob
+    own = np.flatnonzero(kept & (n > 0))
+    prob[own] += (n[own] - d) / state.occur[state.context[own]]
+    follows = np.zeros(len(state.at), bool)  # the token before has a context as well
+    follows[1:] = (state.at[1:] == state.at[:-1] + 1) & (state.doc[1:] == state.doc[:-1])
+    rows = np.flatnonzero(kept & follows)
+    rows = rows[n[rows - 1] >= least]
+    longer = _mix(state.contexts[p.slots[p.slot]] * STEP + state.words[p.word])
+    return state.carried(rows, entry[rows - 1], n >= least, prob, longer, total)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(own: Block, count: np.ndarray, log_prob: np.ndarray, m: Model) -> bytes:
-    c, n = count[own.ids], own.docs["n"].to_numpy()
-    sums = lambda x: pa.array(np.add.reduceat(x, own.starts))
-    base = np.log10((c + 1) / (m.tokens + m.distinct + 1))
-    cols = [own.docs["doc_id"], own.docs["held_out"], pa.array(n.astype(np.int64)), sums((c > 0).astype(np.int64)), pa.array(np.full(len(n), m.tokens, np.int64)), sums(base), sums(log_prob)]
-    return _ipc(pa.table(cols, names=[x.split()[0] for x in _SCORES.split(", ")]))
+def _scored(state: State, m: Model) -> bytes:
+    out = state.docs.drop_columns("base_score").append_column("train_tokens", pa.array(np.full(len(state.done), m.tokens, np.int64)))
+    return _ipc(out.append_column("base_score", state.docs["base_score"]).append_column("score", pa.array(state.done / np.log(10))))
+
+
+#: From this level on a block's state, small by then, is kept from level to level; before, it is made anew from the block.
+KEPT_FROM = 3
 
 
 def _advance(m: Model, level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block with what came back for the levels before -> its packets of this level, or its scores if no context is left to try."""
-    d, least = m.settings.discount, m.settings.least
-    step = np.uint64(0x9E3779B97F4A7C15)
+    """A block or its kept state, with what came back for the levels before -> its packets of this level, or its scores if no context is left to try."""
 
-    def packets(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
+    def advanced(left: pa.Table, right: pa.Table) -> list[tuple[int, int, bytes]]:
         back: dict[int, list[tuple[int, int, bytes]]] = {}
         for lev, part, seq, payload in zip(*(right[c].to_pylist() for c in ("level", "part", "seq", "payload")), strict=True):
             back.setdefault(lev, []).append((part, seq, payload))
         if not left.num_rows or level - 1 not in back:  # its scores are there already
-            return _packets([])
-        of = lambda lev: [x[2] for x in sorted(back[lev])]
-        own = Block.of(*(left[c][0].as_py() for c in ("docs", "ids", "words")))
+            return []
         block = left["block"][0].as_py()
-
-        order, _ = own.word_order(m.word_parts)
-        count = np.zeros(len(own.words), np.int64)
-        count[order] = np.concatenate([_unpacked(x, "i8")[0] for x in of(0)])
-        spelled = m.spelled(own.words)
-        if m.tokens:
-            known = np.maximum(count - d, 0) / m.tokens
-            mass = d * m.distinct / m.tokens
-            spell = np.where(np.arange(len(count)) > 0, mass * np.exp(spelled), 0.0)
+        of = lambda lev: [x[2] for x in sorted(back[lev])]
+        if "state" in left.column_names:
+            state, done = State.unpacked(left["state"][0].as_py()), level - 1
         else:
-            known, mass, spell = np.zeros(len(count)), 0.5, np.zeros(len(count))
-        rest = np.where(count > 0, 0.0, np.log(mass) + np.where(np.arange(len(count)) > 0, spelled, 0.0))  # unseen words: a factor that no count is added to
-        word_prob = np.where(count > 0, known + spell, 1.0)
-
-        token = own.hashes[own.ids]
-        word = (token >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        n, prob = count[own.ids], word_prob[own.ids]
-        context, occur = np.roll(token, 1), np.roll(n, 1)
-        context[own.starts], occur[own.starts] = own.hashes[0], count[0]
-        start = np.zeros(len(token), bool)
-        start[own.starts] = True
-        rows = np.flatnonzero(occur >= least)
-        for lev in range(1, level + 1):
-            if not len(rows):
-                break
-            p = _plan(context, occur, rows, n >= least, word, m)
-            if lev == level:
-                return _sent(p, block, own.train, prob)
-            stored, words, total = _verdicts(p, of(lev), m.hot[lev])
-            n = np.zeros(len(token), np.int64)
-            n[p.with_entry] = total[p.place]
-            kept = (words > 0)[p.at]
-            hit = rows[kept]
-            s, k, all_ = (x[p.at[kept]] for x in (stored, words, p.occur))
-            prob[hit] = np.maximum(n[hit] - d, 0) / all_ + (1 - (s - d * k) / all_) * prob[hit]
-            context = _mix(np.roll(context, 1) * step + np.roll(token, 1))
-            occur = np.roll(n, 1)
-            rows = hit[(occur[hit] >= least) & ~start[hit]]
-        score = _scored(own, count, (np.log(prob) + rest[own.ids]) / np.log(10), m)
-        return _packets([(-1 - block % max(1, m.parts), block, score)])
-
-    return lambda left, right: pa.Table.from_batches([packets(left, right)])
+            own = Block.of(*(left[c][0].as_py() for c in ("docs", "ids", "words")))
+            count = np.zeros(len(own.words), np.int64)
+            count[own.word_order(m.word_parts)[0]] = np.concatenate([_unpacked(x, "i8")[0] for x in of(0)])
+            state, done = _first_state(own, count, m), 1
+        for lev in range(done, level):
+            if len(state.at):
+                state = _next_state(state, _plan(state, m), of(lev), m.hot[lev], m)
+        passed_on = -1 - block % m.parts
+        if not len(state.at):
+            return [(passed_on, SCORES, _scored(state, m))]
+        kept = [(passed_on, STATE - block, state.packed())] if level >= KEPT_FROM else []
+        return kept + _sent(state, _plan(state, m), block)
+
+    return lambda left, right: pa.Table.from_batches([_packets(advanced(left, right))])
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -582,13 +648,15 @@ def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         found = {r["pair"]: r["n"] for r in sums.collect()}  # at most LETTERS ** 2 + 3 rows
         tokens, distinct, _ = (found.pop(LETTERS**2 + k, 0) for k in range(3))
         m = replace(m, parts=min(s.most_parts, max(1, -(-tokens // s.part_tokens))), tokens=tokens, distinct=distinct, letters=letter_model(found), hot=((np.zeros(0, np.uint64),) * 3,))
-        level = 0
+        level, left = 0, blocks
         while not back[-1].filter("block >= 0").isEmpty():
             level += 1
-            known = back[0]
-            for b in back[1:]:
+            known = back[-1] if level > KEPT_FROM else back[0]
+            for b in back[1:] if level <= KEPT_FROM else []:
                 known = known.unionByName(b)
-            sent = blocks.groupBy("block").cogroup(known.filter("block >= 0").groupBy("block")).applyInArrow(_advance(m, level), _PACKET)
+            if level > KEPT_FROM:
+                left = back[-1].filter(F.col("block") <= STATE).select((F.lit(STATE) - F.col("block")).alias("block"), F.col("payload").alias("state"))
+            sent = left.groupBy("block").cogroup(known.filter("block >= 0").groupBy("block")).applyInArrow(_advance(m, level), _PACKET)
             back.append(totals(sent, m.parts, _judge(m, level), "suffix-level"))
             m = replace(m, hot=(*m.hot, _hot(back[-1].filter(F.col("block") == HOT).select("payload").collect(), m)))
             _forget_shuffles(spark)
