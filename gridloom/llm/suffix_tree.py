@@ -17,7 +17,7 @@ The model lies in tables that grow with the corpus; nobody holds it whole. Texts
 numbers, written once. For each level a block sends its distinct contexts and next words, packed by the
 hash of the context, and is sent back their totals and each context's verdict; from those it makes the
 probabilities of its own tokens and the next level's contexts. What a block holds of the tokens still in play is
-kept from level to level once it is small. A context that makes up more than a part's
+kept from level to level once it is small (probabilities in single precision). A context that makes up more than a part's
 share of the tokens is dealt to several parts by its next words, its sums are added up on the driver: at most
 two a part. A part too large for memory is worked off by ranges of hashes from a file of its task.
 
@@ -437,15 +437,20 @@ class State:
         used[self.word] = True
         word = (np.cumsum(used) - 1)[self.word].astype(np.int32)
         raw = np.frombuffer(_ipc(self.docs), np.uint8)
-        return _packed(raw, self.done, self.at.astype(np.int32), self.doc.astype(np.int32), word, self.context.astype(np.int32), self.has.astype(np.uint8), self.prob, self.words[used], self.contexts, self.occur)
+        return _packed(raw, self.done, self.at.astype(np.int32), self.doc.astype(np.int32), word, self.context.astype(np.int32), self.has.astype(np.uint8), self.prob.astype(np.float32), self.words[used], self.contexts, self.occur)
 
     @classmethod
     def unpacked(cls, payload: bytes) -> State:
-        raw, done, at, doc, word, context, has, prob, words, contexts, occur = _unpacked(payload, "u1", "f8", "i4", "i4", "i4", "i4", "u1", "f8", "u8", "u8", "i8")
-        return cls(pa.ipc.open_stream(raw.tobytes()).read_all(), done, at, doc, word, context, has.astype(bool), prob, words, contexts, occur)
+        raw, done, at, doc, word, context, has, prob, words, contexts, occur = _unpacked(payload, "u1", "f8", "i4", "i4", "i4", "i4", "u1", "f4", "u8", "u8", "i8")
+        return cls(pa.ipc.open_stream(raw.tobytes()).read_all(), done, at, doc, word, context, has.astype(bool), prob.astype(float), words, contexts, occur)
 
-    def carried(self, rows: np.ndarray, context: np.ndarray, has: np.ndarray, prob: np.ndarray, contexts: np.ndarray, occur: np.ndarray) -> State:
-        """The state of the ``rows`` that stay, with their contexts' numbers among the given ones; the rest is done."""
+    def carried(self, rows: np.ndarray, context: np.ndarray, has: np.ndarray, prob: np.ndarray, contexts: np.ndarray, occur: np.ndarray, least: int) -> State:
+        """The state of the ``rows`` that stay, with their contexts' numbers among the given ones; the rest is done.
+
+        A context of which all but less than ``least`` occurrences are followed, here, by words that can't be stored has none stored and is done as well."""
+        lost = np.bincount(context, weights=~has[rows] & ~np.asarray(self.docs["held_out"])[self.doc[rows]], minlength=len(contexts))
+        fine = (occur - lost >= least)[context]
+        rows, context = rows[fine], context[fine]
         rest = np.ones(len(self.at), bool)
         rest[rows] = False
         done = self.done + np.bincount(self.doc[rest], weights=np.log(prob[rest]), minlength=len(self.done))
@@ -474,7 +479,7 @@ def _first_state(own: Block, count: np.ndarray, m: Model) -> State:
     everything = np.arange(len(own.ids))
     state = State(docs, sums(unseen), everything, np.repeat(np.arange(len(n)), n), own.ids, before, count[own.ids] >= m.settings.least, known[own.ids], own.hashes, own.hashes, count)
     rows = np.flatnonzero(count[before] >= m.settings.least)
-    return state.carried(rows, before[rows], state.has, state.prob, own.hashes, count)
+    return state.carried(rows, before[rows], state.has, state.prob, own.hashes, count, m.settings.least)
 
 
 @dataclass
@@ -558,9 +563,10 @@ def _next_state(state: State, p: Plan, payloads: list[bytes], hot: tuple[np.ndar
     follows = np.zeros(len(state.at), bool)  # the token before has a context as well
     follows[1:] = (state.at[1:] == state.at[:-1] + 1) & (state.doc[1:] == state.doc[:-1])
     rows = np.flatnonzero(kept & follows)
-    rows = rows[n[rows - 1] >= least]
+    # a context as frequent as its suffix has its suffix's distribution: it diverges by nothing, nor does a longer one by more than its own suffix
+    rows = rows[(n[rows - 1] >= least) & (n[rows - 1] < state.occur[state.context[rows]])]
     longer = _mix(state.contexts[p.slots[p.slot]] * STEP + state.words[p.word])
-    return state.carried(rows, entry[rows - 1], n >= least, prob, longer, total)
+    return state.carried(rows, entry[rows - 1], n >= least, prob, longer, total, least)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
