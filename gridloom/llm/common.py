@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,16 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/gridloom"
 #: The white space of the contracts: space and the bytes 0x09 to 0x0D. ``bytes.split()`` cuts at just these.
 WHITE = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
+#: Who is told of scratch tables, in this thread.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints, or the local one where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that the cluster shares for checkpoints. Where none is set, a local one if all runs on this machine; on a cluster there must be one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or LOCAL_CHECKPOINTS
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -38,8 +43,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _delete_on_exit(spark, path)
-    _written.append(path)
+    delete_on_exit(spark, path)
+    for tables in _recorders.get():
+        tables.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -49,17 +55,19 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
+def delete_on_exit(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
 
 
 @contextmanager
 def recorded(into: list[str]) -> Iterator[None]:
-    """Add the scratch tables that are written meanwhile to ``into``."""
-    start = len(_written)
-    yield
-    into += _written[start:]
+    """Add the scratch tables that this thread writes meanwhile to ``into``."""
+    token = _recorders.set((*_recorders.get(), into))
+    try:
+        yield
+    finally:
+        _recorders.reset(token)
 
 
 def release(spark: SparkSession, tables: list[str]) -> None:

@@ -4,8 +4,11 @@ A text is the set of hashes of its SHINGLE-word shingles (fewer words: one shing
 shingle). Equal sets are one node, so copies cost one entry. Candidates meet if one of BANDS bands of ROWS
 minima of the set agrees and their WIDTH-bit SimHashes of the set differ in RADIUS or fewer bits; a pair of
 similarity 0.8 fails to meet with a probability near (1 - 0.8**ROWS)**BANDS = 3e-6, a more similar one with less.
-Each run of candidates gives a spanning forest only. The components of candidates are coarse: the texts of one are
-brought to one task, which finds its links by the exact similarity of the sets.
+Each run of candidates gives a spanning forest only. The components of candidates are coarse: their texts are
+brought together, and their links found by the exact similarity of the sets. A component of more than CHUNK
+texts is dealt to chunks: each finds the links among its own texts and to the component's first text, and then the texts that
+the first one's class does not hold meet all other chunks, pair of chunks by pair of chunks. In a large group of near copies
+that leaves few; only a component of many texts without a common class costs the square of its size, over all tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ BANDS, ROWS = 24, 4
 WIDTH, RADIUS = 256, 80
 MEMO_WORDS = 200_000
 
-_ROW = "doc_id long, fp long, h long, wide array<long>, bands array<long>"
+#: Texts, and their shingles, of a coarse component that one task verifies.
+CHUNK, CHUNK_SHINGLES = 2000, 2_000_000
+
+_ROW = "doc_id long, fp long, h long, size long, wide array<long>, bands array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,8 +64,8 @@ def shingles(text: bytes, memo: _Words) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def sketch(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """A digest of the set, its wide SimHash and its bands."""
+def sketch(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """A digest of the set, its wide SimHash, its bands and its size."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     ones = np.zeros(WIDTH, np.int64)
     for k in range(0, len(s), 4096):
@@ -69,7 +75,7 @@ def sketch(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         ones += bits.sum(axis=0, dtype=np.uint32)
     wide = np.packbits(2 * ones > len(s), bitorder="little").view(np.uint64)
     bands = _mix((_mix(low).reshape(BANDS, ROWS) * _TIMES[:ROWS]).sum(axis=1, dtype=np.uint64) + _PLUS[:BANDS])
-    return xxh64_intdigest(s.tobytes(), SEED), wide, bands
+    return xxh64_intdigest(s.tobytes(), SEED), wide, bands, len(s)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +90,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64)
             return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(found) + 1, n, dtype=np.int32)), pa.array(flat.view(np.int64)))
 
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), lists(1, WIDTH // 64), lists(2, BANDS)], names=["doc_id", "fp", "h", "wide", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), pa.array([x[3] for x in found], pa.int64()), lists(1, WIDTH // 64), lists(2, BANDS)], names=["doc_id", "fp", "h", "size", "wide", "bands"])
 
 
 def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -121,32 +127,61 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
 
-def _verified(likeness: float) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        """The texts of a coarse component -> fp and root of those that link to another one."""
+class _Sets:
+    """The sets of some texts, each fp once, and which are alike."""
+
+    def __init__(self, table: pa.Table, likeness: float):
         memo, sets = _Words(), {}
         for batch in table.select(["fp", "text"]).to_batches():
             for fp, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 if fp not in sets:
                     sets[fp] = shingles(text, memo)
-        fps = sorted(sets)
-        own = [sets[f] for f in fps]
-        size = np.array([len(s) for s in own])
-
-        def near(a: int, others: np.ndarray) -> np.ndarray:
-            fits = np.minimum(size[others], size[a]) >= likeness * np.maximum(size[others], size[a])
-            hit, some = np.zeros(len(others), bool), others[fits]
-            if len(some):
-                flat = np.concatenate([own[b] for b in some.tolist()])
-                at = np.minimum(np.searchsorted(own[a], flat), size[a] - 1)
-                both = np.add.reduceat((own[a][at] == flat).astype(np.int64), np.cumsum(size[some]) - size[some])
-                hit[fits] = both >= likeness * (size[some] + size[a] - both)
-            return hit
-
-        root: dict[int, int] = {}
-        for a, b in _forest(len(fps), near):  # a link's first end is reached before its second
-            root[b] = root.setdefault(a, a)
-        return pa.table({"fp": pa.array([fps[k] for k in root], pa.int64()), "root": pa.array([fps[k] for k in root.values()], pa.int64())})
+        self.fps, self.likeness = sorted(sets), likeness
+        self.own = [sets[f] for f in self.fps]
+        self.size = np.array([len(x) for x in self.own])
+
+    def near(self, a: int, others: np.ndarray) -> np.ndarray:
+        own, size = self.own, self.size
+        fits = np.minimum(size[others], size[a]) >= self.likeness * np.maximum(size[others], size[a])
+        hit, some = np.zeros(len(others), bool), others[fits]
+        if len(some):
+            flat = np.concatenate([own[b] for b in some.tolist()])
+            at = np.minimum(np.searchsorted(own[a], flat), size[a] - 1)
+            both = np.add.reduceat((own[a][at] == flat).astype(np.int64), np.cumsum(size[some]) - size[some])
+            hit[fits] = both >= self.likeness * (size[some] + size[a] - both)
+        return hit
+
+
+def _verified(likeness: float) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """The texts of a chunk and its component's first text -> fp and class, the first fp that it links to by way of others."""
+        sets, of = _Sets(table, likeness), {}
+        for a, b in _forest(len(sets.fps), sets.near):  # a link's first end is reached before its second
+            of[b] = of.setdefault(a, a)
+        out = [(f, sets.fps[of.get(k, k)]) for k, f in enumerate(sets.fps)]
+        return pa.table({"root": pa.array([table["root"][0].as_py()] * len(out), pa.int64()), "fp": pa.array([f for f, _ in out], pa.int64()), "class": pa.array([c for _, c in out], pa.int64())})
+
+    return run
+
+
+def _met(likeness: float) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """A chunk's texts and texts of other classes (``stray``) -> links between classes, each once."""
+        sets = _Sets(table, likeness)
+        at = {f: k for k, f in enumerate(sets.fps)}
+        classes = np.zeros(len(sets.fps), np.int64)
+        strays, members = set(), set()
+        for f, c, s in zip(*(table[x].to_pylist() for x in ("fp", "class", "stray")), strict=True):
+            classes[at[f]] = c
+            (strays if s else members).add(at[f])
+        found: set[tuple[int, int]] = set()
+        members = np.array(sorted(members), np.int64)
+        for a in sorted(strays):
+            c = int(classes[a])
+            left = members[(classes[members] != c) & ~np.isin(classes[members], [y if x == c else x for x, y in found if c in (x, y)])]
+            for b in left[sets.near(a, left)].tolist() if len(left) else []:
+                found.add((min(c, int(classes[b])), max(c, int(classes[b]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
@@ -158,12 +193,28 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def roots(nodes: DataFrame, n: int, docs: DataFrame, likeness: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``nodes``: fp, low (unknown, doc_id and h of a row of ``docs`` that has it), wide, bands; ``n`` of them. Returns fp and root for every fp that links to another one."""
+    """``nodes``: fp, low (unknown, doc_id and h of a row of ``docs`` that has it), size, wide, bands; ``n`` of them. Returns fp and root for every fp that links to another one."""
     words = [F.col("wide")[k].alias(f"w{k}") for k in range(WIDTH // 64)]
     spread = nodes.select(F.explode("bands").alias("key"), "fp", *words)
     links = spread.repartition(max(12, n * BANDS // 400_000), "key").mapInArrow(_candidates, "a long, b long")
-    coarse = components(scratch(links.distinct(), "candidates"))
-    lows = coarse.join(nodes.select("fp", "low"), "fp").select("fp", "root", F.col("low.doc_id").alias("__low"), F.col("low.h").alias("__h"))
+    coarse = scratch(components(scratch(links.distinct(), "candidates")).join(nodes.select("fp", "low", "size"), "fp"), "coarse")
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    split = coarse.groupBy("root").agg(parts.alias("chunks"))
+    lows = coarse.join(split, "root").select("fp", "root", "chunks", F.pmod(F.xxhash64("fp"), "chunks").cast("int").alias("chunk"), F.col("low.doc_id").alias("__low"), F.col("low.h").alias("__h"))
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("__own"))
-    met = texts.join(lows, texts["__id"].eqNullSafe(lows["__low"]) & (texts["__own"] == lows["__h"])).select("root", "fp", "text")
-    return met.groupBy("root").applyInArrow(_verified(likeness), "fp long, root long")
+    met = texts.join(lows, texts["__id"].eqNullSafe(lows["__low"]) & (texts["__own"] == lows["__h"])).select("root", "chunk", "chunks", "fp", "text")
+    many = split.filter("chunks > 1")
+    if many.isEmpty():
+        return met.groupBy("root").applyInArrow(_verified(likeness), "root long, fp long, class long").select("fp", F.col("class").alias("root"))
+    met = scratch(met, "candidate-texts")  # a component's first text, the smallest fp, names it and goes to all its chunks
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    first = met.filter("chunks > 1 and fp = root").select("root", F.explode(every).alias("chunk"), "fp", "text")
+    classes = scratch(met.select("root", "chunk", "fp", "text").unionByName(first).groupBy("root", "chunk").applyInArrow(_verified(likeness), "root long, fp long, class long").distinct(), "classes")
+    held = met.filter("chunks > 1").join(classes.select("fp", "class"), "fp")
+    strays = held.filter("class <> root").select("root", F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int").alias("stray_chunk"), "chunks", "fp", "class", "text")
+    few = strays.select("root", "stray_chunk").distinct()
+    sides = strays.select("root", F.explode(every).alias("chunk"), "stray_chunk", "fp", "class", "text", F.lit(True).alias("stray"))
+    sides = sides.unionByName(held.join(few, "root").select("root", "chunk", "stray_chunk", "fp", "class", "text", F.lit(False).alias("stray")))
+    between = sides.groupBy("root", "chunk", "stray_chunk").applyInArrow(_met(likeness), "a long, b long")
+    edges = classes.filter("fp <> class").select(F.col("fp").alias("a"), F.col("class").alias("b")).unionByName(between)
+    return components(edges)

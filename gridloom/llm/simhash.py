@@ -20,7 +20,7 @@ as given. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,8 @@ SEED = 42
 RADIUS = 3
 SHINGLE = 3
 PIVOTS = 24
+#: Fingerprints of one key that a task compares; the bands by which those of a larger key are dealt again.
+HOT_RUN, FINE_BANDS = 8192, 7
 
 
 def fingerprint(text: bytes) -> int:
@@ -120,7 +122,7 @@ def run_links(fp: np.ndarray, refs: np.ndarray, most: int = 1024) -> list[tuple[
     if len(fp) <= most:
         compare(np.arange(len(fp)))
         return links
-    for mask in _band_masks(7):
+    for mask in _band_masks(FINE_BANDS):
         key = fp & np.uint64(mask)
         by = np.lexsort((table[:, 0], key))
         for rows in np.split(by, np.flatnonzero(np.diff(key[by])) + 1):
@@ -129,51 +131,57 @@ def run_links(fp: np.ndarray, refs: np.ndarray, most: int = 1024) -> list[tuple[
     return links
 
 
-def _links(bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key long, fp long, all of a key in one task -> a long, b long."""
     refs = pivots()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """mask int, fp long, all of a band's key in one task -> a long, b long."""
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        mask, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        fp = fp.view(np.uint64)
-        for m, bits in enumerate(_band_masks(bands)):
-            own = fp[mask == m]
-            key = own & np.uint64(bits)
-            first = np.bitwise_count(own ^ refs[0])
-            by = np.lexsort((first, key))
-            own, key, first = own[by], key[by], first[by]
-            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            length = np.diff(np.append(edges, len(key)))
-            pairs = []
-            for start, n in zip(edges[length > 64].tolist(), length[length > 64].tolist(), strict=True):
-                pairs += run_links(own[start : start + n], refs)
-            small = np.repeat(length <= 64, length)
-            for shift in range(1, min(64, int(length.max(initial=1)))):
-                a = np.flatnonzero(small[:-shift] & (key[shift:] == key[:-shift]))
-                if not len(a):
-                    break
-                a = a[first[a + shift] <= first[a] + RADIUS]
-                for k in range(0, len(a), 1 << 17):
-                    x, y = own[a[k : k + (1 << 17)]], own[a[k : k + (1 << 17)] + shift]
-                    far = np.abs(pivot_table(x, refs) - pivot_table(y, refs)).max(axis=1) if len(x) else np.zeros(0)
-                    hit = (far <= RADIUS) & (np.bitwise_count(x ^ y) <= RADIUS)
-                    pairs += zip(x[hit].tolist(), y[hit].tolist(), strict=True)
-            a, b = (np.array(v, dtype=np.uint64).view(np.int64) for v in (zip(*pairs, strict=True) if pairs else ((), ())))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return run
-
-
-def fingerprint_components(fps: DataFrame, n: int) -> DataFrame:
-    """``fps``: distinct fp. Returns fp and root for every fingerprint that links to another one."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+    fp = fp.view(np.uint64)
+    first = np.bitwise_count(fp ^ refs[0])
+    by = np.lexsort((first, key))
+    own, key, first = fp[by], key[by], first[by]
+    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.append(edges, len(key)))
+    pairs = []
+    for start, n in zip(edges[length > 64].tolist(), length[length > 64].tolist(), strict=True):
+        pairs += run_links(own[start : start + n], refs)
+    small = np.repeat(length <= 64, length)
+    for shift in range(1, min(64, int(length.max(initial=1)))):
+        a = np.flatnonzero(small[:-shift] & (key[shift:] == key[:-shift]))
+        if not len(a):
+            break
+        a = a[first[a + shift] <= first[a] + RADIUS]
+        for k in range(0, len(a), 1 << 17):
+            x, y = own[a[k : k + (1 << 17)]], own[a[k : k + (1 << 17)] + shift]
+            far = np.abs(pivot_table(x, refs) - pivot_table(y, refs)).max(axis=1) if len(x) else np.zeros(0)
+            hit = (far <= RADIUS) & (np.bitwise_count(x ^ y) <= RADIUS)
+            pairs += zip(x[hit].tolist(), y[hit].tolist(), strict=True)
+    a, b = (np.array(v, dtype=np.uint64).view(np.int64) for v in (zip(*pairs, strict=True) if pairs else ((), ())))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _banded(rows: DataFrame, bands: int, *kept: str) -> DataFrame:
+    """Each row once for each choice of agreeing bands: ``key`` of those bits, and of the old columns ``kept``."""
+    bits = [F.col("fp").bitwiseAND(F.lit(int(np.uint64(m).view(np.int64)))) for m in _band_masks(bands)]
+    keys = F.array(*[F.xxhash64(F.lit(k), b, *kept) for k, b in enumerate(bits)])
+    return rows.select(F.explode(keys).alias("key"), "fp")
+
+
+def fingerprint_components(fps: DataFrame, n: int, hot: int = HOT_RUN) -> DataFrame:
+    """``fps``: distinct fp. Returns fp and root for every fingerprint that links to another one.
+
+    Of a key that more than ``hot`` fingerprints share, the fingerprints are dealt again over all tasks by finer bands."""
     bands = 4 if n < 1 << 22 else 5 if n < 1 << 28 else 6  # lossless at any number; more bands make shorter runs
-    masks = _band_masks(bands)
-    spread = fps.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(bits).view(np.int64)))).alias("key"), F.col("fp")) for m, bits in enumerate(masks)])).alias("x")).select("x.*")
-    tasks = max(12, n * len(masks) // 400_000)
-    links = spread.repartition(tasks, "mask", "key").select("mask", "fp").mapInArrow(_links(bands), "a long, b long")
+    spread = _banded(fps, bands)
+    crowded = scratch(spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "crowded-bands")
+    dealt = spread
+    if not crowded.isEmpty():
+        again = _banded(spread.join(crowded, "key"), FINE_BANDS, "key")
+        dealt = spread.join(crowded, "key", "left_anti").unionByName(again)
+    tasks = max(12, n * len(_band_masks(bands)) // 400_000)
+    links = dealt.repartition(tasks, "key").mapInArrow(_links, "a long, b long")
     return components(scratch(links.distinct(), "links"))
 
 
@@ -189,7 +197,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lik
         roots = fingerprint_components(by_fp.select("fp"), by_fp.count())
     else:
         rows = scratch(shingle_join.sketched(docs, doc_id, text), "sketches")
-        by_fp = scratch(rows.groupBy("fp").agg(F.min(own).alias("low"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "distinct-sketches")
+        by_fp = scratch(rows.groupBy("fp").agg(F.min(own).alias("low"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "distinct-sketches")
         roots = scratch(shingle_join.roots(by_fp, by_fp.count(), docs, likeness, doc_id, text), "roots")
     known = by_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = known.groupBy("root").agg(F.min("low").alias("low"))

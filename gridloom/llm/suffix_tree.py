@@ -21,7 +21,7 @@ kept from level to level once it is small (probabilities in single precision). A
 share of the tokens is dealt to several parts by its next words, its sums are added up on the driver: at most
 two a part. A part too large for memory is worked off by ranges of hashes from a file of its task.
 
-Contexts are told apart by 64-bit hashes and next words of one context by 40 bits; counts of words are exact.
+Contexts are told apart by 64-bit hashes and next words of one context by 24 to 40 bits, the more the more frequent it is; counts of words are exact.
 The suffix's probability in the divergence test is rounded to an eighth of an octave.
 
 Defined results: a null text is empty and has the end alone. A null doc_id belongs to the training rows.
@@ -78,6 +78,17 @@ def _unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` low bytes of each number, all lowest ones first; small numbers then compress to little."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()
+
+
+def _from_planes(planes: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -188,12 +199,16 @@ def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             words, at, n = tokenised(t.column("text").combine_chunks())
+            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), np.int64)
+            rank[often] = np.arange(len(words))
+            words, at = words.take(pa.array(often)), rank[at]
             stops = np.cumsum(n + 1)
             ids = np.zeros(int(stops[-1]), np.int32)
             ids[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = at + 1
             raw, ends = _flat(pa.concat_arrays([pa.array([END_WORD], pa.binary()), words]))
             docs = t.drop_columns("text").append_column("n", pa.array(n + 1))
-            row = [block, _ipc(docs), _packed(ids), _packed(np.diff(ends).astype(np.int32), raw)]
+            row = [block, _ipc(docs), _packed(_planes(ids, 4)), _packed(np.diff(ends).astype(np.int32), raw)]
             return pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "docs", "ids", "words"])
 
         for batch in by_bytes(batches, 2, block_bytes):
@@ -222,7 +237,7 @@ class Block:
         table = pa.ipc.open_stream(docs).read_all()
         n = table["n"].to_numpy()
         own = _words_of(*_unpacked(words, "i4", "u1"))
-        return cls(table, _unpacked(ids, "i4")[0], own, word_hashes(own), np.cumsum(n) - n, np.repeat(~np.asarray(table["held_out"]), n))
+        return cls(table, _from_planes(_unpacked(ids, "u1")[0], 4), own, word_hashes(own), np.cumsum(n) - n, np.repeat(~np.asarray(table["held_out"]), n))
 
     def word_order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
         part = (self.hashes % np.uint64(parts)).astype(np.int64)
@@ -361,7 +376,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(payload, "i8", "i8")], names=["pair", "n"])
 
 
-_CONTEXTS = ("u8", "i8", "i4", "u4", "u1", "i4", "u1")  # of a packet: context, its occurrences, its entries; an entry's word (low, high bits), count, rounded probability
+_CONTEXTS = ("u8", "i8", "i4", "u1", "i4", "u1")  # of a packet: context, its occurrences, its entries; an entry's word (planes), count, rounded probability
+#: Bytes of the planes of an entry's word.
+WORD_WIDTH = 5
+
+
+def _word_bits(occur: np.ndarray) -> np.ndarray:
+    """A mask of the bits of a next word's hash that tell the few words of a context of so many occurrences apart as well as 40 bits do those of a frequent one."""
+    return np.where(occur <= 16, (1 << 24) - 1, np.where(occur <= 256, (1 << 32) - 1, (1 << WORD_BITS) - 1))
 
 
 def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -369,10 +391,10 @@ def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     d, least = m.settings.discount, m.settings.least
 
     def judged(part: int, seq: int, blocks: list[int], packets: list[list[np.ndarray]]) -> list[tuple]:
-        context, total, entries, low, high, n, rounded = (np.concatenate(x) for x in zip(*packets, strict=True))
+        context, total, entries, word, n, rounded = (np.concatenate(x) for x in zip(*packets, strict=True))
         kinds, at, sample = _groups(context)
         occur = total[sample]
-        key = (np.repeat(at, entries) << WORD_BITS) | (high.astype(np.int64) << 32) | low
+        key = (np.repeat(at, entries) << WORD_BITS) | word
         own, place, one = _groups(key)
         sums = np.bincount(place, weights=n, minlength=len(own)).astype(np.int64)
         kept = np.flatnonzero(sums >= least)
@@ -402,6 +424,7 @@ def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 blocks, packets = [], []
                 for block, payload in spool:
                     p = _unpacked(payload, *_CONTEXTS)
+                    p[3] = _from_planes(p[3], WORD_WIDTH)
                     i, j = _within(p[0], low, high)
                     ends = np.concatenate([[0], np.cumsum(p[2])])
                     blocks.append(block)
@@ -531,13 +554,13 @@ def _sent(state: State, p: Plan, block: int) -> list[tuple[int, int, bytes]]:
     train = ~np.asarray(state.docs["held_out"])
     n = np.bincount(p.place, weights=train[state.doc[p.rows]], minlength=len(p.word)).astype(np.int32)
     rounded = np.clip(np.rint(-8 * np.log2(state.prob[p.sample])), 0, 255).astype(np.uint8)
-    word = state.words[p.word] >> np.uint64(64 - WORD_BITS)
+    word = (state.words[p.word] >> np.uint64(64 - WORD_BITS)).astype(np.int64) & _word_bits(state.occur[p.slots[p.slot]])
     entries = np.bincount(p.slot, minlength=len(p.slots)).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(entries)])
     out = []
     for part, i, j in _runs(p.parts):
         a, b = ends[i], ends[j]
-        out.append((part, block, _packed(state.contexts[p.slots[i:j]], state.occur[p.slots[i:j]], entries[i:j], word[a:b].astype(np.uint32), (word[a:b] >> np.uint64(32)).astype(np.uint8), n[a:b], rounded[a:b])))
+        out.append((part, block, _packed(state.contexts[p.slots[i:j]], state.occur[p.slots[i:j]], entries[i:j], _planes(word[a:b], WORD_WIDTH), n[a:b], rounded[a:b])))
     return out
 
 
@@ -578,7 +601,7 @@ def _scored(state: State, m: Model) -> bytes:
 
 
 #: From this level on a block's state, small by then, is kept from level to level; before, it is made anew from the block.
-KEPT_FROM = 3
+KEPT_FROM = 4
 
 
 def _advance(m: Model, level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:

@@ -32,7 +32,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 @dataclass(frozen=True)
 class Reputation:
     """``z``: standard deviations below the mean; ``least_good``: least share of good pages;
-    ``suffixes``: public suffixes of more than one label; ``rho``: bounds of a prior's intra-class correlation."""
+    ``suffixes``: public suffixes of two or three labels, or ``*.`` and a label under which each name is a suffix, as
+    :func:`read_suffixes` takes them from a public suffix list; ``rho``: bounds of a prior's intra-class correlation."""
 
     z: float = 1.645
     least_good: float = 0.6
@@ -40,6 +41,13 @@ class Reputation:
     rho: tuple[float, float] = (0.001, 0.5)
 
 
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """The suffixes of two or three labels, and the wildcard rules, of a file in the format of the public suffix list, read by the driver. Exceptions are left out."""
+    with open(path, encoding="utf-8") as f:
+        rules = [line.split()[0].lower() for line in f if line.strip() and not line.startswith("//")]
+    return tuple(sorted({r for r in rules if not r.startswith("!") and 1 <= r.count(".") <= 2}))
+
+
 def host_of(url: Column) -> Column:
     at = F.instr(url, "://")
     host = F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"^[^/?#]*", 0)
@@ -65,9 +73,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def suffix_of(host: Column, suffixes: tuple[str, ...]) -> Column:
-    last = F.substring_index(host, ".", -1)
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(last) if suffixes else last
+    last, two, three = (F.substring_index(host, ".", -n) for n in (1, 2, 3))
+    wild = [s[2:] for s in suffixes if s.startswith("*.") and s.count(".") == 1]
+    pairs = [s for s in suffixes if s.count(".") == 1 and not s.startswith("*.")]
+    triples = [s for s in suffixes if s.count(".") == 2 and not s.startswith("*.")]
+    out = F.when(three.isin(*triples), three) if triples else F.when(F.lit(False), last)
+    if pairs:
+        out = out.when(two.isin(*pairs), two)
+    if wild:
+        out = out.when(last.isin(*wild), two)
+    return out.otherwise(last)
 
 
 def domain_of(host: Column, suffix: Column) -> Column:

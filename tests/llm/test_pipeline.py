@@ -1,12 +1,17 @@
-import hashlib
 import os
+import re
+import threading
 from collections import Counter
 
 import corpus_pipeline
-from gridloom.llm import queries
+import pytest
+from gridloom.llm import queries, shingle_join
+from gridloom.llm.common import shared_dir
 from gridloom.llm.simhash import near_groups
+from llm.test_text_operators import check_packing
 
 SF = "/root/testdata/sf0.01"
+WHITE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def test_stages(spark, tmp_path):
@@ -34,14 +39,12 @@ def test_stages(spark, tmp_path):
             if name == "exact dedup":
                 first = {}
                 for i, t in sorted(before.items()):
-                    first.setdefault(hashlib.sha256(b" ".join(p for p in [t.encode().replace(b"\t", b" ").replace(b"\n", b" ")])).digest(), i)
-                assert len(after) <= len(first)
-                texts = [" ".join(before[i].split()) for i in after]
-                assert len(set(texts)) == len(texts)
+                    first.setdefault(WHITE.sub(b" ", t.encode()), i)
+                assert after == set(first.values())
             if name == "SimHash near-dedup":
-                assert after == {r["component_id"] for r in near_groups(docs).collect()}
+                assert after == set(brute_jaccard_groups(before)[0].values())
         else:
-            assert {r["doc_id"] for r in out.collect()} == set(before)
+            check_packing(docs, out.collect())
         docs = out
     assert list(kept) == ["language ID", "quality classifier", "exact dedup", "SimHash near-dedup", "best-fit packing"]
 
@@ -51,6 +54,49 @@ def test_run_gives_the_same_pieces_twice(spark):
     assert rows[0] == rows[1] and rows[0]
 
 
+def test_runs_do_not_touch_each_other(spark):
+    """Two runs at a time give the same pieces, and leave only their results in the shared folder."""
+    before, out = set(os.listdir(shared_dir(spark))), {}
+    runs = [threading.Thread(target=lambda k=k: out.update({k: corpus_pipeline.run(spark, "/root/testdata/sf0.001")})) for k in range(2)]
+    for r in runs:
+        r.start()
+    for r in runs:
+        r.join()
+    rows = [sorted(tuple(r)[:5] for r in out[k].collect()) for k in range(2)]
+    assert rows[0] == rows[1] and rows[0]
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert len(left) == 2 and all(os.listdir(os.path.join(shared_dir(spark), x)) == ["4"] for x in left)
+
+
+def test_stages_can_be_chained_unwritten(spark):
+    """A stage's plan stays good when later stages have been called."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.drop_exact_copies(spark, docs, SF)
+    first, second = corpus_pipeline.drop_near_copies(spark, kept, SF), corpus_pipeline.drop_near_copies(spark, kept, SF)
+    pieces = corpus_pipeline.pack_sequences(spark, first, SF)
+    ids = {r["doc_id"] for r in pieces.collect()}
+    assert ids == {r["doc_id"] for r in first.collect()} == {r["doc_id"] for r in second.collect()}
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Null ids, texts and languages, repeated rows, a very long text, and extra columns with clashing names."""
+    long = " ".join(f"the word{i % 997} of and {i}" for i in range(20_000))
+    rows = [(1, "the cat sat on the mat and it was good", "en"), (2, "the  cat sat on the mat and it was good", "en"), (None, "the dog and the cat were here with us", None), (None, None, "en"), (3, None, None), (4, "", "de"), (5, "12 34", "en"), (6, long, "en"), (7, long + " end", "en"), (8, "der Hund und die Katze sind hier", "de"), (8, "der Hund und die Katze sind hier", "de")]
+    docs = spark.createDataFrame([(*r, "s", 1, "x", 2, "y", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, sha string, fp long, __kept string, key int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, "z") for i in range(1, 9)], "doc_id long, quality int, score string").write.parquet(f"{tmp_path}/labels.parquet")
+    sf, frame = str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    named = corpus_pipeline.identify_language(spark, frame, sf)
+    assert tuple(named.columns) == corpus_pipeline.COLUMNS
+    assert sorted(str(r["doc_id"]) for r in named.collect()) == ["1", "2", "6", "7", "8", "8", "None"]
+    assert set(map(tuple, corpus_pipeline.classify_quality(spark, frame, sf).collect())) <= set(map(tuple, frame.select(*corpus_pipeline.COLUMNS).collect()))
+    once = corpus_pipeline.drop_exact_copies(spark, frame, sf).collect()
+    assert sorted(str(r["doc_id"]) for r in once) == ["1", "5", "6", "7", "8", "None", "None"]
+    alike = {str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, frame, sf).collect()}
+    assert {"1", "5", "6", "8"} <= alike and not alike & {"2", "7"}
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
@@ -88,9 +134,14 @@ def brute_jaccard_groups(rows, likeness=0.8):
     return {i: ids[find(k)] for k, i in enumerate(ids)}, links
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("chunk", [2000, 7])
+def test_near_copies_against_all_pairs(spark, monkeypatch, chunk):
     """Copies with a few words changed, at similarities on both sides of 0.8, among the documents and short texts."""
+    monkeypatch.setattr(shingle_join, "CHUNK", chunk)  # 7: most groups are dealt to several tasks
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    many = [f"word{k}" for k in range(100)]
+    rows |= {3_000_000 + k: " ".join([*many[:k % 12], f"new{k}", *many[k % 12 + 1 :]]) for k in range(60)}  # one large group
+    rows |= {4_000_000 + k: " ".join(many[k : k + 60]) for k in range(40)}  # a chain whose ends are unlike
     for k, i in enumerate(sorted(i for i, t in rows.items() if len((t or "").split()) > 60)[:150]):
         words = rows[i].split()
         for n in range(k % 6):

@@ -65,6 +65,28 @@ def test_bad_hosts_are_blocked_and_unknown_ones_shrink_to_their_domain(spark):
     assert verdict["h1.y.org"] == verdict["new.y.org"] == "allow"
 
 
+def test_suffixes_from_a_list(spark, tmp_path):
+    path = tmp_path / "list.dat"
+    path.write_text("// rules\nuk\nco.uk\n\ngov.uk\n*.ck\n!www.ck\nct.sch.uk extra\n", encoding="utf-8")
+    suffixes = url_reputation.read_suffixes(str(path))
+    assert suffixes == ("*.ck", "co.uk", "ct.sch.uk", "gov.uk")
+    hosts = ["a.b.co.uk", "x.gov.uk", "gov.uk", "a.foo.ck", "y.ct.sch.uk", "plain.org", "uk", ""]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    suffix = url_reputation.suffix_of(F.col("host"), suffixes)
+    got = [tuple(r) for r in df.select(suffix, url_reputation.domain_of(F.col("host"), suffix)).collect()]
+    assert got == [("co.uk", "b.co.uk"), ("gov.uk", "x.gov.uk"), ("gov.uk", "gov.uk"), ("foo.ck", "a.foo.ck"), ("ct.sch.uk", "y.ct.sch.uk"), ("org", "plain.org"), ("uk", "uk"), ("", "")]
+
+
+def test_repeated_and_very_long_urls(spark):
+    long = "http://" + "a." * 40_000 + "example.com/de/" + "p" * 100_000
+    rows = [(1, long), (1, long), (2, "http://x.org/" + "/" * 200_000), (3, "://"), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = url_reputation.judge(pages, pages.selectExpr("url", "1 good")).collect()
+    got = Counter((r["page_id"], r["host"], len(r["path"]), r["rule"]) for r in out)
+    assert got == Counter([(1, "a." * 40_000 + "example.com", 100_005, "example.com/de/")] * 2 + [(2, "x.org", 200_001, None), (3, "", 0, None), (None, "", 0, None)])
+    assert {r["verdict"] for r in out if r["page_id"] == 1} == {"block"} and all(r["verdict"] in ("block", "allow") for r in out)
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_reputation.judge(pages, spark.createDataFrame([], "url string, good int")).count() == 0
@@ -558,6 +580,24 @@ def test_runs_of_near_copies_lose_no_link(most):
     assert [find(k) for k in range(len(fps))] == brute_components([int(f) for f in fps])
 
 
+def test_crowded_bands_are_dealt_again(spark):
+    """Many distinct fingerprints that share most bits: finer bands spread them, and no link is lost."""
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 2**28, 400).astype(np.uint64)
+    fps = np.unique(np.concatenate([low, low[:150] ^ np.uint64(5), low[:80] ^ np.uint64(1 << 60)]))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    want = {int(f): r for f, r in zip(fps, brute_components([int(f) for f in fps]), strict=True)}
+    for hot in (50, 8192):
+        found = simhash.fingerprint_components(df, len(fps), hot).collect()
+        groups = defaultdict(set)
+        for r in found:
+            groups[r["root"]].add(int(np.int64(r["fp"]).view(np.uint64)))
+        together = defaultdict(set)
+        for f, r in want.items():
+            together[r].add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in together.values() if len(g) > 1)
+
+
 def test_pivot_differences_never_exceed_the_distance():
     rng = np.random.default_rng(7)
     x, y = (rng.integers(0, 2**63, 500).astype(np.uint64) for _ in range(2))
