@@ -33,7 +33,8 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("-i", "--rounds", type=int, default=20)
     p.add_argument("-U", "--schedule", choices=[s.name.lower() for s in cocluster.Schedule], default="alternate")
     p.add_argument("-t", "--threshold", type=float, default=1e-3)
-    p.add_argument("-l", "--local-search", type=int, default=0, help="length of chains of single moves (mssr1)")
+    p.add_argument("-l", "--local-search", type=int, default=0, help="length of chains of single row moves (itcc, mssr1, mssr2)")
+    p.add_argument("-s", "--start", choices=("dealt", "farthest"), default="dealt", help="farthest: rows and columns far from each other (itcc)")
     p.add_argument("-T", "--chain-threshold", type=float, default=-1e-6)
     p.add_argument("-K", "--classes", help="file of row classes")
     p.add_argument("-O", "--output", required=True)
@@ -56,12 +57,16 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, float]:
         if a.algorithm in ("idiv", "euclid"):
             res = bregman.cocluster(m, a.rows, a.cols, a.basis, "i" if a.algorithm == "idiv" else "e", a.rounds, a.threshold, rows, cols)
         elif a.algorithm == "itcc":
+            if a.start == "farthest":
+                p = cocluster.joint(m)
+                rows, cols = cocluster.farthest_start(p, a.rows), cocluster.farthest_start(p.transpose(), a.cols)
             res = cocluster.itcc(m, a.rows, a.cols, a.rounds, cocluster.Schedule[a.schedule.upper()], threshold=a.threshold, rows=rows, cols=cols)
         else:
             res = cocluster.mssr(m, a.rows, a.cols, int(a.algorithm[-1]), a.rounds, cocluster.Schedule[a.schedule.upper()], a.threshold, rows, cols)
-            if a.local_search and a.algorithm == "mssr1":
-                moved, gain = cocluster.local_search(m, res.rows, res.cols, a.local_search, -a.chain_threshold)
-                res = cocluster.Result(moved, res.cols, [*res.objectives, res.objectives[-1] + gain])
+        if a.local_search and a.algorithm in ("itcc", "mssr1", "mssr2"):
+            kind = "itcc" if a.algorithm == "itcc" else int(a.algorithm[-1])
+            moved, gain = cocluster.local_search(cocluster.joint(m) if kind == "itcc" else m, res.rows, res.cols, a.local_search, -a.chain_threshold, kind)
+            res = cocluster.Result(moved, res.cols, [*res.objectives, res.objectives[-1] + gain])
         values.append(res.objectives[-1])
         if best is None or values[-1] < best.objectives[-1]:
             best = res

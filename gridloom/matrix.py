@@ -13,8 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import cut
+
 SCHEMA = "row bigint, col bigint, value double"
 
+#: Memory of a cell in a broadcast table, and of all that one task may be asked to hold.
+CELL_BYTES, HELD_BYTES = 64, 256 << 20
+
 
 @dataclass(frozen=True)
 class CoordMatrix:
@@ -59,6 +64,24 @@ class CoordMatrix:
         b = other.cells.select(F.col("row").alias("__k"), "col", F.col("value").alias("__b"))
         return CoordMatrix(a.join(b, "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("value")), self.n_rows, other.n_cols)
 
+    def multiply_held(self, other: CoordMatrix, most_bytes: int = HELD_BYTES) -> CoordMatrix:
+        """The same product. Where ``other`` is stored and its cells, counted, take at most ``most_bytes``, each task holds it whole and this
+        matrix is dealt by row: the sums of a row come together in one place, and no partial product is exchanged. A larger one is joined."""
+        stored = CoordMatrix(cut(other.cells.select("row", "col", "value")), other.n_rows, other.n_cols)
+        if CELL_BYTES * stored.cells.count() > most_bytes:
+            return self.multiply(stored)
+        a = self.cells.select("row", F.col("col").alias("__k"), F.col("value").alias("__a")).repartition("row")
+        b = stored.cells.select(F.col("row").alias("__k"), "col", F.col("value").alias("__b"))
+        return CoordMatrix(a.join(F.broadcast(b), "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("value")), self.n_rows, other.n_cols)
+
+    def row_counts(self) -> DataFrame:
+        """(id, n) of each row that has cells."""
+        return self.cells.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("n"))
+
+    def skeleton(self) -> CoordMatrix:
+        """A graph with the same connected components."""
+        return self
+
     def hadamard(self, other: CoordMatrix) -> CoordMatrix:
         b = other.cells.withColumnRenamed("value", "__b")
         return self._like(self.cells.join(b, ["row", "col"]).select("row", "col", (F.col("value") * F.col("__b")).alias("value")))
@@ -154,6 +177,19 @@ class CoordMatrix:
         both = self.cells.unionByName(diagonal).groupBy("row", "col").agg((F.sum("value") / top).alias("value"))
         return self._like(both)
 
+    def balanced_by_scaling(self, most: int = 100, tolerance: float = 1e-6) -> tuple[CoordMatrix, int]:
+        """Rows, then columns are brought to length 1, until entry and mirrored entry differ by less than ``tolerance`` or ``most`` rounds are done; and the rounds."""
+        m = self
+        for k in range(1, most + 1):
+            m = self._like(cut(m.unit_rows("row").unit_rows("col").cells.select("row", "col", "value")))
+            if (m.asymmetry().first()["max_imbalance"] or 0.0) < tolerance:
+                break
+        return m, k if most else 0
+
+    def has_negative(self) -> DataFrame:
+        """One row: whether a value is below 0, as guards of divergences ask."""
+        return self.cells.agg(F.coalesce(F.max(F.col("value") < 0), F.lit(False)).alias("has_negative"))
+
     def sampled_product(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """For each cell (i, j) the dot product of left[i] and right[j]; both (id, vec array<double>)."""
         a, b = left.select(F.col("id").alias("row"), F.col("vec").alias("__a")), right.select(F.col("id").alias("col"), F.col("vec").alias("__b"))
@@ -161,6 +197,72 @@ class CoordMatrix:
         return self.cells.select("row", "col").join(a, "row").join(b, "col").select("row", "col", dot.alias("value"))
 
 
+@dataclass(frozen=True)
+class CliqueMatrix(CoordMatrix):
+    """The graph in which all members of a group are linked, in factored form: ``groups`` has (id, group), an id once.
+
+    As P P' - I with P the memberships: products go through the groups, so the links, as many as the square
+    of a group's size, are made only where ``cells`` itself is asked for."""
+
+    groups: DataFrame
+
+    @staticmethod
+    def of_groups(groups: DataFrame, n: int) -> CliqueMatrix:
+        a, b = groups.select(F.col("id").alias("row"), "group"), groups.select(F.col("id").alias("col"), "group")
+        return CliqueMatrix(a.join(b, "group").filter("row <> col").select("row", "col", F.lit(1.0).alias("value")), n, n, groups)
+
+    def multiply(self, other: CoordMatrix) -> CoordMatrix:
+        if self.n_cols != other.n_rows:
+            raise ValueError(f"cannot multiply {self.n_rows}x{self.n_cols} by {other.n_rows}x{other.n_cols}")
+        own = other.cells.join(self.groups.select(F.col("id").alias("row"), "group"), "row")
+        sums = own.groupBy("group", "col").agg(F.sum("value").alias("value"))
+        spread = self.groups.select(F.col("id").alias("row"), "group").join(sums, "group").select("row", "col", "value")
+        minus = own.select("row", "col", F.col("value").alias("__own"))
+        left = spread.join(minus, ["row", "col"], "left").filter("__own IS NULL OR value <> __own")  # a group's sum that is the row's own alone leaves no cell
+        return CoordMatrix(left.select("row", "col", (F.col("value") - F.coalesce("__own", F.lit(0.0))).alias("value")), self.n_rows, other.n_cols)
+
+    def slice(self, rows: DataFrame | None = None, cols: DataFrame | None = None) -> CoordMatrix:
+        if rows is None or cols is not rows:
+            return CoordMatrix.slice(self, rows, cols)
+        return CliqueMatrix.of_groups(self.groups.join(rows.select("id"), "id", "left_semi"), self.n_rows)
+
+    def row_counts(self) -> DataFrame:
+        sizes = self.groups.groupBy("group").agg((F.count("*") - 1).alias("n"))
+        return self.groups.join(sizes, "group").filter("n > 0").select("id", "n")
+
+    def skeleton(self) -> CoordMatrix:
+        """Each member linked with its group's smallest."""
+        low = self.groups.groupBy("group").agg(F.min("id").alias("col"))
+        links = self.groups.join(low, "group").select(F.col("id").alias("row"), "col", F.lit(1.0).alias("value")).filter("row <> col")
+        return CoordMatrix(links, self.n_rows, self.n_cols)
+
+
+def value_ranks(items: DataFrame, value: str = "value", id_col: str = "id") -> DataFrame:
+    """``items`` with the place of each value in ascending order, from 0; equal values in the order of their ids."""
+    return numbered(items, value, id_col, "rank")
+
+
+def numbered(df: DataFrame, key: str, then: str, name: str, ranges: int = 128) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of ``key``, nulls first, then ``then``. Rows are dealt by ranges of the key, so that no task orders all of them;
+    the driver gets the ranges' bounds and sizes."""
+    bounds = df.agg(F.percentile_approx(F.col(key), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000)).alias("b")).first()["b"] or []
+    placed = df.withColumn("__range", range_of(F.col(key), sorted(set(bounds))))
+    before, at = [], 0
+    for r in placed.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # at most ``ranges`` rows
+        before.append((r["__range"], at))
+        at += r["n"]
+    start = df.sparkSession.createDataFrame(before, "__range int, __before bigint")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.asc_nulls_first(key), then)) - 1
+    return placed.withColumn("__own", own).join(F.broadcast(start), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__range", "__own", "__before")
+
+
+def range_of(key: Column, bounds: list) -> Column:
+    """How many of a bounded number of sorted bounds lie below ``key``."""
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < key)), F.lit(0))
+
+
 def extent(cells: DataFrame) -> tuple[int, int]:
     r = cells.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
     return (0, 0) if r["r"] is None else (r["r"] + 1, r["c"] + 1)

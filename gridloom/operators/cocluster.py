@@ -172,29 +172,89 @@ def _loop(m: CoordMatrix, k_rows: int, k_cols: int, rounds: int, schedule: Sched
     return Result(rows, cols, history)
 
 
-def best_row_move(m: CoordMatrix, rows: DataFrame, cols: DataFrame, fixed: list[int] | None = None) -> DataFrame:
-    """The single row move that lowers the residue of kind 1 most: (id, cluster, change). Rows in ``fixed`` do not move.
+def best_row_move(m: CoordMatrix, rows: DataFrame, cols: DataFrame, fixed: list[int] | None = None, kind: int | str = 1) -> DataFrame:
+    """The single row move that lowers the objective most: (id, cluster, change). Rows in ``fixed`` do not move; a cluster's last row stays.
 
-    The change follows from block sums: moving a row with sums v from cluster a to b changes
-    -S^2/(n m) of both."""
+    ``kind``: 1 or 2, the residue; ``"itcc"``, the information loss of a joint distribution. All changes follow from the block sums
+    with and without the row's own sums, for kind 2 also from the sums by column."""
     z = labelled(m, rows, cols)
     nr, nc = rows.groupBy(F.col("cluster").alias("g")).agg(F.count("*").alias("nr")), cols.groupBy(F.col("cluster").alias("h")).agg(F.count("*").alias("nc"))
     grid = nr.crossJoin(F.broadcast(nc)).join(z.groupBy("g", "h").agg(F.sum("value").alias("s")), ["g", "h"], "left").select("g", "h", "nr", "nc", F.coalesce("s", F.lit(0.0)).alias("s"))
-    by_h = rows.filter(~F.col("id").isin(fixed or [-1])).select("id", "cluster").crossJoin(F.broadcast(nc.select("h"))).join(z.groupBy(F.col("row").alias("id"), "h").agg(F.sum("value").alias("v")), ["id", "h"], "left").select("id", "cluster", "h", F.coalesce("v", F.lit(0.0)).alias("v"))
-    term = lambda s, n, c: F.when(n > 0, s * s / (n * c)).otherwise(0.0)
+    free = rows.filter(~F.col("id").isin(fixed or [-1])).select("id", "cluster")
+    by_h = free.crossJoin(F.broadcast(nc.select("h"))).join(z.groupBy(F.col("row").alias("id"), "h").agg(F.sum("value").alias("v")), ["id", "h"], "left").select("id", "cluster", "h", F.coalesce("v", F.lit(0.0)).alias("v"))
+    if kind == "itcc":
+        term = lambda s, n, c: _plog(s)
+    else:
+        term = lambda s, n, c: F.when(n > 0, s * s / (n * c)).otherwise(0.0)
     j = by_h.join(grid, "h")
-    change: Column = F.when(F.col("g") == F.col("cluster"), term(F.col("s"), F.col("nr"), F.col("nc")) - term(F.col("s") - F.col("v"), F.col("nr") - 1, F.col("nc"))).otherwise(term(F.col("s"), F.col("nr"), F.col("nc")) - term(F.col("s") + F.col("v"), F.col("nr") + 1, F.col("nc")))
-    per = j.groupBy("id", "cluster", "g", "nr").agg(F.sum(change).alias("d"))
+    stays = F.col("g") == F.col("cluster")
+    change: Column = F.when(stays, term(F.col("s"), F.col("nr"), F.col("nc")) - term(F.col("s") - F.col("v"), F.col("nr") - 1, F.col("nc"))).otherwise(term(F.col("s"), F.col("nr"), F.col("nc")) - term(F.col("s") + F.col("v"), F.col("nr") + 1, F.col("nc")))
+    per = j.groupBy("id", "cluster", "g", "nr").agg(F.sum(change).alias("d"), F.sum("s").alias("p_g"), F.sum("v").alias("p"))
+    if kind == "itcc":
+        per = per.withColumn("d", F.col("d") - (_plog(F.col("p_g")) - _plog(F.when(stays, F.col("p_g") - F.col("p")).otherwise(F.col("p_g") + F.col("p")))))
+    if kind == 2:
+        per = _with_columns(per, z, m, nr)
     leave = per.filter("g = cluster AND nr > 1").select("id", F.col("d").alias("leave"))
     moves = per.filter("g <> cluster").join(leave, "id").select("id", F.col("g").alias("cluster"), (F.col("d") + F.col("leave")).alias("change"))
     return moves.orderBy(F.round("change", 9), "id", "cluster").limit(1)
 
 
-def local_search(m: CoordMatrix, rows: DataFrame, cols: DataFrame, length: int = 5, threshold: float = 1e-6) -> tuple[DataFrame, float]:
+def _plog(x: Column) -> Column:
+    """x log2 x; 0, and what rounding leaves of it, is 0."""
+    return F.when(x > 1e-15, x * F.log2(x)).otherwise(0.0)
+
+
+def _with_columns(per: DataFrame, z: DataFrame, m: CoordMatrix, nr: DataFrame) -> DataFrame:
+    """The changes of kind 1 turned into those of kind 2: cluster sums by column count too, and block sums the other way."""
+    sums = z.groupBy("g", "col").agg(F.sum("value").alias("s"))
+    whole = sums.groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+    dots = m.cells.join(sums, "col").groupBy(F.col("row").alias("id"), "g").agg(F.sum(F.col("value") * F.col("s")).alias("dot"))
+    squares = m.cells.groupBy(F.col("row").alias("id")).agg(F.sum(F.col("value") * F.col("value")).alias("vv"))
+    j = per.join(whole, "g", "left").join(dots, ["id", "g"], "left").join(squares, "id", "left").fillna(0.0, ["q", "dot", "vv"])
+    sign = F.when(F.col("g") == F.col("cluster"), -1).otherwise(1)
+    after = F.when(F.col("nr") + sign > 0, (F.col("q") + 2 * sign * F.col("dot") + F.col("vv")) / (F.col("nr") + sign)).otherwise(0.0)
+    return j.withColumn("d", F.col("q") / F.col("nr") - after - F.col("d"))
+
+
+def farthest_start(p: CoordMatrix, k: int, alpha: float = 0.1) -> DataFrame:
+    """(id, cluster): ``k`` rows far from each other, then every row with the nearest of them.
+
+    The first is farthest from the mean of all rows, each further one has the largest summed distance to those before; distances are
+    KL to the row's distribution, of which ``alpha`` is spread evenly. The driver gets one row number a step; the chosen rows stay in a table."""
+    spark, n = p.cells.sparkSession, float(p.n_cols)
+    total = p.sums("row").select(F.col("id").alias("row"), F.col("total").alias("__t"))
+    shares = cut(p.cells.filter("value > 0").join(total, "row").select("row", "col", (F.col("value") / F.col("__t")).alias("v")))
+    floor = alpha / n / (1 + alpha)
+
+    def distances(proto: DataFrame, what: int) -> DataFrame:
+        """(id, d) of each row to a prototype (col, q), smoothed; up to the row's own entropy, which all prototypes share."""
+        cost = shares.join(proto, "col", "left").groupBy(F.col("row").alias("id")).agg(F.sum(F.col("v") * -F.log(F.coalesce(F.col("q"), F.lit(0.0)) / (1 + alpha) + floor)).alias("d"), F.sum(F.col("v") * F.log("v")).alias("e"))
+        return cost.select("id", (F.col("d") + F.col("e")).alias("d"), F.lit(what).alias("cluster"))
+
+    mean = p.cells.groupBy("col").agg(F.sum("value").alias("q"))
+    whole = p.cells.agg(F.sum("value")).first()[0] or 1.0
+    first = distances(mean.select("col", (F.col("q") / whole).alias("q")), 0).orderBy(F.desc(F.round("d", 9)), "id").first()
+    if first is None:
+        return initial_labels(spark.range(p.n_rows), k)
+    chosen, far = [first["id"]], None
+    while True:
+        own = cut(distances(shares.filter(F.col("row") == chosen[-1]).select("col", F.col("v").alias("q")), len(chosen) - 1))
+        far = own if far is None else far.unionByName(own)
+        if len(chosen) == k:
+            break
+        nxt = far.filter(~F.col("id").isin(chosen)).groupBy("id").agg(F.sum("d").alias("d")).orderBy(F.desc(F.round("d", 9)), "id").first()
+        if nxt is None:
+            break
+        chosen.append(nxt["id"])
+    near = far.groupBy("id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cluster")).alias("b"))
+    return spark.range(p.n_rows).join(near, "id", "left").select("id", F.coalesce("b.cluster", F.lit(0)).cast("int").alias("cluster"))
+
+
+def local_search(m: CoordMatrix, rows: DataFrame, cols: DataFrame, length: int = 5, threshold: float = 1e-6, kind: int | str = 1) -> tuple[DataFrame, float]:
     """A chain of best single moves, each row at most once; the prefix with the lowest total is kept if it gains enough."""
     current, moved, total, best, best_total = rows, [], 0.0, rows, 0.0
     for _ in range(length):
-        move = best_row_move(m, current, cols, moved).first()
+        move = best_row_move(m, current, cols, moved, kind).first()
         if move is None:
             break
         moved.append(move["id"])

@@ -46,12 +46,12 @@ class SocialNet:
 
     def with_friends(self, at_least: int) -> SocialNet:
         """Users of at least so many friends, then groups that still have a member."""
-        friends = self.user_user.cells.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("n"))
+        friends = self.user_user.row_counts()
         return self._users(friends.filter(f"n >= {at_least}")).without_tiny_groups(1)
 
     def sample_users(self, n: int, key: str = "(id * 7919 + 17) % 1000003") -> SocialNet:
         """``n`` users in the order of an arithmetic key, and what lies among them."""
-        ids = self.user_user.cells.select(F.col("row").alias("id")).unionByName(self.user_group.cells.select(F.col("row").alias("id"))).distinct()
+        ids = self.user_user.row_counts().select("id").unionByName(self.user_group.cells.select(F.col("row").alias("id"))).distinct()
         return self._users(ids.orderBy(F.expr(key), "id").limit(n))
 
     def small_network(self, group_size: int, users: int, friends: int) -> SocialNet:
@@ -90,7 +90,7 @@ class SocialNet:
             base = counts.agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("largest"), F.count("*").alias("users"))
             return base.crossJoin(mode).select(F.lit(name).alias("what"), "mean", "least", "largest", "mode", "users")  # one row each
 
-        friends = self.user_user.cells.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("n"))
+        friends = self.user_user.row_counts()
         return of(self.memberships(), "memberships").unionByName(of(friends, "friends")).unionByName(of(self.group_sizes(), "members"))
 
 
@@ -102,8 +102,11 @@ def bipartite_adjacency(b: CoordMatrix) -> CoordMatrix:
 
 
 def two_hop(b: CoordMatrix) -> CoordMatrix:
-    """B (B' B) where B has no cell: columns reached through shared rows. The smaller product comes first."""
-    return b.multiply(b.transpose().multiply(b)).without(b)
+    """B (B' B) where B has no cell: columns reached through shared rows. The smaller product comes first, and is held by each task if it is small enough."""
+    b = CoordMatrix(cut(b.cells.select("row", "col", "value")), b.n_rows, b.n_cols)
+    known = b.cells.groupBy(F.col("row").alias("row")).agg(F.collect_set("col").alias("__known"))  # a row's own columns
+    scores = b.multiply_held(b.transpose().multiply(b)).cells.join(known, "row").filter(~F.array_contains("__known", F.col("col")))
+    return CoordMatrix(scores.select("row", "col", "value"), b.n_rows, b.n_cols)
 
 
 def two_hop_links(b: CoordMatrix, n: int) -> DataFrame:

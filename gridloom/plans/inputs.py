@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..matrix import CoordMatrix
+from ..matrix import CliqueMatrix, CoordMatrix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +25,14 @@ def user_group(spark: SparkSession, sf_dir: str) -> CoordMatrix:
 USER_GROUP = "ug AS (SELECT DISTINCT o_custkey AS row, l_suppkey AS col, 1.0::DOUBLE AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 46)"
 
 
-def user_user(spark: SparkSession, sf_dir: str) -> CoordMatrix:
-    """Customers of one nation and market segment whose keys differ by at most 40: friendships in both directions."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    a, b = c.withColumnRenamed("c_custkey", "row"), c.withColumnRenamed("c_custkey", "col")
-    near = (F.col("row") != F.col("col")) & (F.abs(F.col("row") - F.col("col")) <= 40)
-    cells = a.join(b, ["c_nationkey", "c_mktsegment"]).filter(near).select("row", "col", F.lit(1.0).alias("value"))
+def user_user(spark: SparkSession, sf_dir: str) -> CliqueMatrix:
+    """Customers of one nation and market segment: friendships in both directions, factored by nation and segment."""
+    c = table(spark, sf_dir, "customer")
     n = (c.agg(F.max("c_custkey")).first()[0] or 0) + 1
-    return CoordMatrix(cells, n, n)
+    return CliqueMatrix.of_groups(c.select(F.col("c_custkey").alias("id"), F.struct("c_nationkey", "c_mktsegment").alias("group")), n)
 
 
-USER_USER = "uu AS (SELECT a.c_custkey AS row, b.c_custkey AS col, 1.0::DOUBLE AS value FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey <> b.c_custkey AND abs(a.c_custkey - b.c_custkey) <= 40)"
+USER_USER = "uu AS (SELECT a.c_custkey AS row, b.c_custkey AS col, 1.0::DOUBLE AS value FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey <> b.c_custkey)"
 
 
 def nation_net(spark: SparkSession, sf_dir: str, sparse: bool = False) -> CoordMatrix:

@@ -70,13 +70,15 @@ def variable_information(spark, sf_dir):
     return information.mutual_information(I.samples(spark, sf_dir)).select("a", "b", _r("mi", 9))
 
 
-@query(f"WITH {I.SAMPLES}, o AS (SELECT sample, node FROM samples WHERE state = 1 AND node IN (1, 3)) SELECT a.node AS a, b.node AS b, round(count(*) / (SELECT count(DISTINCT sample) FROM samples)::DOUBLE, 9) AS p FROM o a JOIN o b ON a.sample = b.sample AND a.node <= b.node GROUP BY 1, 2")
+@query(f"WITH {I.SAMPLES}, o AS (SELECT sample, node FROM samples WHERE state = 1) SELECT a.node AS a, b.node AS b, round(count(*) / (SELECT count(DISTINCT sample) FROM samples)::DOUBLE, 9) AS p FROM o a JOIN o b ON a.sample = b.sample AND a.node <= b.node GROUP BY 1, 2")
 def variable_co_occurrence(spark, sf_dir):
-    s = I.samples(spark, sf_dir).filter("node in (1, 3)")
-    return information.co_occurrence(s).select("a", "b", _r("p", 9))
+    return information.co_occurrence(I.samples(spark, sf_dir)).select("a", "b", _r("p", 9))
 
 
-@query()
+_MI = f"WITH RECURSIVE {I.SAMPLES}, c AS (SELECT p.node AS a, q.node AS b, p.state AS s, q.state AS t, count(*)::DOUBLE AS n FROM samples p JOIN samples q ON p.sample = q.sample AND p.node < q.node GROUP BY 1, 2, 3, 4), m AS (SELECT *, sum(n) OVER (PARTITION BY a, b, s) AS ns, sum(n) OVER (PARTITION BY a, b, t) AS nt, sum(n) OVER (PARTITION BY a, b) AS total FROM c), e AS (SELECT a::BIGINT AS row, b::BIGINT AS col, sum(n / total * ln(n * total / (ns * nt))) AS value FROM m GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY value DESC, row, col) AS k FROM e), walk(k, id) AS (SELECT k, row FROM o UNION SELECT w.k, CASE WHEN b.row = w.id THEN b.col ELSE b.row END FROM walk w JOIN o b ON b.k < w.k AND (b.row = w.id OR b.col = w.id))"
+
+
+@query(f"{_MI} SELECT row, col, round(value, 6) AS value FROM o WHERE NOT EXISTS (SELECT 1 FROM walk WHERE walk.k = o.k AND walk.id = o.col)")
 def variable_tree(spark, sf_dir):
     return information.chow_liu(I.samples(spark, sf_dir), 4).select("row", "col", _r("value"))
 
@@ -105,15 +107,35 @@ def kmeans_step(spark, sf_dir):
     return kmeans.nearest(p, kmeans.centroids(p, labels))
 
 
-@query()
+_ROUNDS = 6
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """All rounds of k-means, and of them the last one before the stop."""
+    parts = [f"l0 AS (SELECT id, (id % {k})::INT AS cluster FROM points)", "dims AS (SELECT i FROM range(1, 1 + (SELECT max(len(vec)) FROM points)) t(i))"]
+    for r in range(1, rounds + 1):
+        parts.append(f"m{r} AS MATERIALIZED (SELECT cluster, list(v ORDER BY i) AS mean FROM (SELECT cluster, i, avg(vec[i]) AS v FROM points JOIN l{r - 1} USING (id), dims GROUP BY 1, 2) GROUP BY 1)")
+        parts.append(f"d{r} AS MATERIALIZED (SELECT id, cluster, round(list_sum(list_transform(list_zip(vec, mean), lambda z: z[1] * ln(z[1] / z[2]))), 9) AS d FROM points, m{r})")
+        parts.append(f"l{r} AS MATERIALIZED (SELECT id, arg_min(cluster, d * 1e6 + cluster * 1e-6) AS cluster, min(d) AS d FROM d{r} GROUP BY 1)")
+    objective = " UNION ALL ".join(f"SELECT {r} AS r, sum(d) AS f FROM l{r}" for r in range(1, rounds + 1))
+    stop = f"stop AS (SELECT coalesce(min(b.r), {rounds}) AS r FROM obj a JOIN obj b ON b.r = a.r + 1 WHERE a.f - b.f <= 1e-3)"
+    return f"WITH {I.POINTS}, {', '.join(parts)}, obj AS ({objective}), {stop} " + " UNION ALL ".join(f"SELECT id, cluster FROM l{r}, stop WHERE stop.r = {r}" for r in range(1, rounds + 1))
+
+
+@query(_kmeans_sql(4, _ROUNDS))
 def kmeans_clusters(spark, sf_dir):
-    return kmeans.kmeans(I.points(spark, sf_dir).select("id", "vec"), 4, rounds=6)[0]
+    return kmeans.kmeans(I.points(spark, sf_dir).select("id", "vec"), 4, rounds=_ROUNDS)[0]
 
 
 @query()
 def single_link_clusters(spark, sf_dir):
-    p = I.points(spark, sf_dir).filter("id < 60").select("id", "vec")
-    return kmeans.single_link(kmeans.pair_distances(p, p), 60, 5)
+    """All points; the tests hold it against a plain version."""
+    return kmeans.single_link_of_points(I.points(spark, sf_dir).select("id", "vec"), 5)
+
+
+@query()
+def group_cluster_sizes(spark, sf_dir):
+    return kmeans.cluster_sizes(cut(kmeans.group_clusters(I.user_group(spark, sf_dir), least=0.05)))
 
 
 @query()
@@ -210,6 +232,40 @@ def mssr_step(spark, sf_dir):
     return cocluster.mssr_rows(m, rows, cols)
 
 
+def _plog(x: str) -> str:
+    return f"(CASE WHEN {x} > 1e-15 THEN ({x}) * log2({x}) ELSE 0 END)"
+
+
+@query(f"""WITH {_NET}, t AS (SELECT sum(value) AS t FROM z), k AS (SELECT i AS k, j AS h FROM range(3) a(i), range(4) b(j)), b AS (SELECT k.k, k.h, coalesce(sum(value), 0) / (SELECT t FROM t) AS s FROM k LEFT JOIN z ON z.g = k.k AND z.h = k.h GROUP BY 1, 2),
+p AS (SELECT k, sum(s) AS p FROM b GROUP BY 1), r AS (SELECT i AS row, (i % 3)::INT AS g, j AS h, coalesce(sum(value), 0) / (SELECT t FROM t) AS v FROM range(25) a(i) CROSS JOIN range(4) c(j) LEFT JOIN z ON z.row = i AND z.h = j GROUP BY 1, 2, 3),
+q AS (SELECT row, g, k, sum({_plog('s')} - CASE WHEN g = k THEN {_plog('(s - v)')} ELSE {_plog('(s + v)')} END) AS d, sum(v) AS own FROM r JOIN b USING (h) GROUP BY 1, 2, 3),
+e AS (SELECT row, g, q.k, d - ({_plog('p')} - CASE WHEN g = q.k THEN {_plog('(p - own)')} ELSE {_plog('(p + own)')} END) AS d FROM q JOIN p USING (k))
+SELECT a.row AS id, a.k AS cluster, round(a.d + l.d, 9) AS change FROM e a JOIN e l ON a.row = l.row AND l.k = l.g WHERE a.k <> a.g ORDER BY round(a.d + l.d, 9), a.row, a.k LIMIT 1""")
+def itcc_move(spark, sf_dir):
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    return cocluster.best_row_move(cocluster.joint(m), rows, cols, kind="itcc").select("id", F.col("cluster").cast("bigint").alias("cluster"), _r("change", 9))
+
+
+@query(f"""WITH {_NET}, full_ AS (SELECT a.i AS row, b.i AS col, (b.i % 4)::INT AS h, coalesce(value, 0) AS value FROM range(25) a(i) CROSS JOIN range(25) b(i) LEFT JOIN nn ON row = a.i AND col = b.i),
+o AS (SELECT i AS id, k FROM range(25) a(i), range(3) b(k) WHERE k <> i % 3 UNION ALL SELECT -1, -1), l AS (SELECT id, k, row, col, h, value, CASE WHEN row = id THEN k ELSE row % 3 END AS g FROM o, full_),
+x AS (SELECT id, k, value - avg(value) OVER (PARTITION BY id, k, row, h) - avg(value) OVER (PARTITION BY id, k, col, g) + avg(value) OVER (PARTITION BY id, k, g, h) AS e FROM l), f AS (SELECT id, k, sum(e * e) AS f FROM x GROUP BY 1, 2)
+SELECT id::BIGINT AS id, k::BIGINT AS cluster, round(f - (SELECT f FROM f WHERE id = -1), 4) AS change FROM f WHERE id >= 0 ORDER BY 3, 1, 2 LIMIT 1""")
+def mssr2_move(spark, sf_dir):
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    return cocluster.best_row_move(m, rows, cols, kind=2).select("id", F.col("cluster").cast("bigint").alias("cluster"), _r("change", 4))
+
+
+@query()
+def itcc_farthest_start(spark, sf_dir):
+    return cocluster.farthest_start(cocluster.joint(I.nation_net(spark, sf_dir)), 3)
+
+
+@query()
+def itcc_local_search(spark, sf_dir):
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    return cocluster.local_search(cocluster.joint(m), rows, cols, 3, kind="itcc")[0]
+
+
 @query()
 def itcc_clusters(spark, sf_dir):
     return cocluster.itcc(I.nation_net(spark, sf_dir), 3, 3, rounds=3).rows
@@ -270,7 +326,7 @@ def nmf_masked(spark, sf_dir):
 def svp_completion(spark, sf_dir):
     m = I.nation_net(spark, sf_dir)
     unknown = m.cells.filter("(row * 7 + col) % 11 = 0").select("row", "col")
-    return factor.singular_value_projection(m, unknown, 2, rounds=2).cells.join(unknown, ["row", "col"], "left_semi").select("row", "col", _r("value", 4))
+    return factor.singular_value_projection(m, unknown, 2, rounds=2).cells.select("row", "col", _r("value", 4))
 
 
 @query()
@@ -326,9 +382,10 @@ def group_lasso_weights(spark, sf_dir):
 
 @query()
 def ising_couplings(spark, sf_dir):
-    s = I.samples(spark, sf_dir).filter("node in (1, 3)").withColumn("node", F.when(F.col("node") == 1, 0).otherwise(1))
-    j = learn.ising(s, 2, 0.001, rounds=15)
-    return spark.createDataFrame([(0, 1, round(float(j[0, 1]), 5))], "a int, b int, coupling double")
+    """All four variables, read as binary: state 0 or another."""
+    s = I.samples(spark, sf_dir).withColumn("state", (F.col("state") > 0).cast("int"))
+    j = learn.ising(s, 4, 0.001, rounds=15)
+    return spark.createDataFrame([(a, b, round(float(j[a, b]), 5)) for a in range(4) for b in range(a + 1, 4)], "a int, b int, coupling double")
 
 
 @query()
@@ -399,7 +456,7 @@ def recommendation_by_svd(spark, sf_dir):
 def recommendation_by_clusters(spark, sf_dir):
     ug = I.user_group(spark, sf_dir)
     part = lambda n: spark.range(n).select("id", (F.col("id") % 4).cast("int").alias("cluster"))
-    return experiments.clustered_svd_scores(ug, part(ug.n_rows), part(ug.n_cols), 3).cells.filter("value > 0.5").select("row", "col", _r("value", 4))
+    return experiments.clustered_svd_scores(ug, part(ug.n_rows), part(ug.n_cols), 3).cells.select("row", "col", _r("value", 4))
 
 
 @query()
@@ -410,7 +467,7 @@ def artificial_network(spark, sf_dir):
 
 @query()
 def structure_recovery(spark, sf_dir):
-    res = experiments.structure_recovery(spark, "chain", 4, [400], trials=1)
+    res = experiments.structure_recovery(spark, "chain", 4, [50, 200, 800], trials=3)
     return spark.createDataFrame(res.curve, "n int, success double, differing double")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..matrix import CoordMatrix, weighted_sum
+from ..matrix import CoordMatrix, value_ranks, weighted_sum
 from ..operators import graph, katz, ranking, socialnet
 from . import inputs as I  # noqa: E741, N812
 
@@ -115,13 +115,12 @@ def matrix_vector(spark, sf_dir):
     return I.nation_net(spark, sf_dir).vector_product(spark.range(25).select("id", (F.col("id") + 1).cast("double").alias("x")))
 
 
-@query(f"WITH {NN} SELECT row, col, round((row + 1.0) * (col + 2.0) + row * col, 6) AS value FROM nn WHERE row < 5")
+@query(f"WITH {NN} SELECT row, col, round((row + 1.0) * (col + 2.0) + row * col, 6) AS value FROM nn")
 def matrix_sampled_product(spark, sf_dir):
     ids = spark.range(25)
     left = ids.select("id", F.array((F.col("id") + 1).cast("double"), F.col("id").cast("double")).alias("vec"))
     right = ids.select("id", F.array((F.col("id") + 2).cast("double"), F.col("id").cast("double")).alias("vec"))
-    m = I.nation_net(spark, sf_dir)
-    return CoordMatrix(m.cells.filter("row < 5"), 25, 25).sampled_product(left, right)
+    return I.nation_net(spark, sf_dir).sampled_product(left, right)
 
 
 @query(f"WITH {UG}, g AS (SELECT col FROM ug GROUP BY 1 HAVING count(*) > 40), k AS (SELECT ug.* FROM ug SEMI JOIN g USING (col)) SELECT row, col FROM k")
@@ -201,6 +200,27 @@ def katz_weighted_sum(spark, sf_dir):
     return weighted_sum([(0.5, m), (0.25, m.transpose())]).cells.select("row", "col", _r("value"))
 
 
+# Scaling and ranks
+
+_UNIT = "SELECT row, col, value / sqrt(sum(value * value) OVER (PARTITION BY {axis})) AS value FROM {source}"
+
+
+@query(f"WITH {NS}, a AS ({_UNIT.format(axis='row', source='ns')}), b AS ({_UNIT.format(axis='col', source='a')}), c AS ({_UNIT.format(axis='row', source='b')}), d AS ({_UNIT.format(axis='col', source='c')}) SELECT row, col, round(value, 9) AS value FROM d")
+def matrix_scaled(spark, sf_dir):
+    return I.nation_net(spark, sf_dir, sparse=True).balanced_by_scaling(2, 0.0)[0].cells.select("row", "col", _r("value", 9))
+
+
+@query(f"WITH {NN} SELECT bool_or(value < 0) AS has_negative FROM nn")
+def matrix_has_negative(spark, sf_dir):
+    return I.nation_net(spark, sf_dir).has_negative()
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS rank FROM orders")
+def matrix_value_ranks(spark, sf_dir):
+    orders = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    return value_ranks(orders).select("id", "rank")
+
+
 # Rankings
 
 
@@ -295,6 +315,14 @@ def graph_cluster_edges(spark, sf_dir):
     return katz.cluster_edges(I.nation_net(spark, sf_dir, sparse=True), labels)
 
 
+@query(f"WITH {NS}, e AS (SELECT (row % 3)::INT AS a, (col % 3)::INT AS b, count(*)::DOUBLE AS n FROM ns WHERE row <= col GROUP BY 1, 2), s AS (SELECT (i % 3)::INT AS c, count(*)::DOUBLE AS u FROM range(25) t(i) GROUP BY 1), x AS (SELECT e.n / (SELECT sum(n) FROM e WHERE a <= b) / 25 * e.n / (SELECT sum(n) FROM e f WHERE f.a = e.a) * (1 / p.u + 1 / q.u) AS v FROM e JOIN s p ON p.c = a JOIN s q ON q.c = b WHERE a <= b) SELECT round(sum(v) * 40, 9) AS precision, round(sum(v) * 100, 9) AS sensitivity FROM x")
+def cluster_random_guess(spark, sf_dir):
+    labels = spark.range(25).select("id", (F.col("id") % 3).cast("int").alias("cluster"))
+    edges = katz.cluster_edges(I.nation_net(spark, sf_dir, sparse=True), labels)
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("users"))
+    return ranking.cluster_random_prediction(edges, sizes, 100, 40).select(_r("precision", 9), _r("sensitivity", 9))
+
+
 _GRID = "SELECT i AS row, j AS col FROM range(25) a(i), range(25) b(j) WHERE (abs(i // 5 - j // 5) + abs(i % 5 - j % 5)) = 1"
 
 
@@ -307,12 +335,18 @@ def graph_generated(spark, sf_dir):
     return out
 
 
-@query()
+def _spanning_sql(edges: str) -> str:
+    """``edges``: a CTE e of (row, col, value) in which an edge of the tree is one whose ends no better edges connect."""
+    return f"""{edges}, o AS (SELECT *, row_number() OVER (ORDER BY value DESC, row, col) AS k FROM e),
+walk(k, id) AS (SELECT k, row FROM o UNION SELECT w.k, CASE WHEN b.row = w.id THEN b.col ELSE b.row END FROM walk w JOIN o b ON b.k < w.k AND (b.row = w.id OR b.col = w.id))"""
+
+
+@query(f"WITH RECURSIVE {_spanning_sql(f'{NN}, e AS (SELECT * FROM nn WHERE row < col)')} SELECT row, col, value FROM o WHERE NOT EXISTS (SELECT 1 FROM walk WHERE walk.k = o.k AND walk.id = o.col)")
 def graph_spanning_tree(spark, sf_dir):
     return graph.spanning_tree(I.nation_net(spark, sf_dir), largest=True)
 
 
-@query()
+@query(f"WITH RECURSIVE {UU}, n AS (SELECT i AS id FROM range((SELECT max(c_custkey) + 1 FROM customer)) t(i)), walk(id, root) AS (SELECT id, id FROM n UNION SELECT uu.col, walk.root FROM walk JOIN uu ON walk.id = uu.row WHERE uu.col > walk.root), roots AS (SELECT DISTINCT min(root) AS root FROM walk GROUP BY id), links AS (SELECT lag(root) OVER (ORDER BY root) AS row, root AS col FROM roots) SELECT row, col FROM uu WHERE row < col UNION SELECT row, col FROM links WHERE row IS NOT NULL")
 def graph_supergraph(spark, sf_dir):
     return graph.connected_supergraph(I.user_user(spark, sf_dir)).cells.filter("row < col").select("row", "col")
 

@@ -8,8 +8,11 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/gridloom"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a local folder where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The session's ``spark.checkpoint.dir``. Where none is set, a local folder if all runs on this machine, as in tests; on a cluster there must be one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or LOCAL_CHECKPOINTS
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -110,6 +110,47 @@ def test_single_link_cuts_the_longest_edges(spark):
     assert [got[i] for i in range(6)] == [0, 0, 0, 1, 1, 2]
 
 
+def test_single_link_of_points_is_that_of_all_pairs(spark):
+    """Blocks of a few points, ties and points without mass in a place, against Kruskal over all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.dirichlet(np.ones(5), 40)
+    x[:3, 0] = 0
+    x[10:14] = x[9]
+    x /= x.sum(axis=1, keepdims=True)
+    pts = spark.createDataFrame([(i * 2, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+
+    def kl(p, q):
+        return sum(a * np.log(a / b) if b > 0 else np.inf for a, b in zip(p, q, strict=True) if a > 0)
+
+    edges = sorted((round(min(kl(x[i], x[j]), kl(x[j], x[i])), 12), i * 2, j * 2) for i in range(40) for j in range(i + 1, 40))
+    root = {i * 2: i * 2 for i in range(40)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    chosen = []
+    for d, i, j in edges:
+        if find(i) != find(j):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+            chosen.append((d, i, j))
+    tree = kmeans.point_tree(pts, 80, block=7).collect()
+    assert np.allclose(sorted(r["value"] for r in tree), [d for d, _, _ in chosen])
+    root.update({i: i for i in root})
+    for _, i, j in sorted(chosen)[: 40 - 4]:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["id"]: r["cluster"] for r in kmeans.single_link_of_points(pts, 4).collect()}
+    names = {c: k for k, c in enumerate(sorted({find(i) for i in root}))}
+    assert got == {i: names[find(i)] for i in root}
+
+
+def test_clusters_are_described(spark):
+    c = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, cluster int")
+    assert tuple(kmeans.cluster_sizes(c).first()) == (2, 2, 1, 1.5)
+    assert [r["id"] for r in kmeans.cluster_members(c, 1).collect()] == [3] and kmeans.cluster_members(c, 9).count() == 0
+
+
 def test_program(spark, tmp_path):
     rng = np.random.default_rng(11)
     a = np.kron([[9, 1], [1, 9]], np.ones((4, 3))) + rng.random((8, 6))

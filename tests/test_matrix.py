@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.matrix import CoordMatrix
+from gridloom.matrix import CliqueMatrix, CoordMatrix, value_ranks
 from gridloom.operators import bregman, cocluster, factor, graph, katz, ranking
 
 
@@ -71,6 +72,69 @@ def test_top_strict_drops_the_tie_at_the_cut(spark):
     assert {r["item"] for r in ranking.top_with_ties(items, 2).collect()} == {0, 1, 2}
 
 
+def test_rankings_over_ranges_of_scores(spark):
+    """Real-valued scores with ties and without a value, against plain sums; no task gets all scores."""
+    rng = np.random.default_rng(12)
+    rows = [(i, float(s) if s < 0.97 else None, int(t)) for i, (s, t) in enumerate(zip(np.round(rng.random(700), 2), rng.random(700) < 0.3, strict=True))]
+    items = spark.createDataFrame(rows, "item long, score double, target int")
+    order = lambda s: -1.0 if s is None else s
+    for r in ranking.score_blocks(items, []).collect():
+        up = [t for _, s, t in rows if order(s) > order(r["score"])]
+        own = [t for _, s, t in rows if order(s) == order(r["score"])]
+        assert (r["n"], r["t"], r["above"], r["t_above"], r["all_n"], r["all_t"]) == (len(own), sum(own), len(up), sum(up), 700, sum(t for *_, t in rows))
+    for n in (1, 40, 699, 700, 900):
+        ranked = sorted((order(s) for _, s, _ in rows), reverse=True)
+        assert {r["item"] for r in ranking.top_with_ties(items, n).collect()} == {i for i, s, _ in rows if sum(x > order(s) for x in ranked) < n}
+        assert {r["item"] for r in ranking.top_strict(items, n).collect()} == {i for i, s, _ in rows if sum(x >= order(s) for x in ranked) <= n}
+
+
+def test_numbers_and_folds(spark):
+    rows = [(i, (i * 37) % 11 if i % 9 else None) for i in range(203)]
+    df = spark.createDataFrame(rows, "id long, value long")
+    want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])))}
+    assert {r["id"]: r["rank"] for r in value_ranks(df).collect()} == want
+    assert value_ranks(df.limit(0)).count() == 0
+    for k in (1, 4, 300):
+        got = [r["fold"] for r in ranking.folds(df, k, "value", "id").orderBy("value", "id").collect()]
+        assert got == sorted(got) == [j + 1 for j in range(k) for _ in range(203 // k + (j < 203 % k))]
+
+
+def test_factored_cliques_are_their_links(spark):
+    rng = np.random.default_rng(3)
+    groups = spark.createDataFrame([(i, int(g)) for i, g in enumerate(rng.integers(0, 4, 14))] + [(15, 9)], "id long, group int")
+    g = {r["id"]: r["group"] for r in groups.collect()}
+    b = np.array([[float(i != j and i in g and j in g and g[i] == g[j]) for j in range(16)] for i in range(16)])
+    m = CliqueMatrix.of_groups(groups, 16)
+    dense = lambda x, shape: _dense(x, shape)
+    assert np.array_equal(dense(m, (16, 16)), b)
+    a = rng.integers(0, 3, (16, 5)).astype(float)
+    assert np.array_equal(dense(m.multiply(sparse(spark, a)), (16, 5)), b @ a)
+    assert {r["id"]: r["n"] for r in m.row_counts().collect()} == {i: int(n) for i, n in enumerate(b.sum(axis=1)) if n}
+    plain = CoordMatrix(m.cells, 16, 16)
+    assert sorted(map(tuple, graph.components(m).collect())) == sorted(map(tuple, graph.components(plain).collect()))
+    ids = spark.range(3, 12)
+    assert np.array_equal(dense(m.slice(ids, ids), (16, 16)), b * np.outer(*[(np.arange(16) >= 3) & (np.arange(16) < 12)] * 2))
+
+
+def _dense(m, shape):
+    out = np.zeros(shape)
+    for r in m.cells.collect():
+        out[r["row"], r["col"]] += r["value"]
+    return out
+
+
+def test_held_products_and_scaling(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 3, (9, 6)).astype(float), rng.integers(0, 3, (6, 7)).astype(float)
+    for most in (0, 1 << 20):
+        assert np.array_equal(_dense(sparse(spark, a).multiply_held(sparse(spark, b), most), (9, 7)), a @ b)
+    s = a @ a.T + 1
+    scaled, rounds = sparse(spark, s).balanced_by_scaling(50, 1e-3)
+    got = _dense(scaled, (9, 9))
+    assert rounds < 50 and np.abs(got - got.T).max() < 1e-3 and np.allclose((got**2).sum(axis=0), 1)
+    assert not sparse(spark, a).has_negative().first()[0] and sparse(spark, -a).has_negative().first()[0]
+
+
 def test_components_and_trees(spark):
     m = CoordMatrix.from_rows(spark, [(0, 1, 1), (1, 0, 1), (3, 4, 2), (4, 3, 2)], (6, 6))
     assert {r["id"]: r["component"] for r in graph.components(m).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5}
@@ -122,10 +186,33 @@ def test_bregman_and_residue_objectives_fall(spark):
         assert np.isclose(want, res.objectives[-1])
 
 
-def test_local_search_gains_what_it_says(spark):
+@pytest.mark.parametrize("kind", [1, 2, "itcc"])
+def test_local_search_gains_what_it_says(spark, kind):
     a = np.random.default_rng(5).integers(0, 9, (6, 5)).astype(float)
-    m = sparse(spark, a)
+    m = cocluster.joint(sparse(spark, a)) if kind == "itcc" else sparse(spark, a)
     rows, cols = bregman.initial_labels(spark.range(6), 2), bregman.initial_labels(spark.range(5), 2)
-    new, gain = cocluster.local_search(m, rows, cols, 2)
-    before, after = (cocluster.residue(m, r, cols).first()[0] for r in (rows, new))
-    assert np.isclose(after - before, gain)
+    value = lambda r: (cocluster.information_loss(m, r, cols) if kind == "itcc" else cocluster.residue(m, r, cols, kind)).first()[0]
+    before = value(rows)
+    every = {}
+    for i in range(6):  # all single moves, one by one
+        old = rows.filter(F.col("id") == i).first()["cluster"]
+        every[i] = value(rows.withColumn("cluster", F.when(F.col("id") == i, 1 - old).otherwise(F.col("cluster")))) - before
+    move = cocluster.best_row_move(m, rows, cols, kind=kind).first()
+    assert np.isclose(move["change"], min(every.values())) and np.isclose(every[move["id"]], move["change"])
+    new, gain = cocluster.local_search(m, rows, cols, 2, kind=kind)
+    assert gain <= 0 and np.isclose(value(new) - before, gain)
+
+
+def test_farthest_start_against_plain(spark):
+    a = np.random.default_rng(9).integers(0, 6, (9, 6)).astype(float)
+    a[4] = 0
+    p, k, alpha = a / a.sum(), 3, 0.1
+    got = {r["id"]: r["cluster"] for r in cocluster.farthest_start(sparse(spark, p), k, alpha).collect()}
+    rows = [i for i in range(9) if p[i].sum()]
+    share = {i: p[i] / p[i].sum() for i in rows}
+    smooth = lambda q: (q + alpha / 6) / (1 + alpha)
+    d = lambda i, q: sum(x * np.log(x / y) for x, y in zip(share[i], smooth(q), strict=True) if x)
+    chosen = [max(rows, key=lambda i: (round(d(i, p.sum(axis=0)), 9), -i))]
+    while len(chosen) < k:
+        chosen.append(max((i for i in rows if i not in chosen), key=lambda i: (round(sum(d(i, share[c]) for c in chosen), 9), -i)))
+    assert got == {i: min(range(k), key=lambda c: (round(d(i, share[chosen[c]]), 9), c)) if i in rows else 0 for i in range(9)}
