@@ -376,7 +376,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(payload, "i8", "i8")], names=["pair", "n"])
 
 
-_CONTEXTS = ("u8", "i8", "i4", "u1", "i4", "u1")  # of a packet: context, its occurrences, its entries; an entry's word (planes), count, rounded probability
+_CONTEXTS = ("u1", "i8", "i4", "u1", "i4", "u1")  # of a packet: context (planes of steps), its occurrences, its entries; an entry's word (planes), count, rounded probability
 #: Bytes of the planes of an entry's word.
 WORD_WIDTH = 5
 
@@ -424,7 +424,7 @@ def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 blocks, packets = [], []
                 for block, payload in spool:
                     p = _unpacked(payload, *_CONTEXTS)
-                    p[3] = _from_planes(p[3], WORD_WIDTH)
+                    p[0], p[3] = np.cumsum(_from_planes(p[0], 8).view("<u8"), dtype=np.uint64), _from_planes(p[3], WORD_WIDTH)
                     i, j = _within(p[0], low, high)
                     ends = np.concatenate([[0], np.cumsum(p[2])])
                     blocks.append(block)
@@ -560,7 +560,7 @@ def _sent(state: State, p: Plan, block: int) -> list[tuple[int, int, bytes]]:
     out = []
     for part, i, j in _runs(p.parts):
         a, b = ends[i], ends[j]
-        out.append((part, block, _packed(state.contexts[p.slots[i:j]], state.occur[p.slots[i:j]], entries[i:j], _planes(word[a:b], WORD_WIDTH), n[a:b], rounded[a:b])))
+        out.append((part, block, _packed(_planes(np.diff(state.contexts[p.slots[i:j]], prepend=np.uint64(0)), 8), state.occur[p.slots[i:j]], entries[i:j], _planes(word[a:b], WORD_WIDTH), n[a:b], rounded[a:b])))
     return out
 
 
