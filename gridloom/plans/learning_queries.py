@@ -467,7 +467,7 @@ def artificial_network(spark, sf_dir):
 
 @query()
 def structure_recovery(spark, sf_dir):
-    res = experiments.structure_recovery(spark, "chain", 4, [50, 200, 800], trials=3)
+    res = experiments.structure_recovery(spark, "chain", 4, [100, 800], trials=2)
     return spark.createDataFrame(res.curve, "n int, success double, differing double")
 
 
