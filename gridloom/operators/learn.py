@@ -169,22 +169,70 @@ def gibbs(spark: SparkSession, couplings: np.ndarray, fields: np.ndarray, n: int
 
 
 def tree_marginals(couplings: np.ndarray, fields: np.ndarray) -> np.ndarray:
-    """P(x_i = 1) of a binary model whose couplings form a forest, by passing sums of products."""
-    n = len(fields)
-    phi = np.exp(np.outer(fields, [-1, 1]))
-    psi = lambda i, j: np.exp(couplings[i, j] * np.outer([-1, 1], [-1, 1]))
+    """P(x_i = 1) of a binary model whose couplings form a forest: exact after as many rounds of messages as there are nodes."""
+    return belief_propagation(couplings, fields, rounds=len(fields), tolerance=0.0)[0]
+
+
+def belief_propagation(couplings: np.ndarray, fields: np.ndarray, rounds: int = 200, tolerance: float = 1e-9, damping: float = 0.0) -> tuple[np.ndarray, int]:
+    """P(x_i = 1) of a binary model by passing messages along all couplings, and the rounds it took; on graphs with cycles an estimate.
+
+    All messages of a round are made from those of the round before, of which ``damping`` is kept; it ends when none changes by more than ``tolerance``."""
+    n, signs = len(fields), np.array([-1, 1])
+    phi = np.exp(np.outer(fields, signs))
     links = [[j for j in range(n) if j != i and couplings[i, j]] for i in range(n)]
-    messages = {(i, j): np.ones(2) for i in range(n) for j in links[i]}
-    for _ in range(n):
-        for i, j in list(messages):
-            own = phi[i].copy()
-            for k in links[i]:
-                if k != j:
-                    own = own * messages[k, i]
-            m = psi(i, j).T @ own
-            messages[i, j] = m / m.sum()
-    out = np.array([phi[i] * np.prod([messages[k, i] for k in links[i]], axis=0) for i in range(n)])
-    return out[:, 1] / out.sum(axis=1)
-
-
-__all__ = ["Options", "classify", "gibbs", "group_lasso", "group_penalty", "incoherence", "ising", "logistic_l1", "logistic_l1_validated", "logistic_loss", "multinomial_loss", "neighbours", "tree_marginals", "wide"]
+    messages = {(i, j): np.full(2, 0.5) for i in range(n) for j in links[i]}
+    k = 0
+    for k in range(1, rounds + 1):
+        new = {}
+        for i, j in messages:
+            own = phi[i] * np.prod([messages[x, i] for x in links[i] if x != j], axis=0)
+            m = np.exp(couplings[i, j] * np.outer(signs, signs)).T @ own
+            new[i, j] = damping * messages[i, j] + (1 - damping) * m / m.sum()
+        change = max((np.abs(new[e] - messages[e]).max() for e in messages), default=0.0)
+        messages = new
+        if change <= tolerance:
+            break
+    out = np.array([phi[i] * np.prod([messages[x, i] for x in links[i]], axis=0) for i in range(n)]).reshape(n, 2)
+    return out[:, 1] / out.sum(axis=1), k
+
+
+def negated(couplings: np.ndarray, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model that prefers what the given one avoids."""
+    return -np.asarray(couplings), -np.asarray(fields)
+
+
+def pairwise_couplings(adjacency: np.ndarray, least: float, spread: float, kind: str = "normal", seed: int = 1) -> np.ndarray:
+    """A coupling for each edge of the upper half: ``least`` plus ``spread`` times a seeded draw, normal or uniform on [0, 1)."""
+    rng, out = np.random.default_rng(seed), np.zeros(adjacency.shape)
+    i, j = np.nonzero(np.triu(adjacency, 1))
+    out[i, j] = least + spread * (rng.standard_normal(len(i)) if kind == "normal" else rng.random(len(i)))
+    return out + out.T
+
+
+def pseudo_likelihood(samples: DataFrame, couplings: np.ndarray, fields: np.ndarray) -> DataFrame:
+    """One row: the mean over the samples of minus the log of each node's probability given all others, summed over the nodes (states 0 and 1 read as -1 and 1)."""
+    n = len(fields)
+    w = wide(samples, n)
+    x = [2 * F.col(f"n{i}") - 1 for i in range(n)]
+    total = F.lit(0.0)
+    for i in range(n):
+        m = sum((float(couplings[i, j]) * x[j] for j in range(n) if j != i and couplings[i, j]), F.lit(float(fields[i])))
+        total = total + log1p_exp(-2 * x[i] * m)
+    return w.agg(F.avg(total).alias("loss"))
+
+
+def ising_validated(samples: DataFrame, nodes: int, constants: list[float], folds: int = 3, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Couplings under the constant c of least mean held-out pseudo-likelihood loss, penalty c * sqrt(ln p / n); samples are dealt to folds by a hash."""
+    fold = F.pmod(F.xxhash64("sample"), F.lit(folds))
+    n, loss = samples.select("sample").distinct().count(), {}
+    for c in constants:
+        parts = []
+        for k in range(folds):
+            j = ising(samples.filter(fold != k), nodes, lambda_from_c(c, max(2, nodes - 1), n), rounds)
+            parts.append(pseudo_likelihood(samples.filter(fold == k), j, np.zeros(nodes)).first()["loss"])
+        loss[c] = float(np.mean([x for x in parts if x is not None] or [np.inf]))
+    best = min(constants, key=lambda c: (loss[c], c))
+    return ising(samples, nodes, lambda_from_c(best, max(2, nodes - 1), n), rounds), best
+
+
+__all__ = ["Options", "belief_propagation", "classify", "gibbs", "group_lasso", "group_penalty", "incoherence", "ising", "ising_validated", "logistic_l1", "logistic_l1_validated", "logistic_loss", "multinomial_loss", "negated", "neighbours", "pairwise_couplings", "pseudo_likelihood", "tree_marginals", "wide"]

@@ -388,6 +388,19 @@ def ising_couplings(spark, sf_dir):
     return spark.createDataFrame([(a, b, round(float(j[a, b]), 5)) for a in range(4) for b in range(a + 1, 4)], "a int, b int, coupling double")
 
 
+def _chain(coupling: float, n: int) -> np.ndarray:
+    return coupling * (np.eye(n, k=1) + np.eye(n, k=-1))
+
+
+_X = "x AS (SELECT CASE WHEN a > 0 THEN 1 ELSE -1 END AS a, CASE WHEN b > 0 THEN 1 ELSE -1 END AS b, CASE WHEN c > 0 THEN 1 ELSE -1 END AS c, CASE WHEN d > 0 THEN 1 ELSE -1 END AS d, sample FROM s0)"
+
+
+@query(f"WITH {I.SAMPLES}, {_X} SELECT round(avg(ln(1 + exp(-2 * a * (0.1 + 0.2 * b))) + ln(1 + exp(-2 * b * (0.1 + 0.2 * (a + c)))) + ln(1 + exp(-2 * c * (0.1 + 0.2 * (b + d)))) + ln(1 + exp(-2 * d * (0.1 + 0.2 * c)))), 9) AS loss FROM x")
+def ising_pseudo_likelihood(spark, sf_dir):
+    s = I.samples(spark, sf_dir).withColumn("state", (F.col("state") > 0).cast("int"))
+    return learn.pseudo_likelihood(s, _chain(0.2, 4), np.full(4, 0.1)).select(_r("loss", 9))
+
+
 @query()
 def gibbs_samples(spark, sf_dir):
     j = np.zeros((4, 4))

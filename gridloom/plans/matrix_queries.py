@@ -299,6 +299,11 @@ def graph_components(spark, sf_dir):
     return graph.components(I.user_user(spark, sf_dir))
 
 
+@query(f"WITH {NS}, e AS (SELECT row, col, row_number() OVER (ORDER BY col, row) AS edge FROM ns WHERE row < col) SELECT row, col, edge FROM e UNION ALL SELECT col, row, edge FROM e")
+def graph_edge_ids(spark, sf_dir):
+    return graph.edge_ids(I.nation_net(spark, sf_dir, sparse=True))
+
+
 @query(f"WITH {NS}, a AS (SELECT DISTINCT col AS id FROM ns WHERE row = 3), b AS (SELECT DISTINCT ns.col AS id FROM ns JOIN a ON ns.row = a.id) SELECT id FROM b")
 def graph_two_step_neighbours(spark, sf_dir):
     return graph.k_neighbours(I.nation_net(spark, sf_dir, sparse=True), 3, 2)

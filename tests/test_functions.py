@@ -116,3 +116,34 @@ def test_text_files(spark, tmp_path):
     labels = spark.createDataFrame([(0, 1), (1, 0)], "id long, cluster int")
     formats.write_labels(labels, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 3
+
+
+def test_messages_on_a_cycle_and_other_models(spark):
+    """Belief propagation: exact on trees, near the exact marginals on a weak cycle; negated models mirror them."""
+    from itertools import product
+
+    def exact(j, h):
+        p = {x: np.exp(sum(j[a, b] * x[a] * x[b] for a in range(len(h)) for b in range(a)) + np.dot(h, x)) for x in product((-1, 1), repeat=len(h))}
+        return np.array([sum(v for x, v in p.items() if x[i] == 1) for i in range(len(h))]) / sum(p.values())
+
+    ring = np.zeros((4, 4))
+    for a in range(4):
+        ring[a, (a + 1) % 4] = ring[(a + 1) % 4, a] = 0.15
+    h = np.array([0.3, -0.1, 0.0, 0.2])
+    got, rounds = learn.belief_propagation(ring, h)
+    assert rounds < 200 and np.allclose(got, exact(ring, h), atol=5e-3)
+    chain = learn.pairwise_couplings(np.eye(4, k=1) + np.eye(4, k=-1), 0.2, 0.5, "uniform", seed=3)
+    assert np.allclose(chain, chain.T) and np.all(chain[chain > 0] >= 0.2) and np.allclose(learn.tree_marginals(chain, h), exact(chain, h))
+    assert np.allclose(learn.tree_marginals(*learn.negated(chain * 0, h)), 1 - learn.tree_marginals(chain * 0, h))
+
+
+def test_pseudo_likelihood_and_choice_of_penalty(spark):
+    j = 0.5 * (np.eye(3, k=1) + np.eye(3, k=-1))
+    s = learn.gibbs(spark, j, np.zeros(3), 600, chains=3, burn_in=40, gap=3)
+    rows = {}
+    for r in s.collect():
+        rows.setdefault(r["sample"], {})[r["node"]] = 2 * r["state"] - 1
+    want = np.mean([sum(np.log1p(np.exp(-2 * x[i] * sum(j[i, k] * x[k] for k in range(3) if k != i))) for i in range(3)) for x in rows.values()])
+    assert np.isclose(learn.pseudo_likelihood(s, j, np.zeros(3)).first()["loss"], want)
+    found, c = learn.ising_validated(s, 3, [0.1, 40.0], folds=2, rounds=12)
+    assert c == 0.1 and np.allclose(found, j, atol=0.2)
