@@ -89,3 +89,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {"op1_url_reputation": url_reputation.oracle(), "op3_grace_dedup": exact_dedup.ORACLE}
+
+
+# Columns of these queries that SQL can state, checked on their own
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a short ASCII string."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+def _held_sql(modulus: int, remainder: int) -> str:
+    return f"coalesce({_crc_sql('doc_id::VARCHAR')} % {modulus} = {remainder}, false)"
+
+
+def suffix_tree_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_suffix_tree(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_subword_quality(spark, sf_dir).select("doc_id", "held_out")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_language_id(spark, sf_dir).select("doc_id", "held_out")
+
+
+def canonical_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_canonical_digest(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_histogram_sort(spark, sf_dir).select("doc_id", "size", "law")
+
+
+QUERIES |= {f.__name__: f for f in (suffix_tree_base, quality_folds, language_folds, canonical_edits, shard_sizes)}
+ORACLES |= {
+    "suffix_tree_base": f"""WITH d AS (SELECT doc_id, {_held_sql(7, 2)} AS held_out, list_append({_WORDS}, chr(10)) AS w, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, held_out, unnest(w) AS word FROM d), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n.n + n.v + 1))) AS base FROM t LEFT JOIN c USING (word), n GROUP BY 1)
+SELECT doc_id, held_out, n_tokens, n_known, n.n::BIGINT AS train_tokens, round(base, 6) AS base_score FROM d JOIN s USING (r), n""",
+    "quality_folds": f"SELECT doc_id, {_held_sql(5, 0)} AS held_out FROM documents",
+    "language_folds": f"SELECT doc_id, {_held_sql(3, 1)} AS held_out FROM documents",
+    "canonical_edits": """WITH o AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS f FROM documents)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(f, 1, length(t) // 4)) AS edited_sha256 FROM o""",
+    "shard_sizes": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, 'bytes' AS law FROM documents",
+}
