@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import canonical, exact_dedup, histogram_sort, language, packing, quality, simhash, suffix_tree, unigram, url_reputation
+from . import canonical, exact_dedup, histogram_sort, language, packing, periodic_runs, prefix_trie, quality, simhash, suffix_tree, token_counts, unigram, url_reputation
 from .common import crc_remainder, documents
 
 
@@ -75,6 +75,18 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_documents(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(documents(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapsed(documents(spark, sf_dir), order=periodic_runs.planted)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path(token_counts.MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_suffix_tree": op2_suffix_tree,
@@ -86,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {"op1_url_reputation": url_reputation.oracle(), "op3_grace_dedup": exact_dedup.ORACLE}
@@ -106,6 +121,18 @@ def _held_sql(modulus: int, remainder: int) -> str:
     return f"coalesce({_crc_sql('doc_id::VARCHAR')} % {modulus} = {remainder}, false)"
 
 
+ORACLES["op11_prefix_trie"] = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+cv AS (SELECT DISTINCT c, c - c % 5 AS b, {_crc_sql("c::VARCHAR")} % 9 AS h FROM t), led AS (SELECT cv.c, i + 1 AS d, r, x FROM cv JOIN t ON t.c = cv.b WHERE i < h),
+own AS (SELECT cv.c, coalesce(l, 0) + i - h + 1 AS d, r, x FROM cv JOIN t USING (c) LEFT JOIN (SELECT c, count(*) AS l FROM led GROUP BY 1) USING (c) WHERE i >= h),
+p AS (SELECT c, d, x, list({{'r': r, 'x': x}}) OVER (PARTITION BY c ORDER BY d) AS k FROM (FROM led UNION ALL FROM own) UNION ALL SELECT c, 0, '', [] FROM cv),
+n AS (SELECT d, k, min(c) AS m, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(x)) AS saved FROM p GROUP BY 1, 2), spot AS (SELECT c, d, m FROM p JOIN n USING (d, k)),
+kids AS (SELECT spot.m, spot.d, count(*) AS n_children FROM n JOIN spot ON spot.c = n.m AND spot.d = n.d - 1 GROUP BY 1, 2), known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (m, d)),
+below AS (SELECT spot.m, spot.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM known JOIN spot ON spot.c = known.m AND spot.d <= known.d GROUP BY 1, 2),
+ends AS (SELECT m, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS e FROM spot JOIN (SELECT c, max(d) AS d FROM p GROUP BY 1) USING (c, d) GROUP BY 1, 2)
+SELECT m AS conv_id, known.d::BIGINT AS depth, up.m AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM known JOIN below USING (m, d) LEFT JOIN ends USING (m, d) LEFT JOIN spot up ON up.c = m AND up.d = known.d - 1"""
+
+
 def suffix_tree_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_suffix_tree(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
