@@ -1,3 +1,5 @@
+import pandas as pd
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -5,7 +7,7 @@ def normal(df):
     """Rows of a pandas frame as sorted tuples, columns by name, floats to ten digits."""
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v) is True or v != v:
             return None
         return f"{v:.10g}" if isinstance(v, float) else str(v)
 
