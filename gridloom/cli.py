@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import CoordMatrix
-from .operators import bregman, cocluster, validity
+from .operators import bregman, cocluster, cocluster_moves, cocluster_signed, validity
 from .sources import formats
 
 
@@ -33,7 +33,8 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("-i", "--rounds", type=int, default=20)
     p.add_argument("-U", "--schedule", choices=[s.name.lower() for s in cocluster.Schedule], default="alternate")
     p.add_argument("-t", "--threshold", type=float, default=1e-3)
-    p.add_argument("-l", "--local-search", type=int, default=0, help="length of chains of single row moves (itcc, mssr1, mssr2)")
+    p.add_argument("-l", "--local-search", type=int, default=0, help="length of chains of single moves, of rows and columns in turn (itcc, mssr1, mssr2)")
+    p.add_argument("-r", "--reverse", choices=("none", "rows", "both"), default="none", help="rows, or rows and columns, may be reversed (mssr1, mssr2)")
     p.add_argument("-s", "--start", choices=("dealt", "farthest"), default="dealt", help="farthest: rows and columns far from each other (itcc)")
     p.add_argument("-T", "--chain-threshold", type=float, default=-1e-6)
     p.add_argument("-K", "--classes", help="file of row classes")
@@ -61,12 +62,17 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, float]:
                 p = cocluster.joint(m)
                 rows, cols = cocluster.farthest_start(p, a.rows), cocluster.farthest_start(p.transpose(), a.cols)
             res = cocluster.itcc(m, a.rows, a.cols, a.rounds, cocluster.Schedule[a.schedule.upper()], threshold=a.threshold, rows=rows, cols=cols)
+        elif a.reverse != "none":
+            if a.local_search:
+                raise SystemExit("no local search of reversed rows")
+            found = cocluster_signed.mssr_signed(m, a.rows, a.cols, int(a.algorithm[-1]), a.rounds, a.threshold, rows, cols, both=a.reverse == "both")
+            res = cocluster.Result(found.rows, found.cols, found.objectives)
         else:
             res = cocluster.mssr(m, a.rows, a.cols, int(a.algorithm[-1]), a.rounds, cocluster.Schedule[a.schedule.upper()], a.threshold, rows, cols)
         if a.local_search and a.algorithm in ("itcc", "mssr1", "mssr2"):
             kind = "itcc" if a.algorithm == "itcc" else int(a.algorithm[-1])
-            moved, gain = cocluster.local_search(cocluster.joint(m) if kind == "itcc" else m, res.rows, res.cols, a.local_search, -a.chain_threshold, kind)
-            res = cocluster.Result(moved, res.cols, [*res.objectives, res.objectives[-1] + gain])
+            rows, cols, gains = cocluster_moves.alternating_search(cocluster.joint(m) if kind == "itcc" else m, res.rows, res.cols, a.local_search, -a.chain_threshold, kind)
+            res = cocluster.Result(rows, cols, [*res.objectives, res.objectives[-1] + sum(gains)])
         values.append(res.objectives[-1])
         if best is None or values[-1] < best.objectives[-1]:
             best = res

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import CoordMatrix
@@ -117,8 +117,8 @@ def residue(m: CoordMatrix, rows: DataFrame, cols: DataFrame, kind: int = 1) ->
     return sq.crossJoin(block).crossJoin(row).crossJoin(col).select((F.col("sq") - F.col("r") - F.col("c") + F.col("b")).alias("residue"))  # one row each
 
 
-def mssr_rows(m: CoordMatrix, rows: DataFrame, cols: DataFrame, kind: int = 1) -> DataFrame:
-    """Each row to the cluster with the least squared residue."""
+def mssr_costs(m: CoordMatrix, rows: DataFrame, cols: DataFrame, kind: int = 1) -> DataFrame:
+    """(id, g, q, dot) of each row and non-empty cluster: up to a number of the row's own its squared residue there is q - 2 dot, and dot is linear in the row."""
     z = labelled(m, rows, cols)
     nr, nc = rows.groupBy(F.col("cluster").alias("g")).agg(F.count("*").alias("nr")), cols.groupBy(F.col("cluster").alias("h")).agg(F.count("*").alias("nc"))
     if kind == 1:
@@ -135,8 +135,12 @@ def mssr_rows(m: CoordMatrix, rows: DataFrame, cols: DataFrame, kind: int = 1) -
         dots = m.cells.join(centre.select("g", "col", "mu"), "col").groupBy(F.col("row").alias("id"), "g").agg(F.sum(F.col("value") * F.col("mu")).alias("dot"))
         dots = back.join(dots, ["id", "g"], "left").select("id", "g", (F.coalesce("dot", F.lit(0.0)) - F.col("back")).alias("dot"))
     offered = rows.select("id").crossJoin(F.broadcast(fixed))  # one row a cluster
-    cost = offered.join(dots, ["id", "g"], "left").select("id", "g", (F.col("q") - 2 * F.coalesce("dot", F.lit(0.0))).alias("d"))
-    return _best(cost, rows)
+    return offered.join(dots, ["id", "g"], "left").select("id", "g", "q", F.coalesce("dot", F.lit(0.0)).alias("dot"))
+
+
+def mssr_rows(m: CoordMatrix, rows: DataFrame, cols: DataFrame, kind: int = 1) -> DataFrame:
+    """Each row to the cluster with the least squared residue."""
+    return _best(mssr_costs(m, rows, cols, kind).select("id", "g", (F.col("q") - 2 * F.col("dot")).alias("d")), rows)
 
 
 def mssr(m: CoordMatrix, k_rows: int, k_cols: int, kind: int = 1, rounds: int = 20, schedule: Schedule = Schedule.ALTERNATE, threshold: float = 1e-3, rows: DataFrame | None = None, cols: DataFrame | None = None) -> Result:
@@ -172,50 +176,6 @@ def _loop(m: CoordMatrix, k_rows: int, k_cols: int, rounds: int, schedule: Sched
     return Result(rows, cols, history)
 
 
-def best_row_move(m: CoordMatrix, rows: DataFrame, cols: DataFrame, fixed: list[int] | None = None, kind: int | str = 1) -> DataFrame:
-    """The single row move that lowers the objective most: (id, cluster, change). Rows in ``fixed`` do not move; a cluster's last row stays.
-
-    ``kind``: 1 or 2, the residue; ``"itcc"``, the information loss of a joint distribution. All changes follow from the block sums
-    with and without the row's own sums, for kind 2 also from the sums by column."""
-    z = labelled(m, rows, cols)
-    nr, nc = rows.groupBy(F.col("cluster").alias("g")).agg(F.count("*").alias("nr")), cols.groupBy(F.col("cluster").alias("h")).agg(F.count("*").alias("nc"))
-    grid = nr.crossJoin(F.broadcast(nc)).join(z.groupBy("g", "h").agg(F.sum("value").alias("s")), ["g", "h"], "left").select("g", "h", "nr", "nc", F.coalesce("s", F.lit(0.0)).alias("s"))
-    free = rows.filter(~F.col("id").isin(fixed or [-1])).select("id", "cluster")
-    by_h = free.crossJoin(F.broadcast(nc.select("h"))).join(z.groupBy(F.col("row").alias("id"), "h").agg(F.sum("value").alias("v")), ["id", "h"], "left").select("id", "cluster", "h", F.coalesce("v", F.lit(0.0)).alias("v"))
-    if kind == "itcc":
-        term = lambda s, n, c: _plog(s)
-    else:
-        term = lambda s, n, c: F.when(n > 0, s * s / (n * c)).otherwise(0.0)
-    j = by_h.join(grid, "h")
-    stays = F.col("g") == F.col("cluster")
-    change: Column = F.when(stays, term(F.col("s"), F.col("nr"), F.col("nc")) - term(F.col("s") - F.col("v"), F.col("nr") - 1, F.col("nc"))).otherwise(term(F.col("s"), F.col("nr"), F.col("nc")) - term(F.col("s") + F.col("v"), F.col("nr") + 1, F.col("nc")))
-    per = j.groupBy("id", "cluster", "g", "nr").agg(F.sum(change).alias("d"), F.sum("s").alias("p_g"), F.sum("v").alias("p"))
-    if kind == "itcc":
-        per = per.withColumn("d", F.col("d") - (_plog(F.col("p_g")) - _plog(F.when(stays, F.col("p_g") - F.col("p")).otherwise(F.col("p_g") + F.col("p")))))
-    if kind == 2:
-        per = _with_columns(per, z, m, nr)
-    leave = per.filter("g = cluster AND nr > 1").select("id", F.col("d").alias("leave"))
-    moves = per.filter("g <> cluster").join(leave, "id").select("id", F.col("g").alias("cluster"), (F.col("d") + F.col("leave")).alias("change"))
-    return moves.orderBy(F.round("change", 9), "id", "cluster").limit(1)
-
-
-def _plog(x: Column) -> Column:
-    """x log2 x; 0, and what rounding leaves of it, is 0."""
-    return F.when(x > 1e-15, x * F.log2(x)).otherwise(0.0)
-
-
-def _with_columns(per: DataFrame, z: DataFrame, m: CoordMatrix, nr: DataFrame) -> DataFrame:
-    """The changes of kind 1 turned into those of kind 2: cluster sums by column count too, and block sums the other way."""
-    sums = z.groupBy("g", "col").agg(F.sum("value").alias("s"))
-    whole = sums.groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("q"))
-    dots = m.cells.join(sums, "col").groupBy(F.col("row").alias("id"), "g").agg(F.sum(F.col("value") * F.col("s")).alias("dot"))
-    squares = m.cells.groupBy(F.col("row").alias("id")).agg(F.sum(F.col("value") * F.col("value")).alias("vv"))
-    j = per.join(whole, "g", "left").join(dots, ["id", "g"], "left").join(squares, "id", "left").fillna(0.0, ["q", "dot", "vv"])
-    sign = F.when(F.col("g") == F.col("cluster"), -1).otherwise(1)
-    after = F.when(F.col("nr") + sign > 0, (F.col("q") + 2 * sign * F.col("dot") + F.col("vv")) / (F.col("nr") + sign)).otherwise(0.0)
-    return j.withColumn("d", F.col("q") / F.col("nr") - after - F.col("d"))
-
-
 def farthest_start(p: CoordMatrix, k: int, alpha: float = 0.1) -> DataFrame:
     """(id, cluster): ``k`` rows far from each other, then every row with the nearest of them.
 
@@ -250,21 +210,6 @@ def farthest_start(p: CoordMatrix, k: int, alpha: float = 0.1) -> DataFrame:
     return spark.range(p.n_rows).join(near, "id", "left").select("id", F.coalesce("b.cluster", F.lit(0)).cast("int").alias("cluster"))
 
 
-def local_search(m: CoordMatrix, rows: DataFrame, cols: DataFrame, length: int = 5, threshold: float = 1e-6, kind: int | str = 1) -> tuple[DataFrame, float]:
-    """A chain of best single moves, each row at most once; the prefix with the lowest total is kept if it gains enough."""
-    current, moved, total, best, best_total = rows, [], 0.0, rows, 0.0
-    for _ in range(length):
-        move = best_row_move(m, current, cols, moved, kind).first()
-        if move is None:
-            break
-        moved.append(move["id"])
-        total += move["change"]
-        current = cut(current.select("id", F.when(F.col("id") == move["id"], F.lit(move["cluster"])).otherwise(F.col("cluster")).cast("int").alias("cluster")))
-        if total < best_total:
-            best, best_total = current, total
-    return (best, best_total) if best_total < -threshold else (rows, 0.0)
-
-
 def blocks_report(rows: DataFrame, cols: DataFrame) -> DataFrame:
     """One row for each side's cluster: side, cluster, size."""
     side = lambda x, name: cluster_sizes(x).select(F.lit(name).alias("side"), "cluster", "n")

@@ -9,16 +9,18 @@ from ..matrix import CoordMatrix
 from .graph import spanning_tree
 
 
-def pair_counts(samples: DataFrame) -> DataFrame:
-    """(a, b, s, t, n): how often node a is in state s while node b > a is in state t. A sample's nodes are paired inside its own row."""
-    rows = samples.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("node", "state"))).alias("x"))  # one entry a node
-    pairs = rows.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter("p.node < q.node")
-    return pairs.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.state").alias("s"), F.col("q.state").alias("t")).agg(F.count("*").alias("n"))
+def pair_counts(observations: DataFrame) -> DataFrame:
+    """(a, b, s, t, n): how often node a is in state s while node b > a is in state t. ``observations``: a row each, ``x`` the states by node; equal rows count each.
 
+    Equal rows are counted before their nodes are paired, so what is exchanged are counts of distinct rows and of pairs."""
+    rows = observations.groupBy("x").agg(F.count("*").alias("n"))
+    pairs = rows.select("n", "x", F.posexplode("x").alias("a", "s")).select("n", "a", "s", F.posexplode("x").alias("b", "t")).filter("a < b")
+    return pairs.groupBy("a", "b", "s", "t").agg(F.sum("n").alias("n"))
 
-def mutual_information(samples: DataFrame) -> DataFrame:
+
+def mutual_information(observations: DataFrame) -> DataFrame:
     """(a, b, mi) in nats of each pair of nodes."""
-    c = pair_counts(samples)
+    c = pair_counts(observations)
     left = c.groupBy("a", "b", "s").agg(F.sum("n").alias("ns"))
     right = c.groupBy("a", "b", "t").agg(F.sum("n").alias("nt"))
     total = c.groupBy("a", "b").agg(F.sum("n").alias("total"))
@@ -26,23 +28,23 @@ def mutual_information(samples: DataFrame) -> DataFrame:
     return j.groupBy("a", "b").agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("ns") * F.col("nt")))).alias("mi"))
 
 
-def co_occurrence(samples: DataFrame) -> DataFrame:
-    """(a, b, p): share of samples where both binary nodes are 1, a <= b."""
-    on = samples.filter("state = 1").groupBy("sample").agg(F.sort_array(F.collect_list("node")).alias("x"))
-    n = samples.agg(F.count_distinct("sample").alias("total"))
-    pairs = on.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a <= b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).crossJoin(n).select("a", "b", (F.col("n") / F.col("total")).alias("p"))  # n: one row
+def co_occurrence(observations: DataFrame) -> DataFrame:
+    """(a, b, p): share of observations where both binary nodes are 1, a <= b."""
+    rows = observations.groupBy("x").agg(F.count("*").alias("n"))
+    on = rows.select("n", "x", F.posexplode("x").alias("a", "s")).filter("s = 1").select("n", "a", F.posexplode("x").alias("b", "t")).filter("t = 1 AND a <= b")
+    total = observations.agg(F.count("*").alias("total"))
+    return on.groupBy("a", "b").agg(F.sum("n").alias("n")).crossJoin(total).select("a", "b", (F.col("n") / F.col("total")).alias("p"))  # total: one row
 
 
-def chow_liu(samples: DataFrame, nodes: int) -> DataFrame:
+def chow_liu(observations: DataFrame, nodes: int) -> DataFrame:
     """Edges of the tree of largest mutual information."""
-    mi = mutual_information(samples).select(F.col("a").cast("bigint").alias("row"), F.col("b").cast("bigint").alias("col"), F.col("mi").alias("value"))
+    mi = mutual_information(observations).select(F.col("a").cast("bigint").alias("row"), F.col("b").cast("bigint").alias("col"), F.col("mi").alias("value"))
     return spanning_tree(CoordMatrix(mi, nodes, nodes), largest=True)
 
 
-def hub_edges(samples: DataFrame, hub: int, k: int) -> DataFrame:
+def hub_edges(observations: DataFrame, hub: int, k: int) -> DataFrame:
     """The ``k`` nodes of largest mutual information with ``hub``."""
-    return mutual_information(samples).filter((F.col("a") == hub) | (F.col("b") == hub)).orderBy(F.desc("mi"), "a", "b").limit(k)
+    return mutual_information(observations).filter((F.col("a") == hub) | (F.col("b") == hub)).orderBy(F.desc("mi"), "a", "b").limit(k)
 
 
 def table_information(m: CoordMatrix) -> DataFrame:

@@ -110,14 +110,20 @@ def group_lasso(df: DataFrame, features: list[str], label: str, classes: int, gr
     return b
 
 
-def wide(samples: DataFrame, nodes: int) -> DataFrame:
-    """(sample, node, state) as one row a sample with columns n0, n1, ..."""
-    return samples.groupBy("sample").agg(*[F.max(F.when(F.col("node") == i, F.col("state"))).cast("double").alias(f"n{i}") for i in range(nodes)])
+def observed(samples: DataFrame) -> DataFrame:
+    """(sample, node, state) as one row a sample: sample and ``x``, the states by node. Each sample has each node once."""
+    nodes = samples.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("node", "state"))).alias("__x"))  # one entry a node
+    return nodes.select("sample", F.transform("__x", lambda v: v["state"]).alias("x"))
 
 
-def ising(samples: DataFrame, nodes: int, penalty: float, rounds: int = 40) -> np.ndarray:
+def wide(observations: DataFrame, nodes: int) -> DataFrame:
+    """One row an observation with columns n0, n1, ...; ``observations``: a row each, ``x`` the states by node. Equal rows stay."""
+    return observations.select(*[F.col("x")[i].cast("double").alias(f"n{i}") for i in range(nodes)])
+
+
+def ising(observations: DataFrame, nodes: int, penalty: float, rounds: int = 40) -> np.ndarray:
     """Couplings of a binary model (states 0 and 1 read as -1 and 1): one L1 regression a node, halves averaged over both directions."""
-    w = wide(samples, nodes).select(*[(2 * F.col(f"n{i}") - 1).alias(f"x{i}") for i in range(nodes)], *[F.col(f"n{i}").alias(f"y{i}") for i in range(nodes)]).cache()
+    w = wide(observations, nodes).select(*[(2 * F.col(f"n{i}") - 1).alias(f"x{i}") for i in range(nodes)], *[F.col(f"n{i}").alias(f"y{i}") for i in range(nodes)]).cache()
     j = np.zeros((nodes, nodes))
     for i in range(nodes):
         others = [k for k in range(nodes) if k != i]
@@ -209,10 +215,10 @@ def pairwise_couplings(adjacency: np.ndarray, least: float, spread: float, kind:
     return out + out.T
 
 
-def pseudo_likelihood(samples: DataFrame, couplings: np.ndarray, fields: np.ndarray) -> DataFrame:
-    """One row: the mean over the samples of minus the log of each node's probability given all others, summed over the nodes (states 0 and 1 read as -1 and 1)."""
+def pseudo_likelihood(observations: DataFrame, couplings: np.ndarray, fields: np.ndarray) -> DataFrame:
+    """One row: the mean over the observations of minus the log of each node's probability given all others, summed over the nodes (states 0 and 1 read as -1 and 1)."""
     n = len(fields)
-    w = wide(samples, n)
+    w = wide(observations, n)
     x = [2 * F.col(f"n{i}") - 1 for i in range(n)]
     total = F.lit(0.0)
     for i in range(n):
@@ -221,18 +227,18 @@ def pseudo_likelihood(samples: DataFrame, couplings: np.ndarray, fields: np.ndar
     return w.agg(F.avg(total).alias("loss"))
 
 
-def ising_validated(samples: DataFrame, nodes: int, constants: list[float], folds: int = 3, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Couplings under the constant c of least mean held-out pseudo-likelihood loss, penalty c * sqrt(ln p / n); samples are dealt to folds by a hash."""
+def ising_validated(observations: DataFrame, nodes: int, constants: list[float], folds: int = 3, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Couplings under the constant c of least mean held-out pseudo-likelihood loss, penalty c * sqrt(ln p / n); observations are dealt to folds by a hash of ``sample``, which names each."""
     fold = F.pmod(F.xxhash64("sample"), F.lit(folds))
-    n, loss = samples.select("sample").distinct().count(), {}
+    n, loss = observations.count(), {}
     for c in constants:
         parts = []
         for k in range(folds):
-            j = ising(samples.filter(fold != k), nodes, lambda_from_c(c, max(2, nodes - 1), n), rounds)
-            parts.append(pseudo_likelihood(samples.filter(fold == k), j, np.zeros(nodes)).first()["loss"])
+            j = ising(observations.filter(fold != k), nodes, lambda_from_c(c, max(2, nodes - 1), n), rounds)
+            parts.append(pseudo_likelihood(observations.filter(fold == k), j, np.zeros(nodes)).first()["loss"])
         loss[c] = float(np.mean([x for x in parts if x is not None] or [np.inf]))
     best = min(constants, key=lambda c: (loss[c], c))
-    return ising(samples, nodes, lambda_from_c(best, max(2, nodes - 1), n), rounds), best
+    return ising(observations, nodes, lambda_from_c(best, max(2, nodes - 1), n), rounds), best
 
 
-__all__ = ["Options", "belief_propagation", "classify", "gibbs", "group_lasso", "group_penalty", "incoherence", "ising", "ising_validated", "logistic_l1", "logistic_l1_validated", "logistic_loss", "multinomial_loss", "negated", "neighbours", "pairwise_couplings", "pseudo_likelihood", "tree_marginals", "wide"]
+__all__ = ["Options", "belief_propagation", "classify", "gibbs", "group_lasso", "group_penalty", "incoherence", "ising", "ising_validated", "logistic_l1", "logistic_l1_validated", "logistic_loss", "multinomial_loss", "negated", "neighbours", "observed", "pairwise_couplings", "pseudo_likelihood", "tree_marginals", "wide"]

@@ -82,14 +82,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED = "scored AS (SELECT doc_id AS item, floor(n_chars / 100)::DOUBLE AS score, quality::INT AS target FROM documents JOIN labels USING (doc_id))"
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as observations of four variables: (sample, node, state from 0)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_suppkey", "l_quantity")
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as observations of four variables: x, their states from 0. One row a line, repeated lines too."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_suppkey", "l_quantity")
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     status = F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
-    states = F.array(flag, status, (F.col("l_suppkey") % 3).cast("int"), F.when(F.col("l_quantity") > 25, 1).otherwise(0))
-    return li.select(((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey") * 31 + F.col("l_suppkey")).alias("sample"), F.posexplode(states).alias("node", "state"))
+    return li.select(F.array(flag, status, (F.col("l_suppkey") % 3).cast("int"), F.when(F.col("l_quantity") > 25, 1).otherwise(0)).alias("x"))
 
 
-SAMPLES = """s0 AS (SELECT (l_orderkey * 16 + l_linenumber) * 1000003 + l_partkey * 31 + l_suppkey AS sample, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS a, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS b, (l_suppkey % 3)::INT AS c, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS d FROM lineitem),
+SAMPLES = """s0 AS MATERIALIZED (SELECT row_number() OVER () AS sample, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS a, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS b, (l_suppkey % 3)::INT AS c, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS d FROM lineitem),
 samples AS (SELECT sample, 0 AS node, a AS state FROM s0 UNION ALL SELECT sample, 1, b FROM s0 UNION ALL SELECT sample, 2, c FROM s0 UNION ALL SELECT sample, 3, d FROM s0)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import divergence, scalar
 from ..matrix import CoordMatrix
-from ..operators import bregman, cocluster, experiments, factor, information, kmeans, learn, optimise, validity
+from ..operators import bregman, cocluster, cocluster_moves, cocluster_signed, experiments, factor, information, kmeans, learn, optimise, validity
 from ..session import cut
 from . import inputs as I  # noqa: E741, N812
 
@@ -67,12 +67,12 @@ def cluster_micro_average(spark, sf_dir):
 
 @query(f"WITH {I.SAMPLES}, c AS (SELECT p.node AS a, q.node AS b, p.state AS s, q.state AS t, count(*)::DOUBLE AS n FROM samples p JOIN samples q ON p.sample = q.sample AND p.node < q.node GROUP BY 1, 2, 3, 4), m AS (SELECT *, sum(n) OVER (PARTITION BY a, b, s) AS ns, sum(n) OVER (PARTITION BY a, b, t) AS nt, sum(n) OVER (PARTITION BY a, b) AS total FROM c) SELECT a, b, round(sum(n / total * ln(n * total / (ns * nt))), 9) AS mi FROM m GROUP BY 1, 2")
 def variable_information(spark, sf_dir):
-    return information.mutual_information(I.samples(spark, sf_dir)).select("a", "b", _r("mi", 9))
+    return information.mutual_information(I.observations(spark, sf_dir)).select("a", "b", _r("mi", 9))
 
 
-@query(f"WITH {I.SAMPLES}, o AS (SELECT sample, node FROM samples WHERE state = 1) SELECT a.node AS a, b.node AS b, round(count(*) / (SELECT count(DISTINCT sample) FROM samples)::DOUBLE, 9) AS p FROM o a JOIN o b ON a.sample = b.sample AND a.node <= b.node GROUP BY 1, 2")
+@query(f"WITH {I.SAMPLES}, o AS (SELECT sample, node FROM samples WHERE state = 1) SELECT a.node AS a, b.node AS b, round(count(*) / (SELECT count(*) FROM s0)::DOUBLE, 9) AS p FROM o a JOIN o b ON a.sample = b.sample AND a.node <= b.node GROUP BY 1, 2")
 def variable_co_occurrence(spark, sf_dir):
-    return information.co_occurrence(I.samples(spark, sf_dir)).select("a", "b", _r("p", 9))
+    return information.co_occurrence(I.observations(spark, sf_dir)).select("a", "b", _r("p", 9))
 
 
 _MI = f"WITH RECURSIVE {I.SAMPLES}, c AS (SELECT p.node AS a, q.node AS b, p.state AS s, q.state AS t, count(*)::DOUBLE AS n FROM samples p JOIN samples q ON p.sample = q.sample AND p.node < q.node GROUP BY 1, 2, 3, 4), m AS (SELECT *, sum(n) OVER (PARTITION BY a, b, s) AS ns, sum(n) OVER (PARTITION BY a, b, t) AS nt, sum(n) OVER (PARTITION BY a, b) AS total FROM c), e AS (SELECT a::BIGINT AS row, b::BIGINT AS col, sum(n / total * ln(n * total / (ns * nt))) AS value FROM m GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY value DESC, row, col) AS k FROM e), walk(k, id) AS (SELECT k, row FROM o UNION SELECT w.k, CASE WHEN b.row = w.id THEN b.col ELSE b.row END FROM walk w JOIN o b ON b.k < w.k AND (b.row = w.id OR b.col = w.id))"
@@ -80,7 +80,7 @@ _MI = f"WITH RECURSIVE {I.SAMPLES}, c AS (SELECT p.node AS a, q.node AS b, p.sta
 
 @query(f"{_MI} SELECT row, col, round(value, 6) AS value FROM o WHERE NOT EXISTS (SELECT 1 FROM walk WHERE walk.k = o.k AND walk.id = o.col)")
 def variable_tree(spark, sf_dir):
-    return information.chow_liu(I.samples(spark, sf_dir), 4).select("row", "col", _r("value"))
+    return information.chow_liu(I.observations(spark, sf_dir), 4).select("row", "col", _r("value"))
 
 
 @query(f"WITH {I.NATION_NET}, m AS (SELECT value, sum(value) OVER (PARTITION BY row) AS x, sum(value) OVER (PARTITION BY col) AS y, sum(value) OVER () AS t FROM nn) SELECT round(sum(value / t * log2(value * t / (x * y))), 9) AS mi FROM m")
@@ -243,7 +243,7 @@ e AS (SELECT row, g, q.k, d - ({_plog('p')} - CASE WHEN g = q.k THEN {_plog('(p
 SELECT a.row AS id, a.k AS cluster, round(a.d + l.d, 9) AS change FROM e a JOIN e l ON a.row = l.row AND l.k = l.g WHERE a.k <> a.g ORDER BY round(a.d + l.d, 9), a.row, a.k LIMIT 1""")
 def itcc_move(spark, sf_dir):
     m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
-    return cocluster.best_row_move(cocluster.joint(m), rows, cols, kind="itcc").select("id", F.col("cluster").cast("bigint").alias("cluster"), _r("change", 9))
+    return cocluster_moves.best_row_move(cocluster.joint(m), rows, cols, kind="itcc").select("id", F.col("cluster").cast("bigint").alias("cluster"), _r("change", 9))
 
 
 @query(f"""WITH {_NET}, full_ AS (SELECT a.i AS row, b.i AS col, (b.i % 4)::INT AS h, coalesce(value, 0) AS value FROM range(25) a(i) CROSS JOIN range(25) b(i) LEFT JOIN nn ON row = a.i AND col = b.i),
@@ -252,7 +252,101 @@ x AS (SELECT id, k, value - avg(value) OVER (PARTITION BY id, k, row, h) - avg(v
 SELECT id::BIGINT AS id, k::BIGINT AS cluster, round(f - (SELECT f FROM f WHERE id = -1), 4) AS change FROM f WHERE id >= 0 ORDER BY 3, 1, 2 LIMIT 1""")
 def mssr2_move(spark, sf_dir):
     m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
-    return cocluster.best_row_move(m, rows, cols, kind=2).select("id", F.col("cluster").cast("bigint").alias("cluster"), _r("change", 4))
+    return cocluster_moves.best_row_move(m, rows, cols, kind=2).select("id", F.col("cluster").cast("bigint").alias("cluster"), _r("change", 4))
+
+
+def _moves_sql(steps: int, candidates: str, clusters: int = 3, digits: int = 6) -> str:
+    """A chain of best moves: ``candidates`` gives id, k and change from labels l and the ids not to move, done; @ is the step."""
+    parts, found = [f"l0 AS (SELECT i AS id, (i % {clusters})::INT AS g FROM range(25) a(i))", "m0 AS (SELECT -1 AS id)"], []
+    for j in range(steps):
+        done = " UNION ALL ".join(f"SELECT id FROM m{x}" for x in range(j + 1))
+        parts.append(candidates.replace("@done", f"({done})").replace("@", str(j)))
+        parts.append(f"m{j + 1} AS MATERIALIZED (SELECT id, k, change FROM c{j} ORDER BY round(change, 9), id, k LIMIT 1)")
+        parts.append(f"l{j + 1} AS MATERIALIZED (SELECT l{j}.id, coalesce(k, g) AS g FROM l{j} LEFT JOIN m{j + 1} USING (id))")
+        found.append(f"SELECT {j} AS step, id::BIGINT AS id, k::INT AS cluster, round(change, {digits}) AS change FROM m{j + 1}")
+    return f"WITH {_NET}, {', '.join(parts)} {' UNION ALL '.join(found)}"
+
+
+def _itcc_moves(row: str, col: str, rows: int, cols: int) -> str:
+    return f"""t@ AS (SELECT sum(value) AS t FROM nn), z@ AS MATERIALIZED (SELECT {row} AS id, ({col} % {cols})::INT AS h, value / t AS value, g FROM nn JOIN l@ ON {row} = l@.id, t@),
+b@ AS MATERIALIZED (SELECT a.k, b.h, coalesce(sum(value), 0) AS s FROM range({rows}) a(k) CROSS JOIN range({cols}) b(h) LEFT JOIN z@ ON z@.g = a.k AND z@.h = b.h GROUP BY 1, 2), p@ AS (SELECT k, sum(s) AS p FROM b@ GROUP BY 1),
+r@ AS MATERIALIZED (SELECT l@.id, l@.g, b.h, coalesce(sum(value), 0) AS v FROM l@ CROSS JOIN range({cols}) b(h) LEFT JOIN z@ ON z@.id = l@.id AND z@.h = b.h GROUP BY 1, 2, 3),
+q@ AS (SELECT id, g, k, sum({_plog('s')} - CASE WHEN g = k THEN {_plog('(s - v)')} ELSE {_plog('(s + v)')} END) AS d, sum(v) AS own FROM r@ JOIN b@ USING (h) GROUP BY 1, 2, 3),
+e@ AS (SELECT id, g, q@.k, d - ({_plog('p')} - CASE WHEN g = q@.k THEN {_plog('(p - own)')} ELSE {_plog('(p + own)')} END) AS d FROM q@ JOIN p@ USING (k)),
+c@ AS (SELECT a.id, a.k, a.d + o.d AS change FROM e@ a JOIN e@ o ON a.id = o.id AND o.k = o.g WHERE a.k <> a.g AND a.id NOT IN @done)"""
+
+
+@query(_moves_sql(3, _itcc_moves("row", "col", 3, 4)))
+def itcc_chain(spark, sf_dir):
+    """Three best row moves one after the other, their changes from sums kept by deltas."""
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    return cocluster_moves.chain(cocluster.joint(m), rows, cols, 3, kind="itcc").select("step", "id", "cluster", _r("change"))
+
+
+@query(_moves_sql(2, _itcc_moves("col", "row", 4, 3), clusters=4))
+def itcc_column_chain(spark, sf_dir):
+    """Two best column moves."""
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    return cocluster_moves.chain(cocluster.joint(m).transpose(), cols, rows, 2, kind="itcc").select("step", "id", "cluster", _r("change"))
+
+
+_RESIDUE_MOVES = """o@ AS (SELECT l@.id, k, g FROM l@, range(3) b(k) WHERE k <> g AND id NOT IN @done UNION ALL SELECT -1, -1, -1),
+y@ AS (SELECT o@.id, o@.k, a.id AS row, c.i AS col, (c.i % 4)::INT AS h, coalesce(value, 0) AS value, CASE WHEN a.id = o@.id THEN o@.k ELSE a.g END AS g FROM o@, l@ a CROSS JOIN range(25) c(i) LEFT JOIN nn ON nn.row = a.id AND nn.col = c.i),
+x@ AS (SELECT id, k, value - avg(value) OVER (PARTITION BY id, k, row, h) - avg(value) OVER (PARTITION BY id, k, col, g) + avg(value) OVER (PARTITION BY id, k, g, h) AS e FROM y@), f@ AS (SELECT id, k, sum(e * e) AS f FROM x@ GROUP BY 1, 2),
+c@ AS (SELECT id, k, f - (SELECT f FROM f@ WHERE id = -1) AS change FROM f@ WHERE id >= 0)"""
+
+
+@query(_moves_sql(2, _RESIDUE_MOVES, digits=3))
+def mssr2_chain(spark, sf_dir):
+    """Two best row moves of residue II; the second reads the first one's deltas."""
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    return cocluster_moves.chain(m, rows, cols, 2, kind=2).select("step", "id", "cluster", _r("change", 3))
+
+
+# Reversed rows: the net without its mean, every third row reversed at the start
+
+_SIGNED = f"{I.NATION_NET}, nz AS (SELECT row, col, value - (SELECT avg(value) FROM nn) AS value FROM nn), sf AS (SELECT a.i AS row, b.i AS col, (a.i % 3)::INT AS g, (b.i % 4)::INT AS h, CASE WHEN a.i % 2 = 1 THEN -1 ELSE 1 END AS s, coalesce(value, 0) * CASE WHEN a.i % 2 = 1 THEN -1 ELSE 1 END AS value FROM range(25) a(i) CROSS JOIN range(25) b(i) LEFT JOIN nz ON row = a.i AND col = b.i)"
+
+
+def _signed_net(spark, sf_dir):
+    m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
+    mean = m.cells.agg(F.avg("value").alias("mean"))
+    cells = m.cells.crossJoin(mean).select("row", "col", (F.col("value") - F.col("mean")).alias("value"))  # one row
+    return CoordMatrix(cells, m.n_rows, m.n_cols), rows.withColumn("sign", F.when(F.col("id") % 2 == 1, -1).otherwise(1)), cols
+
+
+@query(f"WITH {_SIGNED} SELECT g, h, round(sum(value), 6) AS s FROM sf GROUP BY 1, 2")
+def signed_block_sums(spark, sf_dir):
+    return cocluster_signed.block_sums(*_signed_net(spark, sf_dir)).select("g", "h", _r("s"))
+
+
+@query(f"WITH {_SIGNED}, x AS (SELECT value, avg(value) OVER (PARTITION BY g, h) AS gh, avg(value) OVER (PARTITION BY row, h) AS r, avg(value) OVER (PARTITION BY col, g) AS c FROM sf) SELECT 1 AS kind, round(sum((value - gh) * (value - gh)), 4) AS residue FROM x UNION ALL SELECT 2, round(sum(pow(value - r - c + gh, 2)), 4) FROM x")
+def signed_residues(spark, sf_dir):
+    m, rows, cols = _signed_net(spark, sf_dir)
+    one = lambda k: cocluster_signed.residue(m, rows, cols, k).select(F.lit(k).alias("kind"), _r("residue", 4))
+    return one(1).unionByName(one(2))
+
+
+_SIGNED_PICK = "SELECT row AS id, k::INT AS cluster, (s * turn)::INT AS sign FROM d, (SELECT sum(value * value) AS q FROM nz) QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(d / q, 9), k <> g OR turn = -1, k, turn DESC) = 1"
+
+
+@query(f"WITH {_SIGNED}, mu AS (SELECT g AS k, h, avg(value) AS mu FROM sf GROUP BY 1, 2), d AS (SELECT row, g, s, k, turn, sum(mu * mu - 2 * turn * value * mu) AS d FROM sf JOIN mu USING (h), (VALUES (1), (-1)) t(turn) GROUP BY 1, 2, 3, 4, 5) {_SIGNED_PICK}")
+def signed_step(spark, sf_dir):
+    """Each row with the nearest cluster and sign under residue I."""
+    return cocluster_signed.reassigned(*_signed_net(spark, sf_dir), kind=1)
+
+
+@query(f"WITH {_SIGNED}, y AS (SELECT row, col, g, s, h, value, value - avg(value) OVER (PARTITION BY row, h) AS own FROM sf), mu AS (SELECT g AS k, col, avg(own) AS mu FROM y GROUP BY 1, 2), d AS (SELECT row, g, s, k, turn, sum(mu * mu - 2 * turn * own * mu) AS d FROM y JOIN mu USING (col), (VALUES (1), (-1)) t(turn) GROUP BY 1, 2, 3, 4, 5) {_SIGNED_PICK}")
+def signed_step_2(spark, sf_dir):
+    """The same under residue II."""
+    return cocluster_signed.reassigned(*_signed_net(spark, sf_dir), kind=2)
+
+
+@query()
+def signed_clusters(spark, sf_dir):
+    m, rows, cols = _signed_net(spark, sf_dir)
+    res = cocluster_signed.mssr_signed(m, 3, 4, rounds=3, rows=rows, cols=cols)
+    return res.rows.select(F.lit("row").alias("side"), "id", "cluster", "sign").unionByName(res.cols.select(F.lit("col").alias("side"), "id", "cluster", F.lit(1).alias("sign")))
 
 
 @query()
@@ -263,7 +357,7 @@ def itcc_farthest_start(spark, sf_dir):
 @query()
 def itcc_local_search(spark, sf_dir):
     m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
-    return cocluster.local_search(cocluster.joint(m), rows, cols, 3, kind="itcc")[0]
+    return cocluster_moves.local_search(cocluster.joint(m), rows, cols, 3, kind="itcc")[0]
 
 
 @query()
@@ -279,7 +373,7 @@ def mssr_clusters(spark, sf_dir):
 @query()
 def mssr_local_search(spark, sf_dir):
     m, (rows, cols) = I.nation_net(spark, sf_dir), _net_labels(spark)
-    return cocluster.local_search(m, rows, cols, 3)[0]
+    return cocluster_moves.local_search(m, rows, cols, 3)[0]
 
 
 # Factors
@@ -373,17 +467,21 @@ def logistic_labels(spark, sf_dir):
     return df.select("doc_id", learn.classify(["signs", "size"], np.array([0.5, -2.0, 0.25])).alias("label"))
 
 
+def _binary(spark, sf_dir):
+    """All four variables, read as binary: state 0 or another."""
+    return I.observations(spark, sf_dir).select(F.transform("x", lambda v: (v > 0).cast("int")).alias("x"))
+
+
 @query()
 def group_lasso_weights(spark, sf_dir):
-    w = learn.wide(I.samples(spark, sf_dir), 4).select(*[F.col(f"n{i}") for i in (1, 2, 3)], F.col("n0").cast("int").alias("y"))
+    w = learn.wide(I.observations(spark, sf_dir), 4).select(*[F.col(f"n{i}") for i in (1, 2, 3)], F.col("n0").cast("int").alias("y"))
     b = learn.group_lasso(w, ["n1", "n2", "n3"], "y", 3, [[0], [1], [2]], 0.01, rounds=15)
     return spark.createDataFrame([(c, i, round(float(b[c, i]), 5)) for c in range(b.shape[0]) for i in range(b.shape[1])], "class int, i int, weight double")
 
 
 @query()
 def ising_couplings(spark, sf_dir):
-    """All four variables, read as binary: state 0 or another."""
-    s = I.samples(spark, sf_dir).withColumn("state", (F.col("state") > 0).cast("int"))
+    s = _binary(spark, sf_dir)
     j = learn.ising(s, 4, 0.001, rounds=15)
     return spark.createDataFrame([(a, b, round(float(j[a, b]), 5)) for a in range(4) for b in range(a + 1, 4)], "a int, b int, coupling double")
 
@@ -397,7 +495,7 @@ _X = "x AS (SELECT CASE WHEN a > 0 THEN 1 ELSE -1 END AS a, CASE WHEN b > 0 THEN
 
 @query(f"WITH {I.SAMPLES}, {_X} SELECT round(avg(ln(1 + exp(-2 * a * (0.1 + 0.2 * b))) + ln(1 + exp(-2 * b * (0.1 + 0.2 * (a + c)))) + ln(1 + exp(-2 * c * (0.1 + 0.2 * (b + d)))) + ln(1 + exp(-2 * d * (0.1 + 0.2 * c)))), 9) AS loss FROM x")
 def ising_pseudo_likelihood(spark, sf_dir):
-    s = I.samples(spark, sf_dir).withColumn("state", (F.col("state") > 0).cast("int"))
+    s = _binary(spark, sf_dir)
     return learn.pseudo_likelihood(s, _chain(0.2, 4), np.full(4, 0.1)).select(_r("loss", 9))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..matrix import CoordMatrix, value_ranks, weighted_sum
-from ..operators import graph, katz, ranking, socialnet
+from ..operators import graph, katz, multilevel, ranking, socialnet
+from ..session import cut
 from . import inputs as I  # noqa: E741, N812
 
 UG, UU, NN, NS, UP = I.USER_GROUP, I.USER_USER, I.NATION_NET, I.NATION_SPARSE, I.USER_PART
@@ -280,6 +281,60 @@ def retain_top_cells(spark, sf_dir):
     return ranking.retain_top(I.nation_net(spark, sf_dir), 60)
 
 
+# Clusters of the merged network
+
+_MERGED = f"{UG}, {UU}, nu AS (SELECT max(c_custkey) + 1 AS n FROM customer), mg AS (SELECT row, col, 5 * value AS value FROM uu UNION ALL SELECT row, col + n, value FROM ug, nu UNION ALL SELECT col + n, row, value FROM ug, nu)"
+_DEALT = f"{_MERGED}, lab AS (SELECT DISTINCT row AS id, (row % 4)::INT AS c FROM mg), cuts AS (SELECT l.c, sum(value) AS vol, sum(CASE WHEN l.c = t.c THEN value ELSE 0 END) AS ins FROM mg JOIN lab l ON row = l.id JOIN lab t ON col = t.id GROUP BY 1)"
+
+
+def _merged_net(spark, sf_dir):
+    return socialnet.SocialNet(I.user_user(spark, sf_dir), I.user_group(spark, sf_dir)).merged()
+
+
+def _dealt(m):
+    return m.cells.select(F.col("row").alias("id"), (F.col("row") % 4).cast("int").alias("cluster")).distinct()
+
+
+@query(f"WITH {_MERGED}, deg AS (SELECT row AS id, 1 / sum(value) AS w FROM mg GROUP BY 1), e AS (SELECT row AS a, col AS b, value * (x.w + y.w) AS score, (row * 7919 + col * 104729) % 1000003 AS k FROM mg JOIN deg x ON x.id = row JOIN deg y ON y.id = col WHERE row < col), ends AS (SELECT unnest([a, b]) AS id, a, b, score, k FROM e), best AS (SELECT a, b FROM ends QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, k DESC, a, b) = 1) SELECT a, b FROM best GROUP BY 1, 2 HAVING count(*) = 2")
+def network_heavy_edges(spark, sf_dir):
+    """The first round of the matching that contracts the merged network."""
+    return multilevel.mutual_edges(multilevel.edge_scores(_merged_net(spark, sf_dir)))
+
+
+@query(f"WITH {_DEALT} SELECT c AS cluster, vol AS volume, ins AS inside, round((vol - ins) / vol, 9) AS cut FROM cuts")
+def network_dealt_cut(spark, sf_dir):
+    m = _merged_net(spark, sf_dir)
+    return multilevel.cluster_cuts(m, _dealt(m)).select("cluster", "volume", "inside", _r("cut", 9))
+
+
+@query(f"""WITH {_DEALT}, s AS (SELECT *, sum(vol) OVER () AS t FROM cuts), deg AS (SELECT row AS id, sum(value) AS w FROM mg GROUP BY 1), lk AS (SELECT row AS id, c, sum(value) AS l FROM mg JOIN lab ON col = lab.id GROUP BY 1, 2),
+o AS (SELECT id, c, sum(l) AS l FROM (FROM lk UNION ALL SELECT id, c, 0 FROM lab) GROUP BY 1, 2), d AS (SELECT o.id, o.c, lab.c <> o.c AS goes, round(ins / vol / vol * t - 2 * (l / w) / vol * t, 9) AS d FROM o JOIN s USING (c) JOIN deg USING (id) JOIN lab USING (id))
+SELECT id, c AS cluster FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, goes, c) = 1""")
+def network_kernel_step(spark, sf_dir):
+    """One step of weighted kernel k-means on the merged network from dealt labels."""
+    m = _merged_net(spark, sf_dir)
+    return multilevel.kernel_step(m, _dealt(m))
+
+
+def _network_clusters(m):
+    return multilevel.cluster_graph(m, 4)
+
+
+@query()
+def network_clusters(spark, sf_dir):
+    return _network_clusters(_merged_net(spark, sf_dir))
+
+
+@query(f"WITH {_DEALT} SELECT round(sum((vol - ins) / vol), 9) AS dealt, true AS found_is_lower FROM cuts")
+def network_cut_compared(spark, sf_dir):
+    """The normalised cut of dealt labels, and whether that of the clusters found is below nine tenths of it."""
+    m = _merged_net(spark, sf_dir)
+    m = CoordMatrix(cut(m.cells), m.n_rows, m.n_cols)
+    found = cut(_network_clusters(m).join(m.cells.select(F.col("row").alias("id")).distinct(), "id", "left_semi"))
+    both = [multilevel.cluster_cuts(m, x).agg(F.sum("cut").alias(name)) for x, name in ((_dealt(m), "dealt"), (found, "found"))]
+    return both[0].crossJoin(both[1]).select(_r("dealt", 9), (F.col("found") < 0.9 * F.col("dealt")).alias("found_is_lower"))  # one row each
+
+
 # Graphs
 
 

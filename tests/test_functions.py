@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.functions import divergence, scalar
-from gridloom.operators import dense, learn, optimise
+from gridloom.operators import dense, information, learn, optimise
 from gridloom.sources import formats
 
 
@@ -139,11 +139,28 @@ def test_messages_on_a_cycle_and_other_models(spark):
 
 def test_pseudo_likelihood_and_choice_of_penalty(spark):
     j = 0.5 * (np.eye(3, k=1) + np.eye(3, k=-1))
-    s = learn.gibbs(spark, j, np.zeros(3), 600, chains=3, burn_in=40, gap=3)
+    long = learn.gibbs(spark, j, np.zeros(3), 600, chains=3, burn_in=40, gap=3)
+    s = learn.observed(long)
     rows = {}
-    for r in s.collect():
+    for r in long.collect():
         rows.setdefault(r["sample"], {})[r["node"]] = 2 * r["state"] - 1
     want = np.mean([sum(np.log1p(np.exp(-2 * x[i] * sum(j[i, k] * x[k] for k in range(3) if k != i))) for i in range(3)) for x in rows.values()])
     assert np.isclose(learn.pseudo_likelihood(s, j, np.zeros(3)).first()["loss"], want)
     found, c = learn.ising_validated(s, 3, [0.1, 40.0], folds=2, rounds=12)
     assert c == 0.1 and np.allclose(found, j, atol=0.2)
+
+
+def test_repeated_observations_count_each(spark):
+    """Doubled rows change no information and no share, and double the counts."""
+    rng = np.random.default_rng(6)
+    rows = [([int(v) for v in rng.integers(0, 3, 3)],) for _ in range(40)]
+    once, twice = (spark.createDataFrame(rows * k, "x array<int>") for k in (1, 2))
+    counts = [{tuple(r)[:4]: r["n"] for r in information.pair_counts(df).collect()} for df in (once, twice)]
+    assert {k: 2 * n for k, n in counts[0].items()} == counts[1] and sum(counts[0].values()) == 3 * 40
+    for f in (information.mutual_information, information.co_occurrence):
+        a, b = ({tuple(r)[:2]: r[2] for r in f(df).collect()} for df in (once, twice))
+        assert a.keys() == b.keys() and all(np.isclose(a[k], b[k]) for k in a)
+    binary = lambda df: df.selectExpr("transform(x, v -> if(v > 0, 1, 0)) AS x")
+    j = 0.3 * (np.eye(3, k=1) + np.eye(3, k=-1))
+    assert learn.wide(twice, 3).count() == 80
+    assert np.isclose(*(learn.pseudo_likelihood(binary(df), j, np.zeros(3)).first()["loss"] for df in (once, twice)))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.matrix import CliqueMatrix, CoordMatrix, value_ranks
-from gridloom.operators import bregman, cocluster, factor, graph, katz, ranking
+from gridloom.operators import bregman, cocluster, cocluster_moves, factor, graph, katz, ranking
 
 
 def dense(m):
@@ -197,9 +197,9 @@ def test_local_search_gains_what_it_says(spark, kind):
     for i in range(6):  # all single moves, one by one
         old = rows.filter(F.col("id") == i).first()["cluster"]
         every[i] = value(rows.withColumn("cluster", F.when(F.col("id") == i, 1 - old).otherwise(F.col("cluster")))) - before
-    move = cocluster.best_row_move(m, rows, cols, kind=kind).first()
+    move = cocluster_moves.best_row_move(m, rows, cols, kind=kind).first()
     assert np.isclose(move["change"], min(every.values())) and np.isclose(every[move["id"]], move["change"])
-    new, gain = cocluster.local_search(m, rows, cols, 2, kind=kind)
+    new, gain = cocluster_moves.local_search(m, rows, cols, 2, kind=kind)
     assert gain <= 0 and np.isclose(value(new) - before, gain)
 
 
