@@ -44,18 +44,56 @@ def labelled(m: CoordMatrix, rows: DataFrame, cols: DataFrame) -> DataFrame:
     return m.cells.join(g, "row").join(h, "col")
 
 
-def approximation(z: DataFrame, basis: int, divergence: str) -> DataFrame:
-    """``z``: labelled cells. Adds ``fit``, the basis' approximation of each cell."""
+_COLUMNS = ("g", "h", "row", "col")
+
+
+def _set(name: str) -> int:
+    """The grouping id of a mean: a bit for each column that it does not group by."""
+    return sum(1 << (3 - k) for k, c in enumerate(_COLUMNS) if c not in _KEYS[name])
+
+
+def all_means(z: DataFrame, names: tuple[str, ...] = tuple(_KEYS)) -> DataFrame:
+    """(g, h, row, col, set, m): the means of labelled cells by all groupings named, from one pass; columns not grouped by are null."""
+    sets = [[F.col(c) for c in _KEYS[n]] for n in names]
+    return z.groupingSets(sets, *[F.col(c) for c in _COLUMNS]).agg(F.avg("value").alias("m"), F.grouping_id().cast("int").alias("set"))
+
+
+def with_means(z: DataFrame, names: tuple[str, ...] = tuple(_KEYS)) -> DataFrame:
+    """``z`` with a column m_name for each mean. Those of a row come in one join, as a number and one by column cluster; so do those of a column."""
+    means = cut(all_means(z, names))
+    of = lambda name: means.filter(F.col("set") == _set(name))
+    out = z
+    for axis, own, other, by in (("row", "r", "rh", "h"), ("col", "c", "gc", "g")):
+        wanted = [n for n in (own, other) if n in names]
+        if wanted:
+            each = means.filter(F.col("set").isin([_set(n) for n in wanted])).groupBy(axis).agg(
+                F.max(F.when(F.col("set") == _set(own), F.col("m"))).alias(f"m_{own}"),
+                F.map_from_entries(F.collect_list(F.when(F.col("set") == _set(other), F.struct(by, "m")))).alias("__by"),  # an entry a cluster
+            )
+            out = out.join(each, axis)
+            out = out.withColumn(f"m_{other}", F.element_at("__by", F.col(by))) if other in names else out
+            out = out.drop("__by", *([] if own in names else [f"m_{own}"]))
+    for name in ("gh", "g", "h", "all"):
+        if name in names:
+            small = of(name).select(*_KEYS[name], F.col("m").alias(f"m_{name}"))
+            out = out.join(small, _KEYS[name]) if _KEYS[name] else out.crossJoin(small)  # one row
+    return out
+
+
+def _fit(basis: int, divergence: str) -> Column:
     up, down = BASES[basis]
-    for name in (*up, *down):
-        means = z.groupBy(*_KEYS[name]).agg(F.avg("value").alias(f"m_{name}"))
-        z = z.join(means, _KEYS[name]) if _KEYS[name] else z.crossJoin(means)  # one row
     fit: Column = F.lit(1.0 if divergence == "i" else 0.0)
     for name in up:
         fit = fit * F.col(f"m_{name}") if divergence == "i" else fit + F.col(f"m_{name}")
     for name in down:
         fit = fit / F.col(f"m_{name}") if divergence == "i" else fit - F.col(f"m_{name}")
-    return z.withColumn("fit", fit)
+    return fit
+
+
+def approximation(z: DataFrame, basis: int, divergence: str) -> DataFrame:
+    """``z``: labelled cells. Adds ``fit``, the basis' approximation of each cell."""
+    up, down = BASES[basis]
+    return with_means(z, (*up, *down)).withColumn("fit", _fit(basis, divergence))
 
 
 def loss(divergence: str, value: Column, fit: Column) -> Column:
@@ -65,10 +103,18 @@ def loss(divergence: str, value: Column, fit: Column) -> Column:
 
 
 def objective(m: CoordMatrix, rows: DataFrame, cols: DataFrame, basis: int, divergence: str) -> DataFrame:
-    fitted = approximation(labelled(m, rows, cols), basis, divergence)
+    fitted = approximation(cut(labelled(m, rows, cols)), basis, divergence)
     return fitted.agg(F.sum(loss(divergence, F.col("value"), F.col("fit"))).alias("objective"))
 
 
+def objectives(m: CoordMatrix, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """(basis, divergence, objective) of all bases under both divergences; the matrix is read once."""
+    fitted = with_means(cut(labelled(m, rows, cols)))
+    kinds = [(b, d) for b in BASES for d in ("i", "e")]
+    sums = fitted.agg(*[F.sum(loss(d, F.col("value"), _fit(b, d))).alias(f"s{b}{d}") for b, d in kinds])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(b).alias("basis"), F.lit(d).alias("divergence"), F.col(f"s{b}{d}").alias("objective")) for b, d in kinds])).alias("o")).select("o.*")
+
+
 def reassign(m: CoordMatrix, rows: DataFrame, cols: DataFrame, basis: int, divergence: str, k: int, axis: str = "row") -> DataFrame:
     """New (id, cluster) of one axis: each row takes the cluster under whose means its cells fit best, the first of equal ones.
 

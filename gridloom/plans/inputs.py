@@ -92,3 +92,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAMPLES = """s0 AS MATERIALIZED (SELECT row_number() OVER () AS sample, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS a, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS b, (l_suppkey % 3)::INT AS c, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS d FROM lineitem),
 samples AS (SELECT sample, 0 AS node, a AS state FROM s0 UNION ALL SELECT sample, 1, b FROM s0 UNION ALL SELECT sample, 2, c FROM s0 UNION ALL SELECT sample, 3, d FROM s0)"""
+
+
+def three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as observations of four variables of three states each: key (names a line, repeated lines alike) and x."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    third = F.least(F.floor((F.col("l_quantity") - 1) / 17), F.lit(2)).cast("int")
+    x = F.array(flag, (F.col("l_suppkey") % 3).cast("int"), third, (F.col("l_partkey") % 3).cast("int"))
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), x.alias("x"))
+
+
+THREE_STATES = "s3 AS MATERIALIZED (SELECT row_number() OVER () AS r, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS a, (l_suppkey % 3)::INT AS b, least(floor((l_quantity - 1) / 17), 2)::INT AS c, (l_partkey % 3)::INT AS d FROM lineitem)"

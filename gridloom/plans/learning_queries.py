@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import divergence, scalar
 from ..matrix import CoordMatrix
-from ..operators import bregman, cocluster, cocluster_moves, cocluster_signed, experiments, factor, information, kmeans, learn, optimise, validity
+from ..operators import active_nmf, bregman, cocluster, cocluster_moves, cocluster_signed, experiments, factor, fields, generative, information, kmeans, learn, optimise, validity
 from ..session import cut
 from . import inputs as I  # noqa: E741, N812
 
@@ -166,13 +166,8 @@ _OBJ = " UNION ALL ".join(f"SELECT {b} AS basis, '{k}' AS divergence, round(sum(
 
 @query(f"WITH {_Z} {_OBJ}")
 def bregman_objectives(spark, sf_dir):
-    m, (rows, cols), out = I.user_part(spark, sf_dir), _labels(spark), None
-    m = CoordMatrix(cut(m.cells), m.n_rows, m.n_cols)  # read twelve times
-    for basis in bregman.BASES:
-        for kind in ("i", "e"):
-            own = bregman.objective(m, rows, cols, basis, kind).select(F.lit(basis).alias("basis"), F.lit(kind).alias("divergence"), _r("objective"))
-            out = own if out is None else out.unionByName(own)
-    return out
+    rows, cols = _labels(spark)
+    return bregman.objectives(I.user_part(spark, sf_dir), rows, cols).select("basis", "divergence", _r("objective"))
 
 
 @query(f"WITH {_Z}, b AS (SELECT g AS k, h, avg(value) AS mu FROM z GROUP BY 1, 2), d AS (SELECT row, k, round(sum((value - mu) * (value - mu)), 9) AS d FROM z JOIN b USING (h) GROUP BY 1, 2) SELECT row AS id, arg_min(k, d * 1e6 + k * 1e-6) AS cluster FROM d GROUP BY 1")
@@ -410,6 +405,33 @@ def nmf_kl_factors(spark, sf_dir):
     return b.select("id", F.transform("vec", lambda v: F.round(v, 5)).alias("vec"))
 
 
+_START = "(((id + 1) * (7919 + 104729 * (c + 1)) + id * id * (31 + c)) % 1000003) / 1000003.0 + 0.1"
+
+
+@query(f"WITH {I.NATION_NET}, f AS (SELECT id, c, {_START} AS v FROM range(25) a(id), range(3) b(c)), g AS (SELECT x.c AS p, y.c AS q, sum(x.v * y.v) AS g FROM f x JOIN f y USING (id) GROUP BY 1, 2), t AS (SELECT row AS id, c, sum(value * v) AS t FROM nn JOIN f ON f.id = col GROUP BY 1, 2), s AS (SELECT f.id, q AS c, sum(f.v * g) AS s FROM f JOIN g ON g.p = f.c GROUP BY 1, 2) SELECT f.id::BIGINT AS id, round(sqrt(sum(pow(least(f.v, s - coalesce(t, 0)), 2))), 5) AS residual FROM f JOIN s USING (id, c) LEFT JOIN t USING (id, c) GROUP BY 1")
+def nmf_residuals(spark, sf_dir):
+    """How far the rows of the start are from their optimum."""
+    m = I.nation_net(spark, sf_dir)
+    return active_nmf.residuals(m, factor.nonnegative_start(m, 3, "row"), factor.nonnegative_start(m, 3, "col"), 3).select("id", _r("residual", 5))
+
+
+@query("SELECT i::BIGINT AS id, true AS optimal FROM range(25) a(i)")
+def nmf_active_optimal(spark, sf_dir):
+    """Every row after exact active-set steps: its residual is nothing beside the one it had."""
+    m = I.nation_net(spark, sf_dir)
+    m = CoordMatrix(cut(m.cells), m.n_rows, m.n_cols)
+    b, c = factor.nonnegative_start(m, 3, "row"), factor.nonnegative_start(m, 3, "col")
+    before = active_nmf.residuals(m, b, c, 3).withColumnRenamed("residual", "before")
+    after = active_nmf.residuals(m, active_nmf.updated(m, b, c, 3, exact=True), c, 3)
+    return after.join(before, "id").select("id", (F.col("residual") <= 1e-8 * (1 + F.col("before"))).alias("optimal"))
+
+
+@query()
+def nmf_active_factors(spark, sf_dir):
+    b, _, _ = active_nmf.active_set_nmf(I.nation_net(spark, sf_dir), 3, rounds=3)
+    return b.select("id", F.transform("vec", lambda v: F.round(v, 4)).alias("vec"))
+
+
 @query()
 def nmf_masked(spark, sf_dir):
     b, _, _ = factor.masked_nmf(I.user_part(spark, sf_dir), 2, rounds=3)
@@ -499,6 +521,150 @@ def ising_pseudo_likelihood(spark, sf_dir):
     return learn.pseudo_likelihood(s, _chain(0.2, 4), np.full(4, 0.1)).select(_r("loss", 9))
 
 
+# Fields of three states on a chain of four variables
+
+
+def _field() -> fields.Field:
+    blocks = {}
+    for a in range(3):
+        b = np.zeros((3, 3))
+        b[:2, :2] = 0.3 * np.outer([1, 2], [1, 2]) / (2 * a + 2)
+        blocks[a, a + 1] = b
+    return fields.Field(np.array([[0.1 * (s - i) for s in range(3)] for i in range(4)]), blocks)
+
+
+_FIELD = f"""{I.THREE_STATES}, own AS (SELECT node, s, 0.1 * (s - node) AS e FROM range(4) a(node), range(3) b(s)), blk AS (SELECT a, a + 1 AS b, s, t, CASE WHEN s < 2 AND t < 2 THEN 0.3 * ((s + 1) * (t + 1)) / (2 * a + 2) ELSE 0 END AS e FROM range(3) g(a), range(3) q(s), range(3) w(t)),
+seen AS (SELECT a AS node, b AS o, s, t, e FROM blk UNION ALL SELECT b, a, t, s, e FROM blk)"""
+_CONDITIONALS = f"""{_FIELD}, u AS (SELECT concat_ws(',', a, b, c, d) AS x, a, b, c, d, count(*) AS n FROM s3 GROUP BY ALL), v AS (SELECT x, n, unnest([0, 1, 2, 3]) AS node, unnest([a, b, c, d]) AS state FROM u),
+sc AS (SELECT v.x, v.n, v.node, v.state, own.s, own.e + sum(seen.e) AS e FROM v JOIN own USING (node) JOIN seen ON seen.node = v.node AND seen.s = own.s JOIN v w ON w.x = v.x AND w.node = seen.o AND w.state = seen.t GROUP BY 1, 2, 3, 4, 5, own.e), pr AS (SELECT *, exp(e) / sum(exp(e)) OVER (PARTITION BY x, node) AS p FROM sc)"""
+
+
+@query(f"WITH {_CONDITIONALS} SELECT x, n, node, s AS state, round(p, 9) AS p FROM pr")
+def field_conditionals(spark, sf_dir):
+    rows = fields.conditionals(I.three_states(spark, sf_dir), _field())
+    each = rows.select(F.array_join("x", ",").alias("x"), "n", F.posexplode("p").alias("node", "q"))
+    return each.select("x", "n", "node", F.posexplode("q").alias("state", "p")).select("x", "n", "node", "state", _r("p", 9))
+
+
+@query(f"WITH {_CONDITIONALS} SELECT round(4 * sum(-ln(p) * n) / sum(n), 9) AS loss FROM pr WHERE s = state")
+def field_pseudo_likelihood(spark, sf_dir):
+    return fields.pseudo_likelihood(I.three_states(spark, sf_dir), _field()).select(_r("loss", 9))
+
+
+def _class_sql(before: str, after: str, members: str) -> str:
+    """One colour class drawn: the running sum of probabilities against a number from MD5."""
+    return f"""{after}p AS (SELECT v.r, v.key, v.node, own.s, exp(own.e + sum(seen.e)) AS e FROM {before} v JOIN own USING (node) JOIN seen ON seen.node = v.node AND seen.s = own.s JOIN {before} w ON w.r = v.r AND w.node = seen.o AND w.state = seen.t WHERE v.node IN ({members}) GROUP BY 1, 2, 3, 4, own.e),
+{after}c AS (SELECT *, sum(e) OVER (PARTITION BY r, node ORDER BY s) / sum(e) OVER (PARTITION BY r, node) AS cum, ('0x' || substr(md5(concat_ws(',', 1, 0, key, node)), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM {after}p),
+{after} AS MATERIALIZED (SELECT r, key, node, state FROM {before} WHERE node NOT IN ({members}) UNION ALL SELECT r, key, node, least(count(*) FILTER (cum <= u), 2)::INT FROM {after}c GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_FIELD}, g0 AS MATERIALIZED (SELECT r, key, unnest([0, 1, 2, 3]) AS node, unnest([a, b, c, d]) AS state FROM s3), {_class_sql('g0', 'g1', '0, 2')}, {_class_sql('g1', 'g2', '1, 3')} SELECT p.node AS a, q.node AS b, p.state AS s, q.state AS t, count(*) AS n FROM g2 p JOIN g2 q ON p.r = q.r AND p.node < q.node GROUP BY 1, 2, 3, 4")
+def field_gibbs_sweep(spark, sf_dir):
+    """Joint states of all pairs after one sweep from the order lines."""
+    return information.pair_counts(fields.gibbs(I.three_states(spark, sf_dir), _field(), 1))
+
+
+@query(f"WITH {_CONDITIONALS}, f AS (SELECT x, node AS other, state AS other_state FROM v WHERE state < 2 UNION ALL SELECT DISTINCT x, -1, 0 FROM v) SELECT pr.node, s AS state, other, other_state, round(sum(n * (p - CASE WHEN s = state THEN 1 ELSE 0 END)), 6) AS g FROM pr JOIN f ON f.x = pr.x AND f.other <> pr.node WHERE s < 2 GROUP BY 1, 2, 3, 4")
+def field_gradient(spark, sf_dir):
+    """The gradients of all variables' regressions in one pass, at the chain's parameters; other -1: the intercept."""
+    f = _field()
+    w = np.zeros((9, 8))
+    for i in range(4):
+        w[0, 2 * i : 2 * i + 2] = f.own[i, :2] - f.own[i, 2]
+        for j in f.neighbours(i):
+            w[1 + 2 * j : 3 + 2 * j, 2 * i : 2 * i + 2] = f.block(i, j)[:2, :2].T
+    counted = I.three_states(spark, sf_dir).groupBy("x").agg(F.count("*").alias("n"))
+    sums = fields.neighbourhood_sums(counted, w, 4, 3).filter("i >= 0")
+    named = sums.select(F.floor(F.col("j") / 2).cast("int").alias("node"), (F.col("j") % 2).alias("state"), F.when(F.col("i") == 0, -1).otherwise(F.floor((F.col("i") - 1) / 2)).cast("int").alias("other"), F.when(F.col("i") == 0, 0).otherwise((F.col("i") - 1) % 2).alias("other_state"), _r("v").alias("g"))
+    return named.filter("node <> other")
+
+
+@query()
+def field_path(spark, sf_dir):
+    """Norms of the couplings that each variable's regression gives to each other one, for three penalties."""
+    steps = fields.neighbourhood_path(I.three_states(spark, sf_dir), 4, 3, [0.02, 0.005, 0.001], rounds=40)
+    rows = [(s.penalty, i, j, round(float(fields.block_norms(s, 4, 3)[j, i]), 4)) for s in steps for i in range(4) for j in range(4) if i != j]
+    return spark.createDataFrame(rows, "penalty double, node int, other int, norm double")
+
+
+# Trees by class: whether a line is large (the third variable's upper state) from the other three
+
+
+def _by_size(spark, sf_dir):
+    return I.three_states(spark, sf_dir).select("key", F.array(*[F.col("x")[k] for k in (0, 1, 3)]).alias("x"), (F.col("x")[2] == 2).cast("int").alias("y"))
+
+
+_TREE = f"""{I.THREE_STATES}, o AS (SELECT (c = 2)::INT AS y, a, b, d, count(*) AS n FROM s3 GROUP BY ALL), ys AS (SELECT y, sum(n) AS n FROM o GROUP BY 1),
+ra AS (SELECT y, s, ln((coalesce(sum(n) FILTER (a = s), 0) + 1) / (sum(n) + 3)) AS l FROM o, range(3) t(s) GROUP BY 1, 2),
+rb AS (SELECT y, p, s, ln((coalesce(sum(n) FILTER (a = p AND b = s), 0) + 1) / (coalesce(sum(n) FILTER (a = p), 0) + 3)) AS l FROM o, range(3) u(p), range(3) t(s) GROUP BY 1, 2, 3),
+rd AS (SELECT y, p, s, ln((coalesce(sum(n) FILTER (b = p AND d = s), 0) + 1) / (coalesce(sum(n) FILTER (b = p), 0) + 3)) AS l FROM o, range(3) u(p), range(3) t(s) GROUP BY 1, 2, 3),
+x AS (SELECT DISTINCT a, b, d FROM o), lp AS (SELECT x.a, x.b, x.d, ys.y, ln(ys.n / (SELECT sum(n) FROM ys)) + ra.l + rb.l + rd.l AS l FROM x, ys JOIN ra ON ra.y = ys.y AND ra.s = x.a JOIN rb ON rb.y = ys.y AND rb.p = x.a AND rb.s = x.b JOIN rd ON rd.y = ys.y AND rd.p = x.b AND rd.s = x.d)"""
+
+
+@query(f"WITH {_TREE} SELECT concat_ws(',', a, b, d) AS x, round(sum(CASE WHEN y = 1 THEN l ELSE -l END), 9) AS log_odds FROM lp GROUP BY a, b, d")
+def tree_log_odds(spark, sf_dir):
+    """Log-odds of a large line under trees of given shape, by distinct observation."""
+    df = _by_size(spark, sf_dir)
+    model = generative.fit_trees(df, 3, 3, parents=[-1, 0, 1])
+    return df.select("x").distinct().select(F.array_join("x", ",").alias("x"), F.round(model.log_odds(), 9).alias("log_odds"))
+
+
+@query(f"WITH {_TREE}, best AS (SELECT a, b, d, y FROM lp QUALIFY row_number() OVER (PARTITION BY a, b, d ORDER BY round(l, 12) DESC, y) = 1) SELECT round(sum(n) FILTER (o.y <> best.y) / sum(n), 9) AS error FROM o JOIN best USING (a, b, d)")
+def tree_error(spark, sf_dir):
+    """The share of lines whose class these trees miss."""
+    df = _by_size(spark, sf_dir)
+    model = generative.fit_trees(df, 3, 3, parents=[-1, 0, 1])
+    return spark.createDataFrame([(round(generative.misclassified(df, model.predicted()), 9),)], "error double")
+
+
+@query()
+def classifier_curves(spark, sf_dir):
+    """Errors of trees and of logistic regression by sample size, on lines whose key's hash is even."""
+    df = _by_size(spark, sf_dir)
+    even = F.xxhash64("key") % 2 == 0
+    out = generative.learning_curves(df.filter(~even), df.filter(even), 3, 3, [100, 400, 1600], trials=3)
+    return out.select("size", _r("generative"), _r("discriminative"))
+
+
+@query()
+def recovery_trials(spark, sf_dir):
+    """How often the edges found in samples of the lines are those found in all of them."""
+    df = I.three_states(spark, sf_dir)
+    whole = fields.block_norms(fields.neighbourhood_path(df, 4, 3, [0.01], rounds=40)[0], 4, 3)
+    truth = {(a, b) for a in range(4) for b in range(a + 1, 4) if max(whole[a, b], whole[b, a]) > 0.05}
+    edges = generative.trial_edges(df, 4, 3, [200, 800], [0.05, 0.01], trials=3, rounds=60)
+    return generative.success_curve(edges, truth).select("size", "penalty", _r("success"), _r("differing"))
+
+
+_NET_FIELD = f"{I.NATION_SPARSE}, st AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'AUTOMOBILE' THEN 1 WHEN 'MACHINERY' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS chain, c_nationkey::BIGINT AS node, (count(*) % 3)::INT AS state FROM customer GROUP BY 1, 2)"
+
+
+def _net_field(spark, sf_dir):
+    """States of nations by market segment, and a field on the sparse net that likes equal neighbours."""
+    segment = F.lit(4)
+    for k, name in enumerate(("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD")):
+        segment = F.when(F.col("c_mktsegment") == name, k).otherwise(segment)
+    states = I.table(spark, sf_dir, "customer").groupBy(segment.alias("chain"), F.col("c_nationkey").cast("bigint").alias("node")).agg((F.count("*") % 3).cast("int").alias("state"))
+    own = spark.range(25).select(F.col("id").alias("node"), F.array(F.lit(0.0), F.lit(0.1), F.lit(0.2)).alias("own"))
+    block = F.array(*[F.lit(0.2 if s == t else 0.0) for s in range(3) for t in range(3)])
+    edges = I.nation_net(spark, sf_dir, sparse=True).upper(diagonal=False).cells.select(F.col("row").alias("a"), F.col("col").alias("b"), block.alias("block"))
+    return states, fields.FieldTables(own, edges, 3)
+
+
+@query(f"WITH {_NET_FIELD}, e AS (SELECT a.chain, a.node, s, 0.1 * s + 0.2 * count(b.node) AS e FROM st a CROSS JOIN range(3) t(s) LEFT JOIN ns ON ns.row = a.node AND ns.row <> ns.col LEFT JOIN st b ON b.chain = a.chain AND b.node = ns.col AND b.state = s GROUP BY 1, 2, 3) SELECT chain, node, s AS state, round(exp(e) / sum(exp(e)) OVER (PARTITION BY chain, node), 9) AS p FROM e")
+def net_conditionals(spark, sf_dir):
+    states, f = _net_field(spark, sf_dir)
+    return fields.table_conditionals(states, f).select("chain", "node", F.posexplode("p").alias("state", "p")).select("chain", "node", "state", _r("p", 9))
+
+
+@query()
+def net_gibbs(spark, sf_dir):
+    """States after two sweeps by colour classes of the net."""
+    states, f = _net_field(spark, sf_dir)
+    f = fields.FieldTables(f.own, cut(f.couplings), 3)
+    return fields.table_gibbs(cut(states), f, fields.colouring(f.couplings, f.own), 2)
+
+
 @query()
 def gibbs_samples(spark, sf_dir):
     j = np.zeros((4, 4))

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import CoordMatrix
+from ..session import cut
+
+#: Places of a compressed matrix that are handled together: a block's columns are found by one sort.
+BLOCK = 1 << 16
 
 VALUE_TYPES = {"float64": "<f8", "uint8": "u1"}
 
@@ -33,11 +37,29 @@ def read_network(spark: SparkSession, users: str, user_user: str, user_group: st
     return uu.join(left, "row", "left_semi").join(right, "col", "left_semi"), ug.join(left, "row", "left_semi")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` of (value, file, start) as Spark reads them, with n: their place, from 0, in the order of the files' names and of the ranges within files.
+
+    Spark splits text files by byte ranges, each read in order by one task. The driver gets the number of rows of each range."""
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    ranges = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("size")).orderBy("file", "start").collect()  # one row a byte range
+    before, table = 0, []
+    for r in ranges:
+        table.append((r["file"], r["start"], before - r["first"]))
+        before += r["size"]
+    shift = rows.sparkSession.createDataFrame(table, "file string, start bigint, shift bigint")
+    return rows.join(F.broadcast(shift), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("n"), "value")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
 def read_dense(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(row, col, value) of numbers in lines; with ``header`` the first line gives the shape. One file, in its own order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    """(row, col, value) of numbers in lines; with ``header`` the first line gives the shape. A file, or a folder of files in the order of their names."""
+    lines = _placed(_lines(spark, path))
     lines = lines.filter("n > 0").withColumn("n", F.col("n") - 1) if header else lines
-    return lines.filter(F.trim("line") != "").select(F.col("n").cast("bigint").alias("row"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).select("row", F.col("col").cast("bigint").alias("col"), F.col("v").cast("double").alias("value")).filter("value <> 0")
+    return lines.filter(F.trim("value") != "").select(F.col("n").alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v")).select("row", F.col("col").cast("bigint").alias("col"), F.col("v").cast("double").alias("value")).filter("value <> 0")
 
 
 def read_labels(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
@@ -58,21 +80,51 @@ def write_labels(labels: DataFrame, path: str, offset: int = 0) -> None:
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("n", "v"))
+    """(n, v): the words of a file, or of a folder of files, with their places."""
+    words = _lines(spark, path).select(F.explode(F.split("value", r"\s+")).alias("value"), "file", "start").filter("value <> ''")
+    return _placed(words).withColumnRenamed("value", "v")
 
 
 def read_ccs_text(spark: SparkSession, name: str, scaling: str = "txx") -> tuple[CoordMatrix, list[int]]:
-    """Four files <name>_dim, _row_ccs, _col_ccs and _<scaling>_nz; also the ids of empty columns."""
+    """Four files, or folders of files, <name>_dim, _row_ccs, _col_ccs and _<scaling>_nz; also the ids of empty columns.
+
+    A place's column is the last one that begins at or before it; places are dealt by blocks, and a column that goes on into a block begins there again, so a column
+    of any size is read by many tasks."""
     r, c = (int(x["v"]) for x in _numbers(spark, f"{name}_dim").filter("n < 2").orderBy("n").collect())
     pointers = _numbers(spark, f"{name}_col_ccs").select("n", F.col("v").cast("bigint").alias("p"))
-    spans = pointers.select("n", "p", F.lead("p").over(Window.orderBy("n")).alias("q")).filter("q is not null")  # one row a column
-    cols = spans.filter("q > p").select(F.col("n").cast("bigint").alias("col"), F.explode(F.sequence("p", F.col("q") - 1)).alias("at"))
-    rows = _numbers(spark, f"{name}_row_ccs").select(F.col("n").cast("bigint").alias("at"), F.col("v").cast("bigint").alias("row"))
-    values = _numbers(spark, f"{name}_{scaling}_nz").select(F.col("n").cast("bigint").alias("at"), F.col("v").cast("double").alias("value"))
-    cells = cols.join(rows, "at").join(values, "at").select("row", "col", "value")
+    spans = pointers.join(pointers.select((F.col("n") - 1).alias("n"), F.col("p").alias("q")), "n")
+    blocks = F.sequence(F.floor(F.col("p") / BLOCK), F.floor((F.col("q") - 1) / BLOCK))
+    none = F.lit(None)
+    starts = spans.filter("q > p").select("n", "p", F.explode(blocks).alias("block")).select("block", F.greatest("p", F.col("block") * BLOCK).alias("at"), F.col("n").alias("col"), none.cast("bigint").alias("row"), none.cast("double").alias("value"))
+    rows = _numbers(spark, f"{name}_row_ccs").select(F.col("n").alias("at"), F.col("v").cast("bigint").alias("row"))
+    values = _numbers(spark, f"{name}_{scaling}_nz").select(F.col("n").alias("at"), F.col("v").cast("double").alias("value"))
+    places = rows.join(values, "at").select(F.floor(F.col("at") / BLOCK).alias("block"), "at", none.cast("bigint").alias("col"), "row", "value")
+    upto = Window.partitionBy("block").orderBy("at", F.col("col").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    cells = starts.unionByName(places).withColumn("col", F.last("col", ignorenulls=True).over(upto)).filter("row is not null").select("row", "col", "value")
     return CoordMatrix(cells, r, c), [x["n"] for x in spans.filter("q = p").select("n").orderBy("n").collect()]
 
 
+def write_ccs_text(m: CoordMatrix, name: str, scaling: str = "txx") -> None:
+    """The same four as folders of part files: laid one after the other in the order of their names, the parts are the file.
+
+    Cells are sorted by ranges of (column, row); column pointers are prefix sums within blocks of columns behind the sums of the blocks before."""
+    spark = m.cells.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = cut(m.cells.repartitionByRange(tasks, "col", "row").sortWithinPartitions("col", "row").select("row", "col", "value"))  # rows and values in one order
+    save = lambda df, end: df.write.mode("overwrite").text(f"{name}_{end}")
+    save(cells.select(F.col("row").cast("string")), "row_ccs")
+    save(cells.select(F.col("value").cast("string")), f"{scaling}_nz")
+    counts = cells.groupBy("col").agg(F.count("*").alias("k"))
+    every = spark.range(m.n_cols + 1).select(F.col("id").alias("col"), F.floor(F.col("id") / BLOCK).alias("block"))
+    every = cut(every.join(counts, "col", "left").select("col", "block", F.coalesce("k", F.lit(0)).alias("k")))
+    sums = every.groupBy("block").agg(F.sum("k").alias("s"))
+    before = sums.select("block", (F.sum("s").over(Window.orderBy("block")) - F.col("s")).alias("before"))  # one row a block of columns
+    own = F.sum("k").over(Window.partitionBy("block").orderBy("col")) - F.col("k")
+    pointers = every.withColumn("own", own).join(before, "block").select("col", (F.col("own") + F.col("before")).alias("p"))
+    save(pointers.repartitionByRange(tasks, "col").sortWithinPartitions("col").select(F.col("p").cast("string")), "col_ccs")
+    save(spark.createDataFrame([(f"{m.n_rows} {m.n_cols} {cells.count()}",)], "value string"), "dim")
+
+
 def _decoded(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +166,12 @@ def from_compressed(spark: SparkSession, rows: list[int], pointers: list[int], v
 
 
 def write_coclusters(rows: DataFrame, cols: DataFrame, path: str) -> None:
-    """One row for each row cluster and column cluster with its ids, sorted; empty ones do not occur."""
-    side = lambda x, name: x.groupBy("cluster").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("ids")).select(F.lit(name).alias("side"), "cluster", "size", "ids")
-    side(rows, "row").unionByName(side(cols, "col")).write.mode("overwrite").parquet(path)
+    """(side, cluster, id), and sign where labels have one, in that order."""
+    signs = "sign" in rows.columns or "sign" in cols.columns
+    sign = lambda x: [F.col("sign") if "sign" in x.columns else F.lit(1).alias("sign")] if signs else []
+    side = lambda x, name: x.select(F.lit(name).alias("side"), "cluster", "id", *sign(x))
+    both = side(rows, "row").unionByName(side(cols, "col"))
+    both.repartitionByRange("side", "cluster", "id").sortWithinPartitions("side", "cluster", "id").write.mode("overwrite").parquet(path)
 
 
 def merge_series(*series: DataFrame) -> DataFrame:

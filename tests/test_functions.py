@@ -164,3 +164,44 @@ def test_repeated_observations_count_each(spark):
     j = 0.3 * (np.eye(3, k=1) + np.eye(3, k=-1))
     assert learn.wide(twice, 3).count() == 80
     assert np.isclose(*(learn.pseudo_likelihood(binary(df), j, np.zeros(3)).first()["loss"] for df in (once, twice)))
+
+
+def test_compressed_text_round_trip_in_several_tasks(spark, tmp_path, monkeypatch):
+    from gridloom.matrix import CoordMatrix
+
+    monkeypatch.setattr(formats, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    a = rng.integers(-4, 9, (60, 50)) * (rng.random((60, 50)) < 0.2) / 4
+    a[:, 7] = np.arange(1, 61)  # a column over several blocks
+    a[:, [0, 20, 49]] = 0
+    m = CoordMatrix.from_rows(spark, [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], a.shape)
+    name = str(tmp_path / "m")
+    formats.write_ccs_text(m, name)
+    assert len(list((tmp_path / "m_row_ccs").glob("part-*"))) > 1
+    whole = lambda end: [w for p in sorted((tmp_path / f"m_{end}").glob("part-*")) for w in p.read_text().split()]
+    order = sorted((j, i) for i, j in zip(*np.nonzero(a), strict=True))
+    assert whole("row_ccs") == [str(i) for _, i in order] and [float(v) for v in whole("txx_nz")] == [a[i, j] for j, i in order]
+    assert [int(p) for p in whole("col_ccs")] == np.concatenate([[0], np.cumsum((a != 0).sum(axis=0))]).tolist()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        for end in ("row_ccs", "col_ccs", "txx_nz", "dim"):  # as one file each, cut by Spark in ranges of a few bytes
+            (tmp_path / f"one_{end}").write_text("\n".join(whole(end)) + "\n")
+        for source in (name, str(tmp_path / "one")):
+            back, empty = formats.read_ccs_text(spark, source)
+            assert (back.n_rows, back.n_cols) == (60, 50) and empty == [int(j) for j in np.flatnonzero(~(a != 0).any(axis=0))]
+            assert sorted(map(tuple, back.cells.collect())) == sorted((int(i), int(j), float(a[i, j])) for j, i in order)
+        (tmp_path / "dense").write_text("60 50\n" + "\n".join(" ".join(str(v) for v in row) for row in a) + "\n")
+        got = sorted(map(tuple, formats.read_dense(spark, str(tmp_path / "dense")).collect()))
+        assert got == sorted((int(i), int(j), float(a[i, j])) for j, i in order)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_empty_matrix_in_text(spark, tmp_path):
+    from gridloom.matrix import CoordMatrix
+
+    formats.write_ccs_text(CoordMatrix(spark.createDataFrame([], "row bigint, col bigint, value double"), 2, 3), str(tmp_path / "e"))
+    back, empty = formats.read_ccs_text(spark, str(tmp_path / "e"))
+    assert (back.n_rows, back.n_cols, back.cells.count(), empty) == (2, 3, 0, [0, 1, 2])
