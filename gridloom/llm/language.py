@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes
@@ -150,17 +150,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], s: Settin
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Learn from the rows of ``docs`` with a language, a bounded sample of each."""
+    """Learn from the rows of ``docs`` with a language: of each the ids of the smallest hashes, ``rows_per_language`` at most, however many rows an id has."""
     known = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return train([], [], s)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = None
-    for lang, n in sorted(counts.items()):
-        test = (F.col("label") == lang) & (place < min(1.0, s.rows_per_language / n))
-        wanted = test if wanted is None else wanted | test
-    bags, langs = collected_bags(known.filter(wanted & F.col("text").isNotNull()), partial(_bag, s=s))
+    known = known.filter("text is not null")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("label", "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= s.rows_per_language).drop("place")
+    bags, langs = collected_bags(known.join(F.broadcast(ids), ["label", "doc_id"]), partial(_bag, s=s))  # at most rows_per_language ids a language
     return train(bags, langs, s)
 
 

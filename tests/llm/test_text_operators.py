@@ -409,6 +409,58 @@ def test_language_learns_from_long_texts_alone(spark):
 # 8 Language
 
 
+def test_no_language_is_lost_by_rows_of_few_ids(spark):
+    german, english = "der Hund und die Katze sind nicht im Haus", "the dog and the cat are not in the house"
+    rows = [(i, f"{english} {i}", "en") for i in range(300)] + [(1000 + i % 5, f"{german} {i}", "de") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ("de", "en")
+    said = {(r["doc_id"] >= 1000, r["lang_pred"]) for r in language.predicted(docs, model).collect()}
+    assert said == {(True, "de"), (False, "en")}
+
+
+def test_language_prediction_against_plain_votes(spark, docs):
+    """The predictor's sums and votes against one weight after the other."""
+    s = language.Settings()
+    rows = docs.filter("lang is not null").select("text", "lang").limit(60).collect()
+    bags = [language._bag((r["text"] or "").encode(), s) for r in rows]
+    model = language.train(bags, [r["lang"] for r in rows], s)
+
+    def plain(ids, share):
+        margin = {p: float((model.weights[k][ids] * share).sum() + model.biases[k]) for k, p in enumerate(model.pairs)}
+
+        def winner(level, names):
+            votes, total, weakest = (dict.fromkeys(names, x) for x in (0, 0.0, np.inf))
+            for (at, a, b), m in margin.items():
+                if at == level and a in names:
+                    for name, own, wins in ((a, m, m >= 0), (b, -m, m < 0)):
+                        votes[name], total[name], weakest[name] = votes[name] + wins, total[name] + own, min(weakest[name], own)
+            return max(names, key=lambda x: (votes[x], total[x], [-ord(c) for c in x])), weakest
+
+        family, sure = winner("", sorted(set(model.families.values())))
+        name, inner = winner(family, sorted(x for x in model.languages if model.families[x] == family))
+        shape = lambda m: 1.0 if np.isinf(m) else 1 / (1 + np.exp(-np.clip(4 * m, -30, 30)))
+        return name, shape(sure[family]) * shape(inner[name])
+
+    said, score = model.predictor()([(r["text"] or "").encode() for r in rows])
+    for k, (ids, share) in enumerate(bags):
+        if len(ids):
+            name, value = plain(ids, share)
+            assert said[k] == name and np.isclose(score[k], value, atol=1e-4)
+
+
+def test_quality_score_against_plain_forward_pass(spark, docs):
+    s = quality.Settings()
+    texts = [(t or "").encode() for (t,) in docs.select("text").limit(50).collect()]
+    model = quality.train([quality._bag(t, s) for t in texts], [k % 2 for k in range(len(texts))], 0.5, s)
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(df, model).collect()}
+    for k, t in enumerate(texts):
+        ids, share = quality._bag(t, s)
+        z = float((model.weights[ids] * share).sum() + model.bias) if len(ids) else model.bias
+        assert np.isclose(got[k], 1 / (1 + np.exp(-z)), atol=1e-4)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -606,6 +658,6 @@ def test_pivot_differences_never_exceed_the_distance():
 
 
 def test_one_of_each_group_stays(edge):
-    kept = [r["doc_id"] for r in simhash.keep_one_each(edge).collect()]
+    kept = [r["doc_id"] for r in simhash.keep_one_each(edge, likeness=None).collect()]
     groups = {r["component_id"] for r in simhash.near_documents(edge).collect()}
     assert set(kept) == groups
