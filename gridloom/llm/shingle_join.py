@@ -2,8 +2,9 @@
 
 A text is the set of hashes of its SHINGLE-word shingles (fewer words: one shingle; no word: one empty
 shingle). Equal sets are one node, so copies cost one entry. Candidates meet if one of BANDS bands of ROWS
-minima of the set agrees and their WIDTH-bit SimHashes of the set differ in RADIUS or fewer bits; a pair of
-similarity 0.8 fails to meet with a probability near (1 - 0.8**ROWS)**BANDS = 3e-6, a more similar one with less.
+minima of the set agrees, their sizes fit the similarity and their WIDTH-bit SimHashes of the set differ in no more bits than ``radius`` allows; a pair of
+similarity 0.8 fails to meet with a probability near (1 - 0.8**ROWS)**BANDS = 3e-6, a more similar one with less. The texts of a band that more than CROWD
+share are dealt again: by classes of size, of which alike texts are in one or in neighbours, and then by pairs of blocks, so no task compares more than about 2 * CROWD.
 Each run of candidates gives a spanning forest only. The components of candidates are coarse: their texts are
 brought together, and their links found by the exact similarity of the sets. A component of more than CHUNK
 texts is dealt to chunks: each finds the links among its own texts and to the component's first text, and then the texts that
@@ -13,6 +14,7 @@ that leaves few; only a component of many texts without a common class costs the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ from .links import components
 SEED = 42
 SHINGLE = 5
 BANDS, ROWS = 24, 4
-WIDTH, RADIUS = 256, 80
+WIDTH = 256
+#: Texts of one band that a task compares.
+CROWD = 4096
 MEMO_WORDS = 200_000
 
 #: Texts, and their shingles, of a coarse component that one task verifies.
@@ -107,21 +111,39 @@ def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, fp and the words of the SimHash, all rows of a key in one task -> a long, b long."""
+def radius(likeness: float, size: np.ndarray) -> np.ndarray:
+    """Bits in which SimHashes of sets this alike may differ. A bit differs with a probability of at most arccos(2 l / (1 + l)) / pi; what is allowed is five
+    standard deviations above the mean of that, and a little more for sets of a few shingles, whose bits are often ties."""
+    p = np.arccos(min(1.0, 2 * likeness / (1 + likeness))) / np.pi
+    return np.ceil(WIDTH * p + 5.1 * np.sqrt(WIDTH * p * (1 - p))) + np.where(size < 8, 12, 0)
+
+
+def _candidates(likeness: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """key, fp, size and the words of the SimHash, all rows of a key in one task -> a long, b long."""
+    return lambda batches: _compared(batches, likeness)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    key, fp = (t.column(c).to_numpy() for c in ("key", "fp"))
+    key, fp, size = (t.column(c).to_numpy() for c in ("key", "fp", "size"))
     wide = np.stack([t.column(f"w{k}").to_numpy() for k in range(WIDTH // 64)], axis=1).view(np.uint64)
     by = np.argsort(key, kind="stable")
-    key, fp, wide = key[by], fp[by], wide[by]
+    key, fp, wide, size = key[by], fp[by], wide[by], size[by]
+    most = radius(likeness, size)
     edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
     found: list[tuple[int, int]] = []
     for start, stop in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist(), strict=True):
-        own = wide[start:stop]
-        near = lambda a, others, own=own: np.bitwise_count(own[others] ^ own[a]).sum(axis=1, dtype=np.int32) <= RADIUS
+        own, large, far = wide[start:stop], size[start:stop], most[start:stop]
+
+        def near(a: int, others: np.ndarray, own=own, large=large, far=far) -> np.ndarray:
+            hit = np.minimum(large[others], large[a]) >= likeness * np.maximum(large[others], large[a])
+            some = others[hit]
+            hit[hit] = np.bitwise_count(own[some] ^ own[a]).sum(axis=1, dtype=np.int32) <= np.maximum(far[some], far[a])
+            return hit
+
         found += [(start + a, start + b) for a, b in _forest(stop - start, near)]
     a, b = np.array(found, np.int64).reshape(-1, 2).T
     yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
@@ -192,11 +214,26 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return slim.mapInArrow(_sketched, _ROW)
 
 
+def dealt(spread: DataFrame, likeness: float) -> DataFrame:
+    """``spread``: key, fp, size and others; rows of one key are to be compared. The same with no key of many more than CROWD rows."""
+    crowded = scratch(spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "crowded-bands")
+    if crowded.isEmpty():
+        return spread
+    others = [c for c in spread.columns if c != "key"]
+    own = F.floor(F.log("size") / max(-math.log(likeness), 1e-9)).cast("long")
+    by_size = spread.join(crowded, "key").select("key", F.explode(F.array(own, own + 1)).alias("__class"), *others).select(F.xxhash64("key", "__class").alias("key"), *others)
+    still = scratch(by_size.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("__blocks")).filter("__blocks > 1"), "crowded-sizes")
+    block = F.pmod(F.xxhash64("fp", F.lit(7)), "__blocks")
+    pairs = by_size.join(still, "key").withColumn("__own", block).select("key", "__own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__with"), *others)
+    pairs = pairs.select(F.xxhash64("key", F.least("__own", "__with"), F.greatest("__own", "__with")).alias("key"), *others)
+    return spread.join(crowded, "key", "left_anti").unionByName(by_size.join(still, "key", "left_anti")).unionByName(pairs)
+
+
 def roots(nodes: DataFrame, n: int, docs: DataFrame, likeness: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``nodes``: fp, low (unknown, doc_id and h of a row of ``docs`` that has it), size, wide, bands; ``n`` of them. Returns fp and root for every fp that links to another one."""
     words = [F.col("wide")[k].alias(f"w{k}") for k in range(WIDTH // 64)]
-    spread = nodes.select(F.explode("bands").alias("key"), "fp", *words)
-    links = spread.repartition(max(12, n * BANDS // 400_000), "key").mapInArrow(_candidates, "a long, b long")
+    spread = nodes.select(F.explode("bands").alias("key"), "fp", "size", *words)
+    links = dealt(spread, likeness).repartition(max(12, n * BANDS // 400_000), "key").mapInArrow(_candidates(likeness), "a long, b long")
     coarse = scratch(components(scratch(links.distinct(), "candidates")).join(nodes.select("fp", "low", "size"), "fp"), "coarse")
     parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
     split = coarse.groupBy("root").agg(parts.alias("chunks"))

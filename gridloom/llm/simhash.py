@@ -210,7 +210,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", likeness: float | None = None) -> DataFrame:
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", likeness: float | None = 0.8) -> DataFrame:
     """The rows of ``docs``, whole, of which each group of near copies keeps its smallest doc_id; rows equal in id and text stay together."""
     kept = near_groups(docs, doc_id, text, likeness).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("keep_h")))
     kept = kept.select(F.col("doc_id").alias("__kept"), F.col("h").alias("__h")).distinct()

@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+
 from gridloom.llm import queries, shingle_join
 from gridloom.llm.common import shared_dir
 from gridloom.llm.simhash import near_groups
@@ -101,6 +103,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    spark.read.parquet(f"{SF}/conversations.parquet").limit(0).write.parquet(f"{tmp_path}/conversations.parquet")
     for name, query in queries.QUERIES.items():
         if name != "op1_url_reputation":
             assert query(spark, str(tmp_path)).count() == 0, name
@@ -134,10 +137,30 @@ def brute_jaccard_groups(rows, likeness=0.8):
     return {i: ids[find(k)] for k, i in enumerate(ids)}, links
 
 
-@pytest.mark.parametrize("chunk", [2000, 7])
-def test_near_copies_against_all_pairs(spark, monkeypatch, chunk):
+def test_texts_around_one_passage_are_dealt_out(spark, monkeypatch):
+    """5,000 texts that share a passage and are not alike: no task gets many more than CROWD of them, and every two that may be alike meet."""
+    monkeypatch.setattr(shingle_join, "CROWD", 300)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(k, passage + " " + " ".join(f"u{k}x{j}" for j in range(10 + k % 30))) for k in range(5000)]
+    nodes = shingle_join.sketched(spark.createDataFrame(rows, "doc_id long, text string"))
+    spread = nodes.select(F.explode("bands").alias("key"), "fp", "size").cache()
+    whole = spread.groupBy("key").count().agg(F.max("count")).first()[0]
+    parts = shingle_join.dealt(spread, 0.8).cache()
+    assert whole > 1000 and parts.groupBy("key").count().agg(F.max("count")).first()[0] < 900
+    crowd = spread.groupBy("key").count().filter("count > 1000").first()["key"]
+    sizes = {r["fp"]: r["size"] for r in spread.filter(F.col("key") == crowd).orderBy("fp").limit(60).collect()}
+    where = {}
+    for r in parts.filter(F.col("fp").isin(list(sizes))).collect():
+        where.setdefault(r["fp"], set()).add(r["key"])
+    fps = sorted(sizes)
+    assert all(where[a] & where[b] for a in fps for b in fps if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]))
+
+
+@pytest.mark.parametrize("chunk, crowd", [(2000, 4096), (7, 4096), (2000, 8)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, chunk, crowd):
     """Copies with a few words changed, at similarities on both sides of 0.8, among the documents and short texts."""
     monkeypatch.setattr(shingle_join, "CHUNK", chunk)  # 7: most groups are dealt to several tasks
+    monkeypatch.setattr(shingle_join, "CROWD", crowd)  # 8: bands of large groups are dealt again
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     many = [f"word{k}" for k in range(100)]
     rows |= {3_000_000 + k: " ".join([*many[:k % 12], f"new{k}", *many[k % 12 + 1 :]]) for k in range(60)}  # one large group
