@@ -22,7 +22,7 @@ share of the tokens is dealt to several parts by its next words, its sums are ad
 two a part. A part too large for memory is worked off by ranges of hashes from a file of its task.
 
 Contexts are told apart by 64-bit hashes and next words of one context by 24 to 40 bits, the more the more frequent it is; counts of words are exact.
-The suffix's probability in the divergence test is rounded to an eighth of an octave.
+The suffix's probability in the divergence test is rounded to an eighth of an octave, below 2^-16 to a step that grows with its depth, up to an octave at 2^-80 (``OCTAVES``).
 
 Defined results: a null text is empty and has the end alone. A null doc_id belongs to the training rows.
 Without training rows the end has one half, and spelled words the other. Repeated rows count and
@@ -381,6 +381,16 @@ _CONTEXTS = ("u1", "i8", "i4", "u1", "i4", "u1")  # of a packet: context (planes
 WORD_WIDTH = 5
 
 
+#: What a byte says of a probability: minus its binary logarithm.
+OCTAVES = np.append(np.arange(128) / 8, 16 + np.arange(128) ** 2 / 252)
+_BETWEEN = (OCTAVES[1:] + OCTAVES[:-1]) / 2
+
+
+def rounded_octaves(probability: np.ndarray) -> np.ndarray:
+    """The byte whose ``OCTAVES`` are nearest."""
+    return np.searchsorted(_BETWEEN, -np.log2(probability)).astype(np.uint8)
+
+
 def _word_bits(occur: np.ndarray) -> np.ndarray:
     """A mask of the bits of a next word's hash that tell the few words of a context of so many occurrences apart as well as 40 bits do those of a frequent one."""
     return np.where(occur <= 16, (1 << 24) - 1, np.where(occur <= 256, (1 << 32) - 1, (1 << WORD_BITS) - 1))
@@ -401,7 +411,7 @@ def _judge(m: Model, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         of = own[kept] >> WORD_BITS
         stored = np.bincount(of, weights=sums[kept], minlength=len(kinds)).astype(np.int64)
         words = np.bincount(of, minlength=len(kinds))
-        gain = np.bincount(of, weights=sums[kept] * (np.log(sums[kept] - d) + rounded[one[kept]] * (np.log(2) / 8)), minlength=len(kinds))
+        gain = np.bincount(of, weights=sums[kept] * (np.log(sums[kept] - d) + OCTAVES[rounded[one[kept]]] * np.log(2)), minlength=len(kinds))
         split = m.splits(occur) > 1
         fine = m.retained(occur, stored, words, gain) & ~split
         sums[sums < least] = 0
@@ -553,7 +563,7 @@ def _plan(state: State, m: Model) -> Plan:
 def _sent(state: State, p: Plan, block: int) -> list[tuple[int, int, bytes]]:
     train = ~np.asarray(state.docs["held_out"])
     n = np.bincount(p.place, weights=train[state.doc[p.rows]], minlength=len(p.word)).astype(np.int32)
-    rounded = np.clip(np.rint(-8 * np.log2(state.prob[p.sample])), 0, 255).astype(np.uint8)
+    rounded = rounded_octaves(state.prob[p.sample])
     word = (state.words[p.word] >> np.uint64(64 - WORD_BITS)).astype(np.int64) & _word_bits(state.occur[p.slots[p.slot]])
     entries = np.bincount(p.slot, minlength=len(p.slots)).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(entries)])

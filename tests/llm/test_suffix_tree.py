@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from gridloom.llm import suffix_tree
 from gridloom.llm.suffix_tree import LETTERS, Model, Settings, letter_model, score_documents
@@ -72,7 +73,7 @@ class Plain:
         if not own:
             return False
         back = 1 - sum(n - d for n in own.values()) / total
-        gain = sum(n * (math.log((n - d) / total) + min(255, max(0, round(-8 * self.prob(c[1:], w) / math.log(2)))) / 8 * math.log(2)) for w, n in own.items())
+        gain = sum(n * (math.log((n - d) / total) + suffix_tree.OCTAVES[np.abs(suffix_tree.OCTAVES + self.prob(c[1:], w) / math.log(2)).argmin()] * math.log(2)) for w, n in own.items())
         return gain + (total - sum(own.values())) * math.log(back) >= 0.5 * len(own) * math.log(total)
 
     def stored(self, c, w):
@@ -156,3 +157,10 @@ def test_word_hashes_tell_words_apart():
     words = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([a]) for a in range(256)] + [b"a" * n for n in range(3, 3000)]
     h = suffix_tree.word_hashes(pa.array(words, pa.binary()))
     assert len(set(h.tolist())) == len(words)
+
+
+def test_rounded_probabilities_have_no_floor_that_a_corpus_can_reach():
+    octaves = np.concatenate([np.linspace(0, 16, 500), np.linspace(16, 79, 500)])
+    back = suffix_tree.OCTAVES[suffix_tree.rounded_octaves(2.0**-octaves)]
+    assert np.abs(back - octaves)[:500].max() <= 1 / 16 + 1e-9 and np.abs(back - octaves).max() <= 0.51
+    assert (np.diff(suffix_tree.OCTAVES) > 0).all() and len(suffix_tree.OCTAVES) == 256
