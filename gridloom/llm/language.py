@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import scratch, slices, text_bytes
 from .subwords import WordSums, bag_of, collected_bags
 
 #: Families of languages, by language code.
@@ -153,8 +153,12 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Learn from the rows of ``docs`` with a language: of each the ids of the smallest hashes, ``rows_per_language`` at most, however many rows an id has."""
     known = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"))
     known = known.filter("text is not null")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("label", "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= s.rows_per_language).drop("place")
+    ids = scratch(known.select("label", "doc_id").distinct(), "language-ids")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    counts = ids.groupBy("label").agg(F.count("*").alias("n"))
+    few = ids.join(F.broadcast(counts), "label").filter(low < 3.0 * s.rows_per_language / F.col("n"))  # about three times as many as wanted
+    place = F.row_number().over(Window.partitionBy("label").orderBy(low, "doc_id"))
+    ids = few.select("label", "doc_id", place.alias("place")).filter(F.col("place") <= s.rows_per_language).drop("place")
     bags, langs = collected_bags(known.join(F.broadcast(ids), ["label", "doc_id"]), partial(_bag, s=s))  # at most rows_per_language ids a language
     return train(bags, langs, s)
 
