@@ -243,18 +243,21 @@ def value_ranks(items: DataFrame, value: str = "value", id_col: str = "id") -> D
     return numbered(items, value, id_col, "rank")
 
 
-def numbered(df: DataFrame, key: str, then: str, name: str, ranges: int = 128) -> DataFrame:
-    """``df`` with each row's place, from 0, in the order of ``key``, nulls first, then ``then``. Rows are dealt by ranges of the key, so that no task orders all of them;
-    the driver gets the ranges' bounds and sizes."""
-    bounds = df.agg(F.percentile_approx(F.col(key), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000)).alias("b")).first()["b"] or []
-    placed = df.withColumn("__range", range_of(F.col(key), sorted(set(bounds))))
+def numbered(df: DataFrame, key: str, then: str | Column, name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of ``key``, nulls first, then ``then``.
+
+    Rows are sorted by ranges of both, so a value that many rows share is spread over tasks as well; a row's place is its number in its range behind the
+    sizes of the ranges before, of which the driver gets one number each."""
+    order = [F.asc_nulls_first(key), F.col(then) if isinstance(then, str) else then]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__at", 33).cast("int"))
     before, at = [], 0
-    for r in placed.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # at most ``ranges`` rows
-        before.append((r["__range"], at))
+    for r in placed.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # one row a task
+        before.append((r["__range"], at - (r["__range"] << 33)))
         at += r["n"]
-    start = df.sparkSession.createDataFrame(before, "__range int, __before bigint")
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.asc_nulls_first(key), then)) - 1
-    return placed.withColumn("__own", own).join(F.broadcast(start), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__range", "__own", "__before")
+    start = df.sparkSession.createDataFrame(before, "__range int, __shift bigint")
+    return placed.join(F.broadcast(start), "__range").withColumn(name, F.col("__at") + F.col("__shift")).drop("__range", "__at", "__shift")
 
 
 def range_of(key: Column, bounds: list) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..matrix import CoordMatrix
+from ..matrix import CELL_BYTES, HELD_BYTES, CoordMatrix
 from ..session import cut
 
 
@@ -106,15 +106,36 @@ def two_hop(b: CoordMatrix) -> CoordMatrix:
     return b.multiply(b.transpose().multiply(b)).without(b)
 
 
+def two_hop_scores(b: CoordMatrix, most_bytes: int = HELD_BYTES, best: int | None = None) -> DataFrame:
+    """The cells of :func:`two_hop`; with ``best`` only each row's so many strongest ones, equal ones by column.
+
+    B' B is stored and its cells are counted. Rows are dealt once, each whole to one task, and meet B' B in blocks of columns that each task can hold, so
+    a row's scores come together where the row lies: what is exchanged afterwards are at most ``best`` cells of a row and block. A cell of B itself is
+    told by its own column among the row's, so nothing has to be taken away in a further join."""
+    gram = cut(b.transpose().multiply(b).cells.select(F.col("row").alias("__k"), "col", F.col("value").alias("__b")))
+    blocks = max(1, -(-CELL_BYTES * gram.count() // most_bytes))
+    rows = b.cells.select("row", F.col("col").alias("__k"), F.col("value").alias("__a")).repartition("row")
+    out = None
+    for k in range(blocks):
+        held = gram if blocks == 1 else gram.filter(F.pmod(F.xxhash64("col"), F.lit(blocks)) == k)
+        sums = rows.join(F.broadcast(held), "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("value"), F.max(F.col("__k") == F.col("col")).alias("__known"))
+        sums = sums.filter("NOT __known").select("row", "col", "value")
+        if best is not None:
+            place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("value"), "col"))
+            sums = sums.withColumn("__place", place).filter(F.col("__place") <= best).drop("__place")
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
 def two_hop_links(b: CoordMatrix, n: int) -> DataFrame:
     """The ``n`` strongest cells of :func:`two_hop`, equal ones by column, then row."""
-    return two_hop(b).cells.orderBy(F.desc("value"), "col", "row").limit(n)
+    return two_hop_scores(b).orderBy(F.desc("value"), "col", "row").limit(n)
 
 
 def recommend(b: CoordMatrix, k: int) -> DataFrame:
     """For every row its ``k`` strongest two-hop columns: (row, col, value, place)."""
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("value"), "col"))
-    return two_hop(b).cells.withColumn("place", place).filter(F.col("place") <= k)
+    return two_hop_scores(b, best=k).withColumn("place", place).filter(F.col("place") <= k)
 
 
 MERGED_LAYOUTS = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import divergence, scalar
 from ..matrix import CoordMatrix
-from ..operators import active_nmf, bregman, cocluster, cocluster_moves, cocluster_signed, experiments, factor, fields, generative, information, kmeans, learn, optimise, validity
+from ..operators import active_nmf, bregman, cocluster, cocluster_moves, cocluster_signed, experiments, factor, fields, generative, information, kmeans, learn, validity
 from ..session import cut
 from . import inputs as I  # noqa: E741, N812
 
@@ -665,20 +665,6 @@ def net_gibbs(spark, sf_dir):
     return fields.table_gibbs(cut(states), f, fields.colouring(f.couplings, f.own), 2)
 
 
-@query()
-def gibbs_samples(spark, sf_dir):
-    j = np.zeros((4, 4))
-    for a, b in ((0, 1), (1, 2), (2, 3)):
-        j[a, b] = j[b, a] = 0.4
-    return learn.gibbs(spark, j, np.zeros(4), 400, chains=4, burn_in=50, gap=2)
-
-
-@query()
-def rosenbrock_minimum(spark, sf_dir):
-    x, f, why = optimise.lbfgs(optimise.rosenbrock, np.zeros(100), o=optimise.Options(rounds=3000, progress=1e-15))
-    return spark.createDataFrame([(round(float(np.abs(x - 1).max()), 3), why)], "gap double, why string")
-
-
 # Functions
 
 
@@ -736,18 +722,6 @@ def recommendation_by_clusters(spark, sf_dir):
     return experiments.clustered_svd_scores(ug, part(ug.n_rows), part(ug.n_cols), 3).cells.select("row", "col", _r("value", 4))
 
 
-@query()
-def artificial_network(spark, sf_dir):
-    uu, ug = experiments.artificial_network(spark, 4, 60, 40, 0.12)
-    return uu.cells.select(F.lit("friends").alias("kind"), "row", "col").unionByName(ug.cells.select(F.lit("members").alias("kind"), "row", "col"))
-
-
-@query()
-def structure_recovery(spark, sf_dir):
-    res = experiments.structure_recovery(spark, "chain", 4, [100, 800], trials=2)
-    return spark.createDataFrame(res.curve, "n int, success double, differing double")
-
-
 @query()
 def trifactor_roles(spark, sf_dir):
     p, _, _ = factor.symmetric_trifactor([I.nation_net(spark, sf_dir, sparse=True)], 2, rounds=3)

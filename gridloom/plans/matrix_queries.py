@@ -383,14 +383,18 @@ def cluster_random_guess(spark, sf_dir):
     return ranking.cluster_random_prediction(edges, sizes, 100, 40).select(_r("precision", 9), _r("sensitivity", 9))
 
 
-_GRID = "SELECT i AS row, j AS col FROM range(25) a(i), range(25) b(j) WHERE (abs(i // 5 - j // 5) + abs(i % 5 - j % 5)) = 1"
+_GRAPHS = """f AS (SELECT count(*) AS n, greatest(1, round(sqrt(count(*))))::BIGINT AS w FROM supplier), i AS (SELECT unnest(range(n)) AS i, n, w FROM f),
+g AS (SELECT i AS a, i + 1 AS b FROM i WHERE i + 1 < n AND i % w <> w - 1 UNION SELECT i, i + w FROM i WHERE i + w < n),
+e AS (SELECT 'grid' AS topology, a, b FROM g UNION SELECT '8ngrid', a, b FROM g UNION SELECT '8ngrid', i, i + w + 1 FROM i WHERE i + w + 1 < n AND i % w <> w - 1 UNION SELECT '8ngrid', i, i + w - 1 FROM i WHERE i + w - 1 < n AND i % w <> 0 AND w > 1
+UNION SELECT 'star', 0, i FROM i WHERE i > 0 UNION SELECT 'chain', i, i + 1 FROM i WHERE i + 1 < n)"""
 
 
-@query(f"SELECT 'grid' AS topology, row, col FROM ({_GRID}) UNION ALL SELECT '8ngrid', i, j FROM range(25) a(i), range(25) b(j) WHERE i <> j AND abs(i // 5 - j // 5) <= 1 AND abs(i % 5 - j % 5) <= 1 UNION ALL SELECT 'star', CASE WHEN d = 0 THEN 0 ELSE i END, CASE WHEN d = 0 THEN i ELSE 0 END FROM range(1, 25) a(i), range(2) b(d) UNION ALL SELECT 'chain', CASE WHEN d = 0 THEN i ELSE i + 1 END, CASE WHEN d = 0 THEN i + 1 ELSE i END FROM range(24) a(i), range(2) b(d)")
+@query(f"WITH {_GRAPHS} SELECT topology, a AS row, b AS col FROM e UNION SELECT topology, b, a FROM e")
 def graph_generated(spark, sf_dir):
-    out = None
+    """Named graphs on as many nodes as there are suppliers."""
+    n, out = I.table(spark, sf_dir, "supplier").count(), None
     for name in ("grid", "8ngrid", "star", "chain"):
-        own = graph.generate(spark, name, 25).cells.select(F.lit(name).alias("topology"), "row", "col")
+        own = graph.generate(spark, name, n).cells.select(F.lit(name).alias("topology"), "row", "col")
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -166,12 +166,16 @@ def from_compressed(spark: SparkSession, rows: list[int], pointers: list[int], v
 
 
 def write_coclusters(rows: DataFrame, cols: DataFrame, path: str) -> None:
-    """(side, cluster, id), and sign where labels have one, in that order."""
-    signs = "sign" in rows.columns or "sign" in cols.columns
-    sign = lambda x: [F.col("sign") if "sign" in x.columns else F.lit(1).alias("sign")] if signs else []
-    side = lambda x, name: x.select(F.lit(name).alias("side"), "cluster", "id", *sign(x))
+    """(side, cluster, block, size, ids, signs): the ids of each cluster, sorted, in a row for each block of ``BLOCK`` ids; their signs, 1 where labels have none."""
+
+    def side(x: DataFrame, name: str) -> DataFrame:
+        sign = F.col("sign") if "sign" in x.columns else F.lit(1)
+        members = x.select("cluster", F.floor(F.col("id") / BLOCK).alias("block"), F.struct("id", sign.cast("int").alias("sign")).alias("m"))
+        lists = members.groupBy("cluster", "block").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("m")).alias("m"))  # at most BLOCK ids
+        return lists.select(F.lit(name).alias("side"), "cluster", "block", "size", F.col("m.id").alias("ids"), F.col("m.sign").alias("signs"))
+
     both = side(rows, "row").unionByName(side(cols, "col"))
-    both.repartitionByRange("side", "cluster", "id").sortWithinPartitions("side", "cluster", "id").write.mode("overwrite").parquet(path)
+    both.repartitionByRange("side", "cluster", "block").sortWithinPartitions("side", "cluster", "block").write.mode("overwrite").parquet(path)
 
 
 def merge_series(*series: DataFrame) -> DataFrame:

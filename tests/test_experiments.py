@@ -200,3 +200,56 @@ def test_nuclear_completion_scores_every_cell(spark):
     want = {(r["row"], r["col"]) for r in inputs.user_part(spark, SF).cells.collect()}
     got = registry.QUERIES["nuclear_completion"](spark, SF).collect()
     assert len(got) == len(want) and {(r["row"], r["col"]) for r in got} == want
+
+
+def test_networks_of_shared_factors(spark):
+    uu, ug = experiments.artificial_network(spark, 4, 30, 20, 0.12)
+    assert uu.cells.count() == 2 * int(0.12 * 30 * 29 / 2) and ug.cells.count() == int(0.12 * 30 * 20)
+
+
+def test_a_chain_is_recovered_from_many_samples(spark):
+    curve = experiments.structure_recovery(spark, "chain", 3, [800], trials=1).curve
+    assert curve == [(800, 1.0, 0.0)]
+
+
+def test_two_hop_scores_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    a = (rng.random((20, 12)) < 0.25) * rng.integers(1, 4, (20, 12)).astype(float)
+    m = CoordMatrix.from_rows(spark, [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], a.shape)
+    full = a @ (a.T @ a)
+    reached = {(i, j): full[i, j] for i, j in zip(*np.nonzero(full), strict=True) if not a[i, j]}
+    for most in (1 << 20, 64 * 20):  # one block, and several
+        got = {(r["row"], r["col"]): r["value"] for r in socialnet.two_hop_scores(m, most).collect()}
+        assert got == reached
+        best = {(r["row"], r["place"]): (r["col"], r["value"]) for r in socialnet.recommend(m, 3).collect()}
+        for i in range(20):
+            want = sorted(((-v, j) for (r, j), v in reached.items() if r == i))[:3]
+            assert [best.get((i, k + 1)) for k in range(3)] == [(j, -v) for v, j in want] + [None] * (3 - len(want))
+    parts = socialnet.two_hop_scores(m, 64 * 20, best=2)
+    assert parts.groupBy("row").count().agg(F.max("count")).first()[0] > 2  # so many of each block
+
+
+def test_places_of_a_value_that_most_rows_share(spark):
+    from gridloom.matrix import numbered
+
+    rows = [(i, None if i % 50 == 0 else 1.0 if i % 3 else float(i % 7)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id bigint, v double").repartition(5)
+    got = {r["id"]: r["place"] for r in numbered(df, "v", "id", "place").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert got == {r[0]: k for k, r in enumerate(order)}
+    ids = numbered(df, "v", "id", "place")
+    assert ids.count() == 700 and numbered(df.limit(0), "v", "id", "place").count() == 0
+
+
+def test_program_with_reversed_rows_and_chains(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(6, 5))
+    spark.createDataFrame([(i, j, float(a[i, j])) for i in range(6) for j in range(5)], "row long, col long, value double").write.parquet(str(tmp_path / "m"))
+    plain = cli.run(spark, [str(tmp_path / "m"), "-a", "mssr1", "-i", "3", "-O", str(tmp_path / "plain")])
+    turned = cli.run(spark, [str(tmp_path / "m"), "-a", "mssr1", "-i", "3", "-r", "rows", "-O", str(tmp_path / "turned")])
+    signs = spark.read.parquet(str(tmp_path / "turned")).filter("side = 'row'").select(F.explode("signs")).distinct().collect()
+    assert {r[0] for r in signs} <= {1, -1} and turned["best"] > 0
+    chained = cli.run(spark, [str(tmp_path / "m"), "-a", "mssr1", "-i", "3", "-l", "2", "-O", str(tmp_path / "chained")])
+    assert chained["best"] <= plain["best"] + 1e-9
+    ids = spark.read.parquet(str(tmp_path / "chained")).groupBy("side").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids")).collect()
+    assert {r["side"]: r["ids"] for r in ids} == {"row": list(range(6)), "col": list(range(5))}
